@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 #: ASCII white space as the contracts define words: space, tab, LF, VT, FF, CR.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -34,7 +36,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches small enough that texts of some hundred KB do not fill a Python worker."""
+    """Before Python functions: ship the package, and keep Arrow batches so small that texts of some hundred KB do not fill a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -45,11 +48,7 @@ def ascii_lower(c: Column) -> Column:
 
 def split_words(c: Column, pattern: str = BLANKS) -> Column:
     """Array of the maximal runs between matches of pattern; empty for null and for texts without words."""
-    parts = F.split(F.coalesce(c, F.lit("")), pattern)
-    n = F.size(parts)
-    lead = (parts[0] == "").cast("int")
-    tail = (F.element_at(parts, -1) == "").cast("int")
-    return F.slice(parts, lead + 1, F.greatest(n - lead - tail, F.lit(0)))
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), pattern), "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

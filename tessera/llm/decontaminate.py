@@ -43,12 +43,15 @@ def item_windows(items: DataFrame, rarity: DataFrame, size: int = WINDOW) -> Dat
 
 
 def _verified(cand: DataFrame) -> DataFrame:
-    """Windows of the aligned items that stand in the documents word for word: __k1, __k2, start, length, ids."""
-    at = lambda i: F.col("shift") + i
-    fits = lambda i: (at(i) >= 0) & (at(i) + F.col("length") <= F.size("doc_words"))
-    equal = lambda i: F.slice("doc_words", F.greatest(at(i), F.lit(0)) + 1, F.col("length")) == F.slice("item_words", i + 1, F.col("length"))
-    found = cand.withColumn("found", F.filter("starts", lambda i: fits(i) & equal(i))).where(F.size("found") > 0)
-    return found.select("__k1", "__k2", "length", "ids", F.explode("found").alias("i"), "shift").select("__k1", "__k2", (F.col("shift") + F.col("i")).alias("start"), "length", "ids")
+    """Windows of the aligned items that stand in the documents word for word: __k1, __k2, start, length, ids.
+
+    Explode and slice stay in one generated stage with the join before them, so
+    a document's words are never copied for the positions that meet no item.
+    """
+    start = F.col("shift") + F.col("i")
+    fits = (start >= 0) & (start + F.col("length") <= F.size("doc_words"))
+    equal = F.slice("doc_words", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.slice("item_words", F.col("i") + 1, F.col("length"))
+    return cand.withColumn("i", F.explode("starts")).where(fits & equal).select("__k1", "__k2", start.alias("start"), "length", "ids")
 
 
 def occurrences(split: DataFrame, items: DataFrame, size: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
