@@ -61,10 +61,11 @@ def occurrences(split: DataFrame, items: DataFrame, size: int = WINDOW, item_col
     vocabulary = distinct.select(F.explode("item_words").alias("word")).distinct()
     if vocabulary.count() <= BROADCAST_ENTRIES:
         vocabulary = F.broadcast(vocabulary)
-    rarity = split.select(F.explode("doc_words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
+    # explode_outer: explode would first filter on the size of the words, and make them a second time for that
+    rarity = split.select(F.explode_outer("doc_words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
     windows = item_windows(distinct, rarity, size).join(distinct, "item_words")
     windows = materialize(windows, "decontaminate-windows")
-    tokens = split.select("__k1", "__k2", "doc_words", F.posexplode("doc_words").alias("pos", "anchor"))
+    tokens = split.select("__k1", "__k2", "doc_words", F.posexplode_outer("doc_words").alias("pos", "anchor"))
     aligned = (F.col("pos") - F.col("anchor_at")).alias("shift")
     if windows.count() <= BROADCAST_ENTRIES:
         return _verified(tokens.join(F.broadcast(windows), "anchor").select("__k1", "__k2", "doc_words", "item_words", "length", "starts", "ids", aligned))
@@ -93,6 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_co
     per = hits.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     per = per.select("__k1", "__k2", F.size(covered).cast("long").alias("n_hit"), "item_ids")
+    per = materialize(per, "decontaminate-hits")  # so that the join below can split a text with very many copies
     out = base.withColumn("n_words", F.size("doc_words").cast("long")).drop("doc_words").join(per, ["__k1", "__k2"], "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
     out = out.withColumn("n_items", F.size("item_ids").cast("long"))

@@ -81,8 +81,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # transform() and not a field of the array: Catalyst would copy the latter into each step of the next lambda
     out = out.select("*", F.transform("__windows", lambda w: w["h"]).alias("__h"), F.transform("__windows", lambda w: w["i"]).alias("__i"))
     out = out.withColumn("__at", _repeated_positions(F.col("__h"), F.col("__i")))
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    found = F.struct(
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -90,6 +89,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("__at")).cast("long").alias("n_repeat_words"),
     )
+    # inline() of one struct, and not plain columns: a later filter would be pushed down and measure everything again
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(found)))
 
 
 def ledger(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
