@@ -100,10 +100,11 @@ def decide(tokens: DataFrame, policy: Policy | None = None, token: str = "token"
     """tokens with core, score, masked and replacement. Tags are not masked again."""
     p = policy or Policy()
     prefix, core, suffix = edges(F.col(token))
-    out = tokens.withColumn("__prefix", prefix).withColumn("core", core).withColumn("__suffix", suffix)
+    # inline() of one struct, and not plain columns, so that a later filter on `masked` is not pushed down to score again
+    out = tokens.select("*", F.inline(F.array(F.struct(prefix.alias("__prefix"), core.alias("core"), suffix.alias("__suffix")))))
     tag = p.tag_format.split("%s")[0].lstrip("[")
     shape = shape_score(F.col("core"), p) * p.shape_weight
-    out = out.withColumn("score", shape + entropy_score(F.col("core")) * p.entropy_weight)
+    out = out.select("*", F.inline(F.array(F.struct((shape + entropy_score(F.col("core")) * p.entropy_weight).alias("score")))))
     masked = (F.length("core") >= p.min_token_length) & ~F.col("core").startswith(tag) & (F.col("score") >= p.min_score)
     out = out.withColumn("masked", masked)
     return out.withColumn("replacement", F.when(F.col("masked"), F.concat("__prefix", pseudonym(F.col("core"), p), "__suffix")).otherwise(F.col(token))).drop("__prefix", "__suffix")

@@ -1,2 +1,197 @@
 """Queries of matching, search, focus and the memory log."""
-QUERIES = {}
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import focus, search
+from tessera.plans import table
+
+_FOLD = "translate(lower({c}), 'áàäâéèëêíìïîóòöôúùüûñç', 'aaaaeeeeiiiioooouuuunc')"
+
+
+def like_search(spark, sf_dir):
+    """Documents that hold `relation` or `eté`, blind to case and accents, and how they match as they stand."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.where(tx.like(F.col("text"), F.lit("Vieux")) | tx.like(F.col("text"), F.lit("été"))).select("doc_id", tx.like(F.col("text"), F.lit("Vieux")).alias("first"), tx.target_matches(F.col("text"), F.lit("=été")).alias("exact"))
+
+
+_LIKE = f"SELECT doc_id, contains({_FOLD.format(c='text')}, 'vieux') AS first, contains(text, 'été') AS exact FROM documents WHERE contains({_FOLD.format(c='text')}, 'vieux') OR contains({_FOLD.format(c='text')}, 'ete')"
+
+
+def all_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(tx.all_words(F.col("text"), F.lit("The ING tión"))).select("doc_id", "lang")
+
+
+_WORDS = f"SELECT doc_id, lang FROM documents WHERE contains({_FOLD.format(c='text')}, 'the') AND contains({_FOLD.format(c='text')}, 'ing') AND contains({_FOLD.format(c='text')}, 'tion')"
+
+
+def glob_sources(spark, sf_dir):
+    """Documents whose path, source/id.lang, matches one of two globs."""
+    path = F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return docs.where(tx.glob_matches(F.col("path"), "src1?/*.e[ns]") | tx.glob_matches(F.col("path"), "**/1*0.fr"))
+
+
+_GLOB = r"SELECT doc_id, source || '/' || doc_id || '.' || lang AS path FROM documents WHERE regexp_matches(source || '/' || doc_id || '.' || lang, '^src1[^/]/[^/]*\.e[ns]$') OR regexp_matches(doc_id || '.' || lang, '^1[^/]*0\.fr$')"
+
+
+def keyword_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = search.keyword_search(docs.select("doc_id", "source", "text"), "sthe", "source", "text")
+    return out.select("doc_id", F.round("score", 9).alias("score"), "excerpt", "line")
+
+
+_SEARCH = """
+WITH d AS (SELECT doc_id, source, text, lower(text) AS low, strpos(lower(text), 'sthe') AS p FROM documents WHERE contains(lower(text), 'sthe') OR contains(lower(source), 'sthe')
+), n AS (SELECT *, (length(low) - length(replace(low, 'sthe', ''))) / 4 AS c FROM d)
+SELECT doc_id, round(0 + c / (c + 5) * 0.4::DOUBLE, 9) AS score, substr(text, greatest(p - 30, 1), p - greatest(p - 30, 1) + 70) AS excerpt, (len(string_split(left(text, p), chr(10))))::BIGINT AS line FROM n
+"""
+
+
+def text_matches(spark, sf_dir):
+    """Every hit of `ana` in the lines of the benchmark items, overlapping ones too."""
+    return search.matches_in_text(table(spark, sf_dir, "documents"), "ana", "doc_id").select("doc_id", "row", F.col("col").cast("long").alias("col"))
+
+
+_MATCHES = """
+WITH l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS row FROM documents
+), i AS (SELECT doc_id, row, line, unnest(range(1, length(line) - 1)) AS i FROM l WHERE contains(line, 'ana'))
+SELECT doc_id, row::INT AS row, strlen(left(line, (i - 1)::BIGINT))::BIGINT AS col FROM i WHERE substr(line, i, 3) = 'ana'
+"""
+
+
+def memory_log(spark, sf_dir):
+    """A log per event type: one dated entry per day with the day's events."""
+    events = table(spark, sf_dir, "events")
+    days = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    entry = F.concat(F.lit("## "), F.date_format("day", "yyyy-MM-dd"), F.lit("\nevents: "), F.col("n").cast("string"))
+    logs = days.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("day", entry.alias("entry")))).alias("e"))
+    return logs.select("event_type", F.concat(F.lit("an undated note" + search.ENTRY_BREAK), F.array_join(F.transform("e", lambda x: x["entry"]), search.ENTRY_BREAK)).alias("text"))
+
+
+_DAYS = "SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+def memory_archive(spark, sf_dir):
+    """Entries of the logs older than ten days before the last event's day go to archives by month."""
+    entries = search.entries(memory_log(spark, sf_dir), "event_type")
+    last = table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("d")).first()["d"]
+    return search.archive_split(entries, F.lit(last), 10).select("event_type", F.col("entry_ord").cast("long").alias("entry_ord"), "entry", "archived", "archive_month")
+
+
+_ARCHIVE = f"""
+WITH d AS ({_DAYS}), m AS (SELECT max(ts)::DATE - 10 AS cut FROM events)
+SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) AS entry_ord, '## ' || strftime(day, '%Y-%m-%d') || chr(10) || 'events: ' || n AS entry, day < cut AS archived, CASE WHEN day < cut THEN strftime(day, '%Y-%m') END AS archive_month FROM d, m
+UNION ALL SELECT DISTINCT event_type, 0, 'an undated note', false, NULL FROM events
+"""
+
+
+def memory_delete_range(spark, sf_dir):
+    """What a request deletes from the logs: a range of days of each, told by counts."""
+    entries = search.entries(memory_log(spark, sf_dir), "event_type")
+    first = table(spark, sf_dir, "events").agg(F.to_date(F.min("ts")).alias("d")).first()["d"]
+    gone = search.deleted(F.col("entry_date"), F.lit(False), since=str(first), until=f"{first:%Y-%m}-12")
+    return entries.groupBy("event_type").agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"))
+
+
+_DELETE = f"""
+WITH d AS ({_DAYS}), m AS (SELECT min(ts)::DATE AS a, date_trunc('month', min(ts))::DATE + 11 AS b FROM events)
+SELECT event_type, count(*) FILTER (day BETWEEN a AND b)::BIGINT AS deleted, (count(*) FILTER (NOT day BETWEEN a AND b) + 1)::BIGINT AS kept FROM d, m GROUP BY 1
+"""
+
+
+def headed(spark, sf_dir):
+    """Documents as files with a heading on every third line and a date on every fifth."""
+    mark = lambda s, i: F.when(i % 3 == 1, F.concat(F.lit("## "), s)).when(i % 5 == 2, F.concat(F.lit("2024-01-0"), (i % 9 + 1).cast("string"), F.lit(" "), s)).otherwise(s)
+    text = F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("content"))
+
+
+_HEADED = """
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
+), f AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN '## ' || line WHEN i % 5 = 2 THEN '2024-01-0' || (i % 9 + 1) || ' ' || line ELSE line END AS line FROM l)"""
+
+
+def section_extract(spark, sf_dir):
+    """Markdown sections whose heading holds a target."""
+    targets = spark.createDataFrame([("eau",), ("=The",), ("ión",)], "target string")
+    out = focus.matching_sections(headed(spark, sf_dir), targets, focus.MARKDOWN_HEADING, "doc-section")
+    return out.select("target", F.col("source").alias("doc_id"), F.col("section_ord").cast("long").alias("section_ord"), F.sha2("content", 256).alias("content_sha256"))
+
+
+_SECTION = f"""
+WITH {_HEADED}, h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*#{{1,6}}\\s+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM f
+), s AS (SELECT doc_id, sec, arg_min(line, i) AS heading, string_agg(line, chr(10) ORDER BY i) AS section FROM h WHERE sec > 0 GROUP BY 1, 2)
+SELECT target, doc_id, (sec - 1)::BIGINT AS section_ord, sha256(section) AS content_sha256 FROM s, (VALUES ('eau'), ('=The'), ('ión')) t(target)
+WHERE CASE WHEN target = '=The' THEN contains(heading, 'The') ELSE contains({_FOLD.format(c='heading')}, {_FOLD.format(c='target')}) END
+"""
+
+
+def dated_entries(spark, sf_dir):
+    """Entries between dated lines that hold a target."""
+    targets = spark.createDataFrame([("stupid",), ("été",)], "target string")
+    out = focus.matching_entries(headed(spark, sf_dir), targets)
+    return out.select("target", F.col("source").alias("doc_id"), F.col("section_ord").cast("long").alias("section_ord"), F.sha2("content", 256).alias("content_sha256"))
+
+
+_DATED = f"""
+WITH {_HEADED}, h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*\\**\\[?(\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}})\\]?\\**') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM f
+), s AS (SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY i) AS section FROM h WHERE sec > 0 GROUP BY 1, 2)
+SELECT target, doc_id, (sec - 1)::BIGINT AS section_ord, sha256(section) AS content_sha256 FROM s, (VALUES ('stupid'), ('été')) t(target) WHERE contains({_FOLD.format(c='section')}, {_FOLD.format(c='target')})
+"""
+
+
+def focus_cascade(spark, sf_dir):
+    """Targets resolved by path, then section, then excerpt; what nothing resolves says so."""
+    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    targets = spark.createDataFrame([("src1/000000001.md",), ("000000007.md",), ("worthless",), ("no such thing 42",)], "target string")
+    found = focus.cascade([focus.by_path(files, targets), focus.matching_sections(files, targets, focus.MARKDOWN_HEADING, "doc-section"), focus.excerpts(files, targets)])
+    return focus.rendered(targets, found).select("target", F.sha2("text", 256).alias("text_sha256"))
+
+
+_CASCADE = f"""
+WITH f AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 9, '0') || '.md' AS path, string_split(text, chr(10)) AS ls, text FROM documents
+), p AS (SELECT 'src1/000000001.md' AS target, path, text AS content FROM f WHERE path = 'src1/000000001.md'
+  UNION ALL SELECT '000000007.md', min(path), arg_min(text, path) FROM f WHERE ends_with(path, '/000000007.md') HAVING count(*) > 0
+), l AS (SELECT path, ls, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM f
+), e AS (SELECT 'worthless' AS target, path, array_to_string(ls[greatest(i - 10, 0) + 1:i + 10], chr(10)) AS content FROM l WHERE contains({_FOLD.format(c='line')}, 'worthless') ORDER BY path, i LIMIT 1
+), b AS (SELECT * FROM p UNION ALL SELECT * FROM e)
+SELECT t.target, sha256('FOCUS:' || t.target || chr(10) || coalesce('FILE:' || path || chr(10) || content, '  not found: ' || t.target)) AS text_sha256
+FROM (VALUES ('src1/000000001.md'), ('000000007.md'), ('worthless'), ('no such thing 42')) t(target) LEFT JOIN b ON b.target = t.target
+"""
+
+
+def directory_index(spark, sf_dir):
+    """The pages' addresses as a tree: what each folder holds."""
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+    return focus.directory_index(pages)
+
+
+_INDEX = r"""
+WITH p AS (SELECT string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS p FROM pages
+), l AS (SELECT DISTINCT array_to_string(p[1:d], '/') AS dir, p[d + 1] || CASE WHEN d + 1 < len(p) THEN '/' ELSE '' END AS child FROM (SELECT p, unnest(range(1, len(p))) AS d FROM p WHERE len(p) > 1))
+SELECT dir, dir || '(' || count(*) || '): ' || string_agg(child, ', ' ORDER BY child) AS listing FROM l GROUP BY dir
+"""
+
+
+def json_node(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", focus.json_node(F.col("props"), "k").alias("node"))
+
+
+QUERIES = {
+    "like_search": (like_search, _LIKE),
+    "all_words": (all_words, _WORDS),
+    "glob_sources": (glob_sources, _GLOB),
+    "keyword_search": (keyword_search, _SEARCH),
+    "text_matches": (text_matches, _MATCHES),
+    "memory_archive": (memory_archive, _ARCHIVE),
+    "memory_delete_range": (memory_delete_range, _DELETE),
+    "section_extract": (section_extract, _SECTION),
+    "dated_entries": (dated_entries, _DATED),
+    "focus_cascade": (focus_cascade, _CASCADE),
+    "directory_index": (directory_index, _INDEX),
+    "json_node": (json_node, "SELECT event_id, json_extract_string(props, '$.k') AS node FROM events"),
+}

@@ -20,7 +20,7 @@ def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     # a mark, then `/tag` or `tag`, then a second mark and the text up to the next
     marked = F.regexp_replace(F.concat(F.lit("<p>"), F.replace(body, F.lit(_MARK), F.lit(""))), BLOCK_TAG, f"{_MARK}$1$2{_MARK}")
     parts = pages.select(key, F.slice(F.split(marked, _MARK, -1), 2, 1_000_000_000).alias("p"))
-    names = F.transform(F.sequence(F.lit(0), F.size("p") / 2 - 1), lambda i: F.lower(F.get("p", (i * 2).cast("int"))))
+    names = F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / 2).cast("int") - 1), lambda i: F.lower(F.get("p", i * 2)))
     parts = parts.withColumn("names", names)
     opened = lambda i: F.element_at(F.filter(F.slice("names", F.lit(1), i + 1), lambda t: ~t.startswith("/")), -1)
     blocks = F.transform("names", lambda _, i: F.struct(opened(i).alias("tag"), trimmed(F.regexp_replace(F.get("p", i * 2 + 1), "(?s)<[^>]*>", "")).alias("text")))
