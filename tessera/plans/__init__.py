@@ -11,10 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def registry() -> dict[str, tuple[Query, str | None]]:
     """name: (query, DuckDB SQL or None)."""
-    from tessera.plans import budgets, conversations, selection, texts
+    from tessera.plans import budgets, conversations, files, selection, streams, texts
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (texts, budgets, selection, conversations):
+    for module in (texts, budgets, selection, conversations, files, streams):
         found |= module.QUERIES
     return found
 
