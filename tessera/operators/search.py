@@ -74,3 +74,38 @@ def deleted(date: Column, archived: Column, all_: bool = False, on: str | None =
     if keep_active:
         hit = hit & archived
     return F.coalesce(hit, F.lit(False))
+
+
+def like_top(docs: DataFrame, query: str, name: str, text: str, limit: int = 20) -> DataFrame:
+    """The first `limit` rows by name whose name or text holds the query, blind to case, all with score 0.5."""
+    q = F.lit(query.lower())
+    found = docs.where(F.contains(F.lower(name), q) | F.contains(F.lower(text), q))
+    return found.withColumn("score", F.lit(0.5)).orderBy(name).limit(limit)
+
+
+def fallback_summary(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """conv, summary: first line of the first user turn, at most 80 bytes, and the first three telling lines of assistants.
+
+    Lines that are blank, tables, rules or headings tell nothing.
+    """
+    lines = lambda role: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct(turn, F.coalesce("text", F.lit("")).alias("text"))))), lambda t: F.transform(F.split(t["text"], "\n", -1), lambda s: F.trim(s))))
+    rows = turns.groupBy(conv).agg(lines("user").alias("u"), lines("assistant").alias("a"))
+    told = F.slice(F.filter("a", lambda s: (s != "") & ~s.rlike("^(\\||#|-{3,}|={3,}|\\*{3,})")), 1, 3)
+    first = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(F.coalesce(F.get("u", F.lit(0)), F.lit("")), "UTF-8"), 1, 80).cast("string")), "�+$", "")
+    return rows.select(conv, F.array_join(F.filter(F.concat(F.array(first), told), lambda s: s != ""), "\n").alias("summary"))
+
+
+def fuzzy_names(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """queries (query) with name and n_matches: the name itself, or the only one that contains the query; null where several do or none.
+
+    names (name) is configuration: a few rows.
+    """
+    both = queries.select("query").distinct().join(F.broadcast(names.select("name").distinct()), F.contains(F.lower("name"), F.lower("query")), "left")
+    per = both.groupBy("query").agg(F.count("name").alias("n_matches"), F.min("name").alias("one"), F.bool_or(F.col("name") == F.col("query")).alias("exact"))
+    name = F.when(F.coalesce("exact", F.lit(False)), F.col("query")).when(F.col("n_matches") == 1, F.col("one"))
+    return per.select("query", name.alias("name"), "n_matches")
+
+
+def unmatched(patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """Exact paths of patterns (path) that no file has: what a delete reports as not found."""
+    return patterns.select("path").distinct().join(files.select("path"), "path", "left_anti")

@@ -170,3 +170,20 @@ def test_open_runs_wait_for_their_end(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     assert [tuple(r) for r in incremental.drained(incremental.closed_runs(stream, "k", ["at"]), spark, "append").collect()] == [("u", "a", 2)]
+
+
+def test_labels_and_names(spark):
+    from tessera.functions import labels
+
+    r = spark.createDataFrame([(i,) for i in (0, 25, 26, 701, 702)], "i int").select("i", labels.column_letter(F.col("i")).alias("l")).collect()
+    assert [x["l"] for x in sorted(r)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert one(spark, "ééééé", lambda v: labels.truncated_label(v, 6)) == "éé…" and one(spark, "abc", lambda v: labels.truncated_label(v, 6)) == "abc"
+    assert one(spark, "x", lambda v: labels.progress_percent(F.lit(1), F.lit(3))) == 33 and one(spark, "x", lambda v: labels.progress_percent(F.lit(1), F.lit(0))) == -1
+    assert tuple(one(spark, "9:16", labels.aspect_size)) == (576, 1024) and tuple(one(spark, "odd", labels.aspect_size)) == (768, 768)
+    assert one(spark, "claude", labels.is_cloud) and not one(spark, "ollama", labels.is_cloud)
+    names = spark.createDataFrame([("gpt-5",), ("gpt-5-mini",), ("claude",)], "name string")
+    asked = spark.createDataFrame([("gpt-5",), ("mini",), ("gpt",), ("none",)], "query string")
+    assert {r["query"]: r["name"] for r in search.fuzzy_names(asked, names).collect()} == {"gpt-5": "gpt-5", "mini": "gpt-5-mini", "gpt": None, "none": None}
+    turns = spark.createDataFrame([(1, 0, "user", "ask\nmore"), (1, 1, "assistant", "# H\n\n|t|\none\ntwo\n---\nthree\nfour"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: r["summary"] for r in search.fallback_summary(turns).collect()} == {1: "ask\none\ntwo\nthree", 2: ""}
+    assert [r["name"] for r in search.like_top(names.withColumn("t", F.lit("x")), "GPT", "name", "t", 1).collect()] == ["gpt-5"]
