@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, for words and trimming.
 SPACE = "[\\s\\u0085\\p{Z}]"
+NOT_SPACE = "[^\\s\\u0085\\p{Z}]"
 
 # Accented letters and what they are matched as.
 ACCENTED = "áàäâÁÀÄÂéèëêÉÈËÊíìïîÍÌÏÎóòöôÓÒÖÔúùüûÚÙÜÛñÑçÇ"

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE
+from tessera.functions.text import NOT_SPACE, SPACE
 
 
 @dataclass(frozen=True)
@@ -37,13 +37,14 @@ class Policy:
     upper_run_bonus: float = 0.15
 
 
-_CORE = "[\\p{L}\\p{Nd}@\\-._+]"
+_OTHER = "[^\\p{L}\\p{Nd}@\\-._+]"
 
 
 def edges(token: Column) -> tuple[Column, Column, Column]:
     """(prefix, core, suffix). A last dot belongs to the core only after a digit."""
-    pattern = f"(?s)^(.*?)({_CORE}(?:.*{_CORE})?)?((?!.*{_CORE}).*)$"
-    prefix, core, suffix = (F.regexp_extract(token, pattern, i) for i in (1, 2, 3))
+    prefix = F.regexp_extract(token, f"^{_OTHER}*", 0)
+    core = F.regexp_replace(token, f"^{_OTHER}+|{_OTHER}+$", "")
+    suffix = F.when(core == "", "").otherwise(F.regexp_extract(token, f"{_OTHER}*$", 0))
     dotted = core.rlike("(?s)(^|[^\\p{Nd}])\\.$")
     short = F.when(dotted, F.substr(core, F.lit(1), F.length(core) - 1)).otherwise(core)
     return prefix, short, F.when(dotted, F.concat(F.lit("."), suffix)).otherwise(suffix)
@@ -112,7 +113,7 @@ def decide(tokens: DataFrame, policy: Policy | None = None, token: str = "token"
 
 def tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """df without text, one row per token: pos, gap (the white space before it), token."""
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"({SPACE}*)((?:(?!{SPACE}).)+)"), 0)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{SPACE}*{NOT_SPACE}+"), 0)
     rows = df.select(*[c for c in df.columns if c != text], F.posexplode(pieces).alias("pos", "piece"))
     return rows.select(*[c for c in rows.columns if c != "piece"], F.regexp_extract("piece", f"^{SPACE}*", 0).alias("gap"), F.regexp_replace("piece", f"^{SPACE}+", "").alias("token"))
 
