@@ -1,4 +1,4 @@
-"""Puts the package on the executors' Python path."""
+"""What driver and executors share: the package on the Python path, and a folder."""
 
 from __future__ import annotations
 
@@ -23,3 +23,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: spark.checkpoint.dir; a temporary one, set for the session, where it is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.jobs import due_jobs
 from tessera.operators.sanitize import line_key
+from tessera.shipping import shared_dir
 
 RUN = "key string, first string, n long"
 
@@ -57,7 +58,7 @@ def closed_runs(lines: DataFrame, by: str, order: list[str], line: str = "line")
 
 def drained(stream: DataFrame, spark: SparkSession, mode: str, folder: str | None = None) -> DataFrame:
     """Run a stream over all there is now, and read back what it gave; in complete mode, its last answer."""
-    base = (folder or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{folder or shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
