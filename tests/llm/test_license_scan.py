@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 from tessera.llm import license_scan as S
+from tessera.llm import oracles, queries
 
 DDL = "doc_id long, path string, text string, license string"
 
@@ -11,6 +12,10 @@ def scan(spark, rows):
     return {r["doc_id"]: r for r in S.scan(df).collect()}
 
 
+def test_query_matches_sql(spark, duck, same):
+    same(queries.op7_license_scan(spark, "/root/testdata/sf0.001"), duck, oracles.OP7)
+
+
 def test_notices_and_inheritance(spark):
     mit, apache = S.TEMPLATES["MIT"], S.TEMPLATES["Apache-2.0"]
     prose = "\n".join(f"line {i} of some prose" for i in range(20))
