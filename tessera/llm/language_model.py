@@ -30,7 +30,7 @@ FOLDS = 7
 HELD_OUT = 2
 #: Training documents of this remainder give the held-out counts for the weights.
 TUNE = 3
-BLOCK_TOKENS = 1_200_000
+BLOCK_TOKENS = 800_000
 #: Entries that a bucket answers, on average.
 BUCKET_ENTRIES = 400_000
 #: Hash of the end of a text, which is also what stands before its first word.
