@@ -117,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n, total = head["n"], head["total"] or 0
     bits = max(1, math.ceil(math.log2(max(n, 1) * slots_per_source)))
     block = max(1, -(-total // (1 << bits)))
-    buckets = max(16, min(4096, total // 2_000_000))
+    buckets = max(256, min(1 << 20, total // 1_000_000))
     rows = token_row(sized, "doc_id", int(buckets))
     wanted = goals.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
     joined = rows.join(F.broadcast(wanted) if n <= 10_000 else wanted, rows["source"].eqNullSafe(wanted["__source"])).drop("__source")
