@@ -1,0 +1,153 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+Sets of shingles are joined on prefixes: if all shingles stand in one order, two
+sets of a similarity of 4/5 share one of their first n - ceil(4n/5) + 1. Any order
+loses nothing; shingles that are frequent in a sample come last, which keeps the
+groups of equal shingles small. Pairs whose sizes or counts of shingles by first
+byte are too far apart go before texts are read again. In a group every set is first compared with the
+least one; then, where a group still holds several components, all pairs across
+them are compared. Copies cost no more than their number, and no link is lost.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import materialize, small_batches, spark_of
+from tessera.llm.components import components
+from tessera.llm.simhash import SEED, one_of_each, shingle_hashes
+
+SHINGLE = 5
+#: Least share of the texts, and least number, whose shingles are counted to put frequent ones last; the texts of them that make one frequent; the most that are told apart.
+SAMPLE_SHARE = 1 / 16
+SAMPLE_DOCS = 4_000
+FREQUENT = 4
+MOST_FREQUENT = 200_000
+#: Bins of a sketch: how many shingles of a set begin with each byte.
+BINS = 256
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; empty without words."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last, one of which is in every set of a similarity of 4/5."""
+    last = np.isin(own, frequent, assume_unique=True)
+    return np.concatenate((own[~last], own[last]))[: len(own) - math.ceil(4 * len(own) / 5) + 1]
+
+
+def _sets(texts: pd.Series, size: int) -> list[np.ndarray]:
+    return [shingle_set(t, size).view(np.int64) for t in texts]
+
+
+def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Sorted shingles that FREQUENT of a sample of different texts hold."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(s: pd.Series) -> pd.Series:
+        return pd.Series(_sets(s, size))
+
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, texts.count())))
+    sample = texts.sample(share, seed=SEED).distinct()
+    found = sample.select(F.explode(shingles("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    most = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"]
+    return np.sort(most.to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Counts of the shingles by their first byte, up to 255: two sets differ in at least as many shingles as their sketches."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def prefixes(rows: DataFrame, size: int) -> DataFrame:
+    """rows (id, text, k1, k2) with, for text, set_id (a digest of the shingles), size, sketch and prefix."""
+    frequent = frequent_shingles(rows.select("text"), size)
+
+    @F.pandas_udf("set_id long, size int, sketch binary, prefix array<long>")
+    def firsts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            sets = [shingle_set(t, size) for t in s]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"set_id": ids, "size": [len(x) for x in sets], "sketch": [sketch(x) for x in sets], "prefix": [prefix(x, frequent).view(np.int64) for x in sets]})
+
+    return rows.withColumn("p", firsts("text")).select("id", "k1", "k2", "p.*")
+
+
+def in_reach(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sizes and sketches (set_id, size, sketch) do not rule out a similarity of 4/5: such sets differ in at most a ninth of their sizes."""
+
+    @F.pandas_udf("long")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        u, v = (np.frombuffer(b"".join(z), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for z in (x, y))
+        return pd.Series(np.abs(u - v).sum(axis=1, dtype=np.int64))
+
+    a, b = (sketches.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    sized = pairs.join(a, "a").join(b, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
+    return sized.withColumn("apart", apart("sa", "sb")).where("9 * apart <= na + nb").select("a", "b")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more. sets: set_id, size, sketch, k1, k2 of a text that has the set."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(s: pd.Series) -> pd.Series:
+        return pd.Series(_sets(s, size))
+
+    pairs = materialize(in_reach(pairs, sets), "jaccard-pairs")
+    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    keys = sets.join(named, "set_id", "left_semi").select("set_id", "k1", "k2")
+    own = materialize(texts.join(keys, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", shingles("text").alias("hashes")), "jaccard-sets")
+    a = own.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
+    b = own.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return materialize(found, "jaccard-links")
+
+
+def links(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a, b: links of set_ids that span the components of similar sets. rows: prefixes(); texts: k1, k2, text."""
+    one = rows.groupBy("set_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    one = materialize(one.select("set_id", "k.k1", "k.k2", "size", "sketch", "prefix"), "jaccard-one")
+    sets = one.drop("prefix")
+    # both sides of the join stand on one shuffle
+    held = one.select("set_id", F.explode("prefix").alias("h")).repartition("h")
+    firsts = held.groupBy("h").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least != most")
+    shared = materialize(held.join(firsts.select("h", "least"), "h"), "jaccard-shared")
+    stars = similar(shared.where("set_id != least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct(), sets, texts, size)
+    rooted = shared.join(components(stars), shared["set_id"] == F.col("node"), "left").select("h", "set_id", F.coalesce("root", "set_id").alias("root"))
+    open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    left = materialize(rooted.join(open_, "h"), "jaccard-open")
+    x, y = (left.select("h", F.col("set_id").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    across = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))).select("a", "b").distinct()
+    return stars.union(similar(across, sets, texts, size))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, k1, k2 (digests of the text), set_id, root (a set that stands for the component).
+
+    Texts whose sets of shingles have a Jaccard similarity of 4/5 or more are
+    linked; texts of fewer words than a shingle are one shingle, and null texts
+    and those without words are linked with each other alone. Shingles are told
+    apart by 64 bits. Repeated rows stay rows; an empty table gives none.
+    """
+    small_batches(spark_of(docs))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    rows = materialize(prefixes(texts, size), "jaccard-rows")
+    linked = components(links(rows, texts.select("k1", "k2", "text"), size))
+    ids = rows.select("id", "k1", "k2", "set_id")
+    return ids.join(linked, ids["set_id"] == linked["node"], "left").select("id", "k1", "k2", "set_id", F.coalesce("root", "set_id").alias("root"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each component: the one of least id stays (null last; ties by digests of the text)."""
+    return one_of_each(docs, near_duplicates(docs, size, id_col, text_col), id_col, text_col)

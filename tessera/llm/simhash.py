@@ -30,19 +30,24 @@ TILE = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Bits set in over half the XXH64 of the word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles in order, repeats included; none without words."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.array([], dtype=np.uint64)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
-    return majority(np.array(hashes, dtype=np.uint64))
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Bits set in over half the XXH64 of the word shingles, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, size))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -201,7 +206,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each component: the one of least id stays (null last; ties by digests of the text)."""
-    rows = near_duplicates(docs, radius, id_col, text_col)
+    return one_of_each(docs, near_duplicates(docs, radius, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without all but the first document of each root of rows (id, k1, k2, root)."""
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("first")
     chosen = rows.groupBy("root").agg(first).select("first.id", "first.k1", "first.k2")
     text = F.coalesce(F.col(text_col), F.lit(""))

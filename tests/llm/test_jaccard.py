@@ -1,0 +1,75 @@
+import random
+
+import corpus_pipeline as P
+import pytest
+from tessera.llm import jaccard as J
+
+
+def plain_set(text, size=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
+def brute_keep(rows):
+    """Ids of the documents that stay, of rows (id, text): the least of each component of Jaccard >= 0.8."""
+    sets = [plain_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or 10 * len(sets[i] & sets[j]) >= 8 * union:
+                group[root(i)] = root(j)
+    least: dict = {}
+    for i, (doc, _) in enumerate(rows):
+        least.setdefault(root(i), []).append((doc is None, doc or 0))
+    return sorted((min(x) for x in least.values()), key=str)
+
+
+def kept(docs):
+    return sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect()), key=str)
+
+
+def near_copies(seed, n=120):
+    """Texts at every distance from each other: edits of earlier texts, chains of them, and passages that many share."""
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    common = [word() for _ in range(40)]
+    out: list = []
+    for i in range(n):
+        if i % 3 and out:
+            t = list(rnd.choice(out[-12:]))
+            for _ in range(rnd.randrange(5)):
+                t[rnd.randrange(len(t))] = word()
+        else:
+            t = [word() for _ in range(rnd.randint(3, 120))]
+            t = t + common if i % 2 else t
+        out.append(t)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_stage_matches_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert kept(P.near_duplicates(spark, docs, d)) == brute_keep(rows)
+
+
+@pytest.mark.parametrize("frequent", [3, 30])
+def test_edits_and_shared_passages_match_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    rows = near_copies(frequent)
+    want = brute_keep(rows)
+    assert 20 < len(want) < len(rows) - 20
+    assert kept(J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_messy_documents_match_brute_force(messy, empty):
+    rows = [(r["doc_id"], r["text"]) for r in messy.select("doc_id", "text").collect()]
+    assert kept(J.keep_one(messy)) == brute_keep(rows)
+    assert J.keep_one(empty).count() == 0
