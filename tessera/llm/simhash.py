@@ -135,12 +135,12 @@ def _small_buckets(key: np.ndarray, fp: np.ndarray, radius: int, most: int = 64)
 
 
 def compare(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Links of tile pairs. Rows (key, pair, side, fp) come in order of (key, pair), which tell the pair; side 1 is compared with side 0, or side 0 with itself."""
+    """Links of tile pairs. Rows (band, key, pair, side, fp) come in order of (band, key, pair), which tell the pair; side 1 is compared with side 0, or side 0 with itself."""
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
-        key, pair, side, fp = (block[c].to_numpy() for c in ("key", "pair", "side", "fp"))
+        band, key, pair, side, fp = (block[c].to_numpy() for c in ("band", "key", "pair", "side", "fp"))
         fp = fp.view(np.uint64)
-        edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
+        edge = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
         no = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(key))))
         alone = side == 0
         a, b = _small_buckets(no[alone], fp[alone], radius)
@@ -158,7 +158,7 @@ def compare(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
     for frame in frames:
         if len(frame):
             last = frame.iloc[-1]
-            open_rows = ((frame["key"] == last["key"]) & (frame["pair"] == last["pair"])).to_numpy()
+            open_rows = ((frame["band"] == last["band"]) & (frame["key"] == last["key"]) & (frame["pair"] == last["pair"])).to_numpy()
             held.append(frame[~open_rows])
             if not open_rows.all() and sum(map(len, held)) >= 20_000:
                 yield links(pd.concat(held))
@@ -178,9 +178,9 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     both = both.withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
     # a fingerprint of cut i stands in the pairs of i with every cut: on side 0 with later cuts and itself, else on side 1
     placed = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    pair = (F.col("band").cast("long") * F.col("cuts") + F.least("cut", "other")) * F.col("cuts") + F.greatest("cut", "other")
-    placed = placed.select("key", pair.alias("pair"), F.when(F.col("cut") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
-    placed = placed.repartition("key", "pair").sortWithinPartitions("key", "pair")
+    pair = F.least("cut", "other").cast("long") * F.col("cuts") + F.greatest("cut", "other")
+    placed = placed.select("band", "key", pair.alias("pair"), F.when(F.col("cut") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
+    placed = placed.repartition("band", "key", "pair").sortWithinPartitions("band", "key", "pair")
     return placed.mapInPandas(lambda it: compare(it, radius), "a long, b long")
 
 

@@ -85,6 +85,21 @@ def test_tile_links_skip_nothing_in_reach():
     assert want <= linked
 
 
+def test_equal_keys_of_different_bands_stay_apart(spark):
+    """Bucket of the first pair of bands zero: two tiles, whose pair (0, 1) had the number of the second pair of bands' one tile."""
+    rnd = random.Random(11)
+    low = lambda: rnd.getrandbits(15) | 1 << 15
+    large = {low() << 32 | low() << 48 for _ in range(150)}
+    # zero in bands 0 and 2 alone: 45 links whose bits differ in bands 1 and 3, one bit each
+    base = [low() << 16 | low() << 48 for _ in range(45)]
+    small = set(base) | {p ^ (1 << 20 | 1 << 52) for p in base}
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for p in sorted(large | small)], "fp long")
+    got = {r["node"]: r["root"] for r in components(H.near_links(df, tile=100)).collect()}
+    for p in base:
+        assert got[signed(p)] == got[signed(p ^ (1 << 20 | 1 << 52))]
+
+
 def test_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 70)] + [(1000, i) for i in range(1001, 1040)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
