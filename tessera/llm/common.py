@@ -12,6 +12,9 @@ from tessera.shipping import ship
 
 #: ASCII white space as the contracts define words: space, tab, LF, VT, FF, CR.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Keys that salted joins spread at most; rows of a key that are never spread.
+HOT_KEYS = 2000
+HOT_ROWS = 200
 
 
 def spark_of(df: DataFrame) -> SparkSession:
@@ -35,6 +38,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """keys, salts: the keys of sizes that hold over a two-thousandth of all its rows (HOT_ROWS at least), and over how many salts to spread each.
+
+    A key counts as hot from a share of all rows on, so there are HOT_KEYS of
+    them at most, whatever the size: they may be broadcast.
+    """
+    total = sizes.agg(F.sum(rows)).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    return sizes.where(F.col(rows) > most).select(*keys, F.ceil(F.col(rows) / most).cast("int").alias("__salts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """left joined with right (inner or left), by a shuffle, with rows of hot keys (hot_keys) of left spread over tasks.
+
+    right has few rows of each key; those of hot ones are sent to every salt.
+    spread tells rows of a key apart and must be the same on a second run.
+    """
+    hot = F.broadcast(hot)
+    salt = F.pmod(spread, F.coalesce("__salts", F.lit(1))).cast("int")
+    salted = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__salts")
+    salts = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    spread_out = right.join(hot, keys, "left").withColumn("__salt", F.explode(salts)).drop("__salts")
+    return salted.join(spread_out.hint("merge"), [*keys, "__salt"], how).drop("__salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Before Python functions: ship the package, and keep Arrow batches so small that texts of some hundred KB do not fill a worker."""
     ship(spark)

@@ -8,6 +8,12 @@ together in blocks, and on the Burrows-Wheeler transform of a block breadth-firs
 backward extension derives the common prefixes of neighbouring suffixes by
 increasing value. It stops at MIN_BYTES: boundaries that are still open then part
 no interval, and an interval of weight two or more is a repeated window.
+
+An anchor with more different segments than a block takes is crowded, say, one at
+the edge of a passage that very many documents hold. The windows of its segments
+get anchors once more, from longer strings, which tell more of them apart; the
+longest are whole windows, of which equal ones are one segment. So every window
+goes through a transform, and no block grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,16 +26,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, spark_of
+from tessera.llm.common import hot_keys, materialize, salted_join, small_batches, spark_of
 
 MIN_BYTES = 200
-#: Length of the strings that anchors are chosen from; shorter than MIN_BYTES.
-ANCHOR_BYTES = 50
+#: Length of the strings that anchors are chosen from, in eighths of a window: first for all texts, then for what is crowded.
+ANCHOR_EIGHTHS = (2, 5, 7, 8)
 #: Windows of a segment at most; longer runs of one anchor are cut.
 SEGMENT_WINDOWS = 4096
 #: Bytes of a block, give or take one group.
 BLOCK_BYTES = 1_500_000
-#: Different segments of one anchor that a block takes; windows of larger groups are counted one by one.
+#: Different segments of one anchor that a block takes; of larger groups, the windows get longer anchors.
 GROUP_SEGMENTS = 2048
 
 _MULTIPLIER, _SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -76,12 +82,12 @@ def _slide(f, x: np.ndarray, span: int) -> np.ndarray:
     return f(x[: -(span - width)], x[span - width :]) if span > width else x
 
 
-def segments(text: bytes, length: int = MIN_BYTES, anchor: int = ANCHOR_BYTES) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first window, number of windows, whether the anchor stands in it twice) of the segments of a text."""
+def _anchored(text: bytes, length: int, anchor: int, cut: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash of every window, first window, number of windows, whether the anchor stands in it twice) of the segments of a text."""
     b = np.frombuffer(text, dtype=np.uint8)
     if len(b) < length:
         z = np.empty(0, dtype=np.int64)
-        return z.view(np.uint64), z.view(np.uint64), z, z, z.astype(bool)
+        return z.view(np.uint64), z, z, z.astype(bool)
     hashes, span = rolling(b, anchor), length - anchor + 1
     least = _slide(np.minimum, hashes, span)
     change = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
@@ -90,17 +96,27 @@ def segments(text: bytes, length: int = MIN_BYTES, anchor: int = ANCHOR_BYTES) -
     edge = np.zeros(span - 1, dtype=np.uint64)
     places = hashes[hashes == _slide(np.maximum, np.concatenate((edge, least, edge)), span)]
     again = np.diff(np.append(np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))), len(places))) > 1
-    if size.max() > SEGMENT_WINDOWS:
-        pieces = -(-size // SEGMENT_WINDOWS)
+    if size.max() > cut:
+        pieces = -(-size // cut)
         again = np.repeat(again, pieces)
-        change = np.concatenate([np.arange(a, a + n, SEGMENT_WINDOWS) for a, n in zip(change, size, strict=True)])
+        # the pieces of a segment start at its first window and every `cut` windows on
+        inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        change = np.repeat(change, pieces) + cut * inside
         size = np.diff(np.append(change, len(least)))
-    whole = rolling(b, length)
+    return least, change, size, again
+
+
+def segments(text: bytes, length: int = MIN_BYTES, anchor: int = MIN_BYTES // 4, cut: int = SEGMENT_WINDOWS) -> tuple[np.ndarray, ...]:
+    """(anchor hash, content hash, first window, number of windows) of the segments of a text."""
+    least, change, size, _ = _anchored(text, length, anchor, cut)
+    if not len(least):
+        return least, least, change, size
+    whole = rolling(np.frombuffer(text, dtype=np.uint8), length)
     if -1 not in _TABLES:
         _TABLES[-1] = _powers(_SECOND, SEGMENT_WINDOWS + 1)
     inside = np.arange(len(least)) - np.repeat(change, size)
     content = np.add.reduceat(whole * _TABLES[-1][0][inside], change) ^ (size.astype(np.uint64) * np.uint64(_MULTIPLIER))
-    return least[change], content, change, size, again
+    return least[change], content, change, size
 
 
 def suffix_order(sym: np.ndarray, depth: int) -> np.ndarray:
@@ -199,12 +215,25 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _anchor_rows(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _anchor_keys(frames: Iterator[pd.DataFrame], length: int, anchor: int, cut: int) -> Iterator[pd.DataFrame]:
+    """The anchors alone, one row per segment; those that stand in a segment twice count as two."""
+    for frame in frames:
+        parts = [_anchored(t, length, anchor, cut) for t in frame["text"]]
+        n = [len(p[1]) for p in parts]
+        if sum(n):
+            weight = np.repeat(frame["weight"].to_numpy(), n)
+            again = np.concatenate([p[3] for p in parts])
+            yield pd.DataFrame({"h": np.concatenate([p[0][p[1]] for p in parts]).view(np.int64), "k1": np.repeat(frame["k1"].to_numpy(), n), "times": np.where(again, 2, weight)})
+
+
+def _anchor_rows(frames: Iterator[pd.DataFrame], length: int, anchor: int, cut: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        parts = [segments(t, length) for t in frame["text"]]
+        parts = [segments(t, length, anchor, cut) for t in frame["text"]]
         n = [len(p[0]) for p in parts]
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=np.int64)] * 5
-        yield pd.DataFrame({"h": cols[0].view(np.int64), "content": cols[1].view(np.int64), "k1": np.repeat(frame["k1"].to_numpy(), n), "k2": np.repeat(frame["k2"].to_numpy(), n), "lo": cols[2].astype(np.int64), "n": cols[3].astype(np.int32), "again": cols[4].astype(bool)})
+        if sum(n):
+            h, content, lo, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            k1, k2, weight = (np.repeat(frame[c].to_numpy(), n) for c in ("k1", "k2", "weight"))
+            yield pd.DataFrame({"h": h.view(np.int64), "content": content.view(np.int64), "k1": k1, "k2": k2, "lo": lo.astype(np.int64), "n": size.astype(np.int32), "weight": weight})
 
 
 def _regions(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -283,57 +312,80 @@ def _blocks(frames: Iterator[pd.DataFrame], length: int, block_bytes: int) -> It
         yield _block_results(pd.concat(held, ignore_index=True), length)
 
 
-def _window_rows(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """One row per window of the segments of crowded anchors, with two hashes of its bytes."""
+def _crowd_texts(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """The bytes of the segments of crowded anchors, as texts known by (h, content)."""
     for frame in frames:
-        for text, wants in zip(frame["text"], frame["wants"], strict=True):
-            for w in wants:
-                b = np.frombuffer(text, dtype=np.uint8)[w["lo"] : w["lo"] + w["n"] + length - 1]
-                one, two = rolling(b, length), rolling(b, length, _SECOND)
-                yield pd.DataFrame({"h": w["h"], "content": w["content"], "weight": w["weight"], "i": np.arange(w["n"], dtype=np.int32), "a": one.view(np.int64), "b": two.view(np.int64)})
+        rows = [(w["h"], w["content"], w["weight"], text[w["lo"] : w["lo"] + w["n"] + length - 1]) for text, wants in zip(frame["text"], frame["wants"], strict=True) for w in wants]
+        yield pd.DataFrame(rows, columns=["k1", "k2", "weight", "text"])
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, text_col: str = "text", group_segments: int = GROUP_SEGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """k1, k2 (digests of a text), spans: array of (start, end) in bytes, which may overlap, whose union is to go.
+def _repeated(texts: DataFrame, length: int, anchors: tuple[int, ...], group_segments: int, block_bytes: int) -> DataFrame:
+    """k1, k2, windows: array of (starts, ends), the runs of repeated windows of texts (k1, k2, weight, text: binary), by their first bytes.
 
-    One row per different text with a repeated window. Rows with equal texts
-    are different documents: they repeat each other.
+    anchors: lengths of the strings that anchors are chosen from, the last that
+    of a window. Rows of equal keys are copies and add their weights.
     """
-    small_batches(spark_of(docs), 250)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.cast("binary").alias("text"))
-    anchors = texts.mapInPandas(lambda it: _anchor_rows(it, length), "h long, content long, k1 long, k2 long, lo long, n int, again boolean")
-    anchors = materialize(anchors, "suffix-anchors")
+    anchor, rest = anchors[0], anchors[1:]
+    cut = SEGMENT_WINDOWS if rest else 1
+    keys = texts.select("k1", "weight", "text").mapInPandas(lambda it: _anchor_keys(it, length, anchor, cut), "h long, k1 long, times long")
     # an anchor matters that stands in two places, be it in one segment
-    shared = anchors.groupBy("h").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("all"), F.min("k1").alias("family")).where(F.col("all") > 1).drop("all")
-    members = anchors.join(shared, "h").groupBy("h", "content", "k1", "k2", "lo", "n", "family").agg(F.count("*").alias("copies"))
-    members = materialize(members, "suffix-members")
-    segment = members.groupBy("h", "content", "family").agg(F.sum("copies").alias("weight"), F.min(F.struct("k1", "k2", "lo", "n")).alias("rep"))
-    segment = materialize(segment.select("h", "content", "family", "weight", "rep.*"), "suffix-segments")
-    crowd = segment.groupBy("h").agg(F.count("*").alias("different"))
-    parts = segment.groupBy("family").agg(F.ceil(F.sum(F.col("n") + length - 1) / block_bytes).alias("parts"))
-    placed = segment.join(crowd, "h").join(parts, "family").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("crowded", F.col("different") > group_segments)
+    shared = keys.groupBy("h").agg(F.sum("times").alias("times"), F.count("*").alias("rows"), F.min("k1").alias("family")).where("times > 1")
+    shared = materialize(shared.select("h", "family", "rows"), "suffix-shared")
+    rows = texts.select("k1", "k2", "weight", "text").mapInPandas(lambda it: _anchor_rows(it, length, anchor, cut), "h long, content long, k1 long, k2 long, lo long, n int, weight long")
+    members = salted_join(rows, shared.drop("rows"), ["h"], hot_keys(shared, ["h"], "rows"), F.xxhash64("k1", "lo"))
+    members = materialize(members.groupBy("h", "content", "k1", "k2", "lo", "n", "family").agg(F.sum("weight").alias("copies")), "suffix-members")
+    segment = members.groupBy("h", "content", "family").agg(F.sum("copies").alias("weight"), F.count("*").alias("rows"), F.min(F.struct("k1", "k2", "lo", "n")).alias("rep"))
+    segment = materialize(segment.select("h", "content", "family", "weight", "rows", "rep.*"), "suffix-segments")
+    per = segment.groupBy("h", "family").agg(F.count("*").alias("different"), F.sum(F.col("n") + length - 1).alias("bytes"))
+    crowded = materialize(per.where(F.lit(bool(rest)) & (F.col("different") > group_segments)), "suffix-crowded")
+    none = crowded.limit(1).count() == 0
+    # a family's segments lie around the anchors of one text; large families are cut by anchor
+    families = per.where(F.lit(not rest) | (F.col("different") <= group_segments)).groupBy("family").agg(F.sum("different").alias("different"), F.ceil(F.sum("bytes") / block_bytes).cast("int").alias("parts"))
+    families = materialize(families.where("parts > 1"), "suffix-families")
+    placed = segment
+    if none:
+        placed = placed.withColumn("crowded", F.lit(False))
+    else:
+        flag = crowded.select("h", F.lit(True).alias("flag"))
+        placed = salted_join(placed, flag, ["h"], hot_keys(crowded, ["h"], "different"), F.col("content"), "left").withColumn("crowded", F.coalesce("flag", F.lit(False))).drop("flag")
+    placed = salted_join(placed, families.select("family", "parts"), ["family"], hot_keys(families, ["family"], "different"), F.col("content"), "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("h"), F.coalesce("parts", F.lit(1))).cast("int"))
     # copies of a text are equal, so any one will do
     one = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     want = F.struct("family", "part", "lo", "n", "h", "content", "weight")
     wants = placed.groupBy("k1", "k2").agg(F.collect_list(F.when(~F.col("crowded"), want)).alias("wants"), F.collect_list(F.when(F.col("crowded"), want)).alias("crowds"))
-    sources = one.join(wants, ["k1", "k2"])
+    sources = one.join(wants.hint("merge"), ["k1", "k2"])
+    if not none:
+        sources = materialize(sources, "suffix-sources")
     regions = sources.select("k1", "k2", "text", "wants").where(F.size("wants") > 0)
     array = "array<long>"
     regions = regions.mapInPandas(lambda it: _regions(it, length), f"family long, part int, k1 long, k2 long, lo long, bytes binary, at {array}, n {array}, h {array}, content {array}, weight {array}")
     regions = regions.repartition("family", "part").sortWithinPartitions("family", "part")
-    found = regions.mapInPandas(lambda it: _blocks(it, length, block_bytes), "h long, content long, starts array<int>, ends array<int>")
+    found = regions.mapInPandas(lambda it: _blocks(it, length, block_bytes), "h long, content long, starts array<long>, ends array<long>")
     found = materialize(found.select("h", "content", F.arrays_zip("starts", "ends").alias("windows")), "suffix-found")
-    if placed.where("crowded").limit(1).count():
+    if not none:
         single = sources.select("text", F.col("crowds").alias("wants")).where(F.size("wants") > 0)
-        rows = single.mapInPandas(lambda it: _window_rows(it, length), "h long, content long, weight long, i int, a long, b long")
-        rows = materialize(rows, "suffix-windows")
-        heavy = rows.groupBy("a", "b").agg(F.sum("weight").alias("all")).where(F.col("all") > 1)
-        more = rows.join(heavy, ["a", "b"]).groupBy("h", "content").agg(F.collect_list(F.struct(F.col("i").alias("starts"), (F.col("i") + 1).alias("ends"))).alias("windows"))
-        found = found.unionByName(more)
-    spans = members.join(found, ["h", "content"]).select("k1", "k2", F.transform("windows", lambda w: F.struct((F.col("lo") + w["starts"]).alias("start"), (F.col("lo") + w["ends"] + (length - 1)).alias("end"))).alias("spans"))
-    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        crowd = materialize(single.mapInPandas(lambda it: _crowd_texts(it, length), "k1 long, k2 long, weight long, text binary"), "suffix-crowd")
+        more = _repeated(crowd, length, rest, group_segments, block_bytes)
+        found = found.unionByName(more.select(F.col("k1").alias("h"), F.col("k2").alias("content"), "windows"))
+    at = members.select("h", "content", "k1", "k2", "lo")
+    spans = salted_join(at, found, ["h", "content"], hot_keys(segment, ["h", "content"], "rows"), F.xxhash64("k1", "lo"))
+    shifted = F.transform("windows", lambda w: F.struct((F.col("lo") + w["starts"]).alias("starts"), (F.col("lo") + w["ends"]).alias("ends")))
+    return spans.select("k1", "k2", shifted.alias("windows")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+
+
+def repeated_spans(docs: DataFrame, length: int = MIN_BYTES, text_col: str = "text", group_segments: int = GROUP_SEGMENTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """k1, k2 (digests of a text), spans: array of (start, end) in bytes, which may overlap, whose union is to go.
+
+    One row per different text with a repeated window. Rows with equal texts
+    are different documents: they repeat each other.
+    """
+    small_batches(spark_of(docs), 250)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.lit(1).cast("long").alias("weight"), text.cast("binary").alias("text"))
+    anchors = tuple(max(1, length * e // 8) for e in ANCHOR_EIGHTHS)
+    found = _repeated(texts, length, anchors, group_segments, block_bytes)
+    return found.select("k1", "k2", F.transform("windows", lambda w: F.struct(w["starts"].alias("start"), (w["ends"] + (length - 1)).alias("end"))).alias("spans"))
 
 
 def _cut(text: bytes, spans) -> tuple[bytes, int]:
@@ -361,17 +413,20 @@ def dedup_substrings(docs: DataFrame, length: int = MIN_BYTES, text_col: str = "
     base = docs.drop(*({"kept", "n_bytes", "n_removed", "n_spans"} & set(docs.columns)))
     spans = repeated_spans(base, length, text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = base.select("*", F.xxhash64(text).alias("k1__"), F.xxhash64(F.lit(1), text).alias("k2__"))
-    spans = spans.select(F.col("k1").alias("k1__"), F.col("k2").alias("k2__"), F.col("spans").alias("spans__"))
+    keyed = base.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"))
+    spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    copies = materialize(keyed.groupBy("__k1", "__k2").agg(F.count("*").alias("rows")).where("rows > 1"), "suffix-copies")
 
     @F.pandas_udf("kept binary, n_spans long")
     def cut(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, all_spans in it:
             yield pd.DataFrame([_cut(t, s) for t, s in zip(texts, all_spans, strict=True)], columns=["kept", "n_spans"])
 
-    joined = keyed.join(spans, ["k1__", "k2__"], "left").withColumn("cut__", cut(text.cast("binary"), F.col("spans__")))
+    told = [F.col(f"`{c}`") for c, kind in base.dtypes if c != text_col and "map<" not in kind and "variant" not in kind]
+    spread = F.xxhash64(*told) if told else F.lit(0)
+    joined = salted_join(keyed, spans, ["__k1", "__k2"], hot_keys(copies, ["__k1", "__k2"], "rows"), spread, "left").withColumn("__cut", cut(text.cast("binary"), F.col("__spans")))
     n = F.octet_length(text).cast("long")
-    out = joined.select(*[F.col(f"`{c}`") for c in base.columns], F.col("cut__.kept").alias("kept"), n.alias("n_bytes"), (n - F.octet_length("cut__.kept")).cast("long").alias("n_removed"), F.col("cut__.n_spans").alias("n_spans"))
+    out = joined.select(*[F.col(f"`{c}`") for c in base.columns], F.col("__cut.kept").alias("kept"), n.alias("n_bytes"), (n - F.octet_length("__cut.kept")).cast("long").alias("n_removed"), F.col("__cut.n_spans").alias("n_spans"))
     return out
 
 
