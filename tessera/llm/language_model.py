@@ -5,18 +5,23 @@ a uniform term. The weights depend on how often h was seen (buckets by powers of
 two) and are learned by expectation-maximisation on counts held out from
 training.
 
-Counting and scoring work on blocks of documents, some MB of text each. A block
-asks for the corpus counts of its different words and word pairs; questions go
-to buckets by hash, a bucket adds up what all blocks have seen, and the answers
-go back to the blocks. So a common word is one entry of a block, and no table of
-the vocabulary is ever in one place. Words are known by 64-bit hashes, pairs by
-48 bits inside a bucket.
+Counting and scoring work on blocks of documents, some MB of text each. Up to
+RELAY_BLOCKS blocks of a task stand together in a relay, which merges their
+different words and word pairs and asks for the corpus counts of these once;
+questions go to buckets by hash, a bucket adds up what all relays have seen, and
+the answers go back to the relays. So a common word is one entry of a relay, and
+no table of the vocabulary is ever in one place. Messages are relays times
+buckets, but never more than different entries of relays: the size of relays and
+buckets is bounded by memory alone, so both are as large as a task can hold.
+Words are known by 64-bit hashes, pairs by 48 bits inside a bucket.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,12 +35,14 @@ FOLDS = 7
 HELD_OUT = 2
 #: Training documents of this remainder give the held-out counts for the weights.
 TUNE = 3
-BLOCK_TOKENS = 800_000
-#: Entries that a bucket answers, on average.
-BUCKET_ENTRIES = 400_000
+BLOCK_TOKENS = 400_000
+#: Blocks of a relay at most: 16 hold up to 6.4 million different pairs, 100 MB of hashes and counts.
+RELAY_BLOCKS = 16
+#: Entries that a bucket answers at most, on average; there are 2 ** k buckets.
+BUCKET_ENTRIES = 1_000_000
 #: Hash of the end of a text, which is also what stands before its first word.
 END = 0x5DEECE66D1CE4E5B
-#: Steps of the histogram of likelihood ratios, per power of two.
+#: Steps of the histogram of likelihood ratios, per power of two. A ratio is off by 9 % at most (2 ** (1 / 8)), up and down alike; weights are learned from these, scores use exact ratios.
 STEPS = 4
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -100,9 +107,14 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
 
 
-def _short(h: np.ndarray) -> bytes:
-    """The upper 48 bits of hashes in ascending order."""
-    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _bucket(h: np.ndarray, k: int) -> np.ndarray:
+    """The upper k bits of hashes: a bucket's hashes are neighbours in ascending order."""
+    return (h >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(h), dtype=np.int64)
+
+
+def _short(h: np.ndarray, k: int) -> bytes:
+    """48 bits of each hash, those after the upper k that tell the bucket."""
+    return np.ascontiguousarray(((h << np.uint64(k)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _from_short(b: bytes) -> np.ndarray:
@@ -110,32 +122,50 @@ def _from_short(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.pad(raw, ((0, 0), (0, 2)))).view("<u8").reshape(-1)
 
 
-_BLOCK = "block string, tune boolean, ids array<long>, fold array<int>, n array<int>, words binary, tokens binary, n_words long, n_tokens long"
+class Block(NamedTuple):
+    """Documents of a relay: their ids and folds, numbers of tokens, the block's different words (hashes) and its tokens (packed places of words)."""
+
+    ids: list[str | None]
+    fold: list[int]
+    n: list[int]
+    words: bytes
+    tokens: bytes
+
+
+_RELAY = "relay string, tune boolean, ids array<array<string>>, fold array<array<int>>, n array<array<int>>, words array<binary>, tokens array<binary>, n_words long, n_tokens long"
+
+
+def blocks_of(row) -> Iterator[Block]:
+    """The blocks of a row of relays."""
+    return itertools.starmap(Block, zip(row.ids, row.fold, row.n, row.words, row.tokens, strict=True))
 
 
 def _names(ddl: str) -> list[str]:
     return [field.split()[0] for field in ddl.split(", ")]
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of documents; those that tune the weights stand in blocks of their own."""
+def _relays(frames: Iterator[pd.DataFrame], block_tokens: int, relay_blocks: int) -> Iterator[pd.DataFrame]:
+    """Relays of blocks of documents; those that tune the weights stand in relays of their own."""
     from pyspark import TaskContext
 
-    task, no = TaskContext.get().partitionId(), 0
+    task, numbers = TaskContext.get().partitionId(), itertools.count()
     held: dict[bool, list] = {True: [], False: []}
+    made: dict[bool, list[Block]] = {True: [], False: []}
 
-    def block(tune: bool) -> pd.DataFrame:
-        nonlocal no
+    def close(tune: bool) -> None:
         parts, held[tune] = held[tune], []
         h = np.concatenate([p[0] for p in parts])
         words, index, count = np.unique(h, return_inverse=True, return_counts=True)
         by = np.argsort(-count, kind="stable")  # common words get small numbers, which pack well
         place = np.empty(len(by), dtype=np.int64)
         place[by] = np.arange(len(by))
-        no += 1
-        ids = [None if pd.isna(i) else int(i) for p in parts for i in p[2]]
-        row = (f"{task}-{no}", tune, ids, np.concatenate([p[3] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(), words[by].tobytes(), pack(place[index]), len(words), len(h))
-        return pd.DataFrame([row], columns=_names(_BLOCK))
+        ids = [i for p in parts for i in p[2]]
+        made[tune].append(Block(ids, np.concatenate([p[3] for p in parts]).tolist(), np.concatenate([p[1] for p in parts]).tolist(), words[by].tobytes(), pack(place[index])))
+
+    def relay(tune: bool) -> pd.DataFrame:
+        blocks, made[tune] = made[tune], []
+        row = (f"{task}-{next(numbers)}", tune, *map(list, zip(*blocks, strict=True)), sum(len(b.words) // 8 for b in blocks), sum(sum(b.n) for b in blocks))
+        return pd.DataFrame([row], columns=_names(_RELAY))
 
     for frame in frames:
         for tune in (True, False):
@@ -143,11 +173,15 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(f):
                 h, n = word_hashes(f["text"].tolist())
                 held[tune].append((h, n, f["id"].tolist(), f["fold"].to_numpy()))
-                if sum(len(p[0]) for p in held[tune]) >= BLOCK_TOKENS:
-                    yield block(tune)
+                if sum(len(p[0]) for p in held[tune]) >= block_tokens:
+                    close(tune)
+                    if len(made[tune]) == relay_blocks:
+                        yield relay(tune)
     for tune in (True, False):
         if held[tune]:
-            yield block(tune)
+            close(tune)
+        if made[tune]:
+            yield relay(tune)
 
 
 def _pairs(words: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,65 +192,98 @@ def _pairs(words: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return before, _mix(words[before] * np.uint64(_P) + words[tokens])
 
 
-def _ask(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """The questions of each block: the words and pairs of a bucket in ascending order, with the block's own counts."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]], slices: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different hashes of parts (ascending hashes, counts) and the sums of their counts, a slice of the hashes after another."""
+    if len(parts) == 1:
+        return parts[0]
+    found = []
+    cuts = [np.searchsorted(h, np.array([(s << 64) // slices for s in range(1, slices)], dtype=np.uint64)).tolist() for h, _ in parts]
+    for s in range(slices):
+        own = [slice(c[s - 1] if s else 0, c[s] if s + 1 < slices else None) for c in cuts]
+        hashes, at = np.unique(np.concatenate([h[o] for (h, _), o in zip(parts, own, strict=True)]), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([n[o] for (_, n), o in zip(parts, own, strict=True)]), minlength=len(hashes))
+        found.append((hashes, sums.astype(np.int32)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _seen(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of the words and of the pairs of a block: ascending hashes, and how often each stands in training texts."""
+    words, tokens, n = np.frombuffer(block.words, dtype=np.uint64), unpack(block.tokens), np.array(block.n)
+    learn = np.repeat(np.array(block.fold) != HELD_OUT, n)
+    _, pair = _pairs(words, tokens, n)
+    upair, at = np.unique(pair, return_inverse=True)
+    order = np.argsort(words)
+    return [(words[order], np.bincount(tokens[learn], minlength=len(words)).astype(np.int32)[order]), (upair, np.bincount(at[learn], minlength=len(upair)).astype(np.int32))]
+
+
+def _ask(frames: Iterator[pd.DataFrame], k: int, messages: int = 256) -> Iterator[pd.DataFrame]:
+    """The questions of each relay: the words and pairs of a bucket in ascending order, with the relay's own counts."""
     for frame in frames:
         for row in frame.itertuples():
-            words, tokens, n = np.frombuffer(row.words, dtype=np.uint64), unpack(row.tokens), np.array(row.n)
-            fold = np.repeat(np.array(row.fold), n)
-            learn, tune = fold != HELD_OUT, fold == TUNE
-            _, pair = _pairs(words, tokens, n)
-            upair, at = np.unique(pair, return_inverse=True)
-            for kind, hashes, index in ((0, words, tokens), (1, upair, at)):
-                order = np.argsort(hashes)
-                full, part = (np.bincount(index, weights=w, minlength=len(hashes)).astype(np.int64)[order] for w in (learn, tune))
-                h = hashes[order]
-                bucket = (_mix(h) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                h, bucket, full, part = h[by], bucket[by], full[by], part[by]
+            seen = list(map(_seen, blocks_of(row)))
+            for kind in (0, 1):
+                h, n = _merged([block[kind] for block in seen])
+                for block in seen:
+                    block[kind] = None
+                bucket = _bucket(h, k)
                 edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                spans = list(zip(edge, np.append(edge[1:], len(h)), strict=True))
-                yield pd.DataFrame([(kind, int(bucket[a]), row.block, row.tune, h[a:b].tobytes() if kind == 0 else _short(h[a:b]), pack(full[a:b]), pack(part[a:b])) for a, b in spans], columns=["kind", "bucket", "block", "tune", "hashes", "full", "part"])
+                spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True))
+                for i in range(0, len(spans), messages):
+                    yield pd.DataFrame([(kind, int(bucket[a]), row.relay, row.tune, h[a:b].tobytes() if kind == 0 else _short(h[a:b], k), pack(n[a:b])) for a, b in spans[i : i + messages]], columns=_names(_QUESTION))
 
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
-    """The corpus counts of a bucket's words or pairs to every block that asked, and the bucket's totals (block null)."""
+    """The corpus counts of a bucket's words or pairs to every relay that asked, and the bucket's totals (relay null).
+
+    full counts all training texts, part those that tune, which only their
+    relays need.
+    """
     kind, bucket = int(frame["kind"].iloc[0]), int(frame["bucket"].iloc[0])
     asked = [np.frombuffer(b, dtype=np.uint64) if kind == 0 else _from_short(b) for b in frame["hashes"]]
-    _, at = np.unique(np.concatenate(asked), return_inverse=True)
-    full, part = (np.bincount(at, weights=np.concatenate([unpack(b) for b in frame[c]])).astype(np.int64) for c in ("full", "part"))
     ends = np.cumsum([len(a) for a in asked])
-    rows = [(kind, bucket, block, tune, pack(full[at[e - len(a) : e]]), pack(part[at[e - len(a) : e]]), 0, 0, 0, 0) for block, tune, a, e in zip(frame["block"], frame["tune"], asked, ends, strict=True)]
+    _, at = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.concatenate([unpack(b) for b in frame["n"]])
+    full = np.bincount(at, weights=counts).astype(np.int64)
+    counts *= np.repeat(frame["tune"].to_numpy(), np.diff(ends, prepend=0))
+    part = np.bincount(at, weights=counts).astype(np.int64)
+    rows = [(kind, bucket, relay, pack(full[at[a:b]]), pack(part[at[a:b]]) if tune else None, 0, 0, 0, 0) for relay, tune, a, b in zip(frame["relay"], frame["tune"], [0, *ends[:-1]], ends, strict=True)]
     if kind == 0:
         rest = full - part
-        rows.append((kind, bucket, None, False, None, None, int(full.sum()), int((full > 0).sum()), int(rest.sum()), int((rest > 0).sum())))
+        rows.append((kind, bucket, None, None, None, int(full.sum()), int((full > 0).sum()), int(rest.sum()), int((rest > 0).sum())))
     return pd.DataFrame(rows, columns=_names(_ANSWER))
 
 
-_ANSWER = "kind int, bucket int, block string, tune boolean, full binary, part binary, n_full long, v_full long, n_rest long, v_rest long"
+_QUESTION = "kind int, bucket int, relay string, tune boolean, hashes binary, n binary"
+_ANSWER = "kind int, bucket int, relay string, full binary, part binary, n_full long, v_full long, n_rest long, v_rest long"
 
 
 class _Scored:
-    """A block with the corpus counts of its tokens: word, context (the token before) and pair, whole or without the tuning part."""
+    """A block with the corpus counts of its tokens: word, context (the token before) and pair."""
 
-    def __init__(self, row, answers: pd.DataFrame, buckets: int):
-        self.row, self.n = row, np.array(row.n)
-        words, tokens = np.frombuffer(row.words, dtype=np.uint64), unpack(row.tokens)
+    def __init__(self, block: Block, known: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
+        self.block, self.n = block, np.array(block.n)
+        words, tokens = np.frombuffer(block.words, dtype=np.uint64), unpack(block.tokens)
         before, pair = _pairs(words, tokens, self.n)
         upair, at = np.unique(pair, return_inverse=True)
         self.word, self.context, self.pair = {}, {}, {}
-        for kind, hashes in ((0, words), (1, upair)):
-            order = np.argsort(hashes)
-            bucket = (_mix(hashes[order]) % np.uint64(buckets)).astype(np.int64)
-            order = order[np.argsort(bucket, kind="stable")]
-            own = answers[answers["kind"] == kind].sort_values("bucket")
-            for what in ("full", "part"):
-                got = np.empty(len(hashes), dtype=np.int64)
-                got[order] = np.concatenate([unpack(b) for b in own[what]])
-                if kind == 0:
-                    self.word[what], self.context[what] = got[tokens], got[before]
-                else:
-                    self.pair[what] = got[at]
+        for what, ((own_words, word_counts), (own_pairs, pair_counts)) in known.items():
+            got = word_counts[np.searchsorted(own_words, words)]
+            self.word[what], self.context[what] = got[tokens], got[before]
+            self.pair[what] = pair_counts[np.searchsorted(own_pairs, upair)][at]
+
+
+def _scored(row, answers: pd.DataFrame) -> Iterator[_Scored]:
+    """The blocks of a relay, one by one, with the answers to it."""
+    blocks = list(blocks_of(row))
+    words = np.unique(np.concatenate([np.frombuffer(b.words, dtype=np.uint64) for b in blocks]))
+    pairs, _ = _merged([_seen(b)[1] for b in blocks])
+    known: dict[str, list] = {what: [] for what in (("full", "part") if row.tune else ("full",))}
+    for kind, hashes in enumerate((words, pairs)):
+        own = answers[answers["kind"] == kind].sort_values("bucket")
+        for what, counts in known.items():
+            counts.append((hashes, np.concatenate([unpack(b) for b in own[what]])))
+    for block in blocks:
+        yield _Scored(block, known)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -270,12 +337,11 @@ def _scores(s: _Scored, weights: np.ndarray, total: int, vocabulary: int) -> pd.
     base = np.log10(word + 1) - math.log10(total + vocabulary + 1)
     at = np.cumsum(s.n) - s.n
     known = np.add.reduceat((word > 0).astype(np.int64), at)
-    ids = pd.array([None if pd.isna(i) else int(i) for i in s.row.ids], dtype="Int64")
-    return pd.DataFrame({"id": ids, "held_out": np.array(s.row.fold) == HELD_OUT, "n_tokens": s.n.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(model, at)})
+    return pd.DataFrame({"id": list(s.block.ids), "held_out": np.array(s.block.fold) == HELD_OUT, "n_tokens": s.n.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(model, at)})
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (sums of log10 over tokens).
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, relay_blocks: int = RELAY_BLOCKS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+    """One row per document: id (of the type it has), held_out, n_tokens, n_known, train_tokens, base_score, score (sums of log10 over tokens).
 
     Tokens are words (A-Z lower-cased) and one end per text. Documents whose
     crc32(id as text) modulo FOLDS is HELD_OUT are not learned from. base_score
@@ -285,26 +351,27 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     small_batches(spark_of(docs), 400)
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), fold.alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = materialize(rows.mapInPandas(_blocks, _BLOCK), "lm-blocks")
-    size = blocks.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
-    buckets = max(1, math.ceil(((size["w"] or 0) + (size["t"] or 0)) / BUCKET_ENTRIES))
-    asked = blocks.select("block", "tune", "fold", "n", "words", "tokens").mapInPandas(lambda it: _ask(it, buckets), "kind int, bucket int, block string, tune boolean, hashes binary, full binary, part binary")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), fold.alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    relays = materialize(rows.mapInPandas(lambda it: _relays(it, block_tokens, relay_blocks), _RELAY), "lm-relays")
+    size = relays.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
+    k = max(0, math.ceil(math.log2(max(1, ((size["w"] or 0) + (size["t"] or 0)) / bucket_entries))))
+    asked = relays.mapInPandas(lambda it: _ask(it, k), _QUESTION)
     answers = materialize(asked.groupBy("kind", "bucket").applyInPandas(_answer, _ANSWER), "lm-answers")
-    sums = answers.where("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_full", "v_full", "n_rest", "v_rest")]).first()
-    answers = answers.where("block is not null").select("block", "tune", "kind", "bucket", "full", "part")
+    sums = answers.where("relay is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_full", "v_full", "n_rest", "v_rest")]).first()
+    answers = answers.where("relay is not null").select("relay", "kind", "bucket", "full", "part")
 
-    def each(which: str, step, schema: str) -> DataFrame:
-        def scored(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([step(_Scored(row, given, buckets)) for row in own.itertuples()])
+    def each(which: str, given: str, step, schema: str) -> DataFrame:
+        def scored(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([step(block) for row in own.itertuples() for block in _scored(row, got)])
 
-        return blocks.where(which).groupBy("block").cogroup(answers.where(which).groupBy("block")).applyInPandas(scored, schema)
+        return relays.where(which).groupBy("relay").cogroup(answers.where(given).groupBy("relay")).applyInPandas(scored, schema)
 
     n_rest, v_rest, n_full, v_full = sums["n_rest"], sums["v_rest"], sums["n_full"], sums["v_full"]
-    cells = each("tune", lambda s: _histogram(s, n_rest, v_rest), "bucket long, s2 long, s1 long, n long")
+    cells = each("tune", "part is not null", lambda s: _histogram(s, n_rest, v_rest), "bucket long, s2 long, s1 long, n long")
     # bounded: at most 66 buckets times the steps of two ratios, whatever the corpus
     cells = cells.groupBy("bucket", "s2", "s1").agg(F.sum("n").alias("n")).toPandas()
     for r, s in (("r2", "s2"), ("r1", "s1")):
         cells[r] = np.where(cells[s] == -10_000, 0.0, 2.0 ** (cells[s].clip(-1000, 1000) / STEPS))
     weights = learn_weights(cells)
-    return each("true", lambda s: _scores(s, weights, n_full, v_full), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = each("true", "true", lambda s: _scores(s, weights, n_full, v_full), "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scores.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))

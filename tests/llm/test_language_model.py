@@ -78,8 +78,21 @@ def test_packing():
     a = np.array([0, 1, 255, 256, 2**40, 7])
     assert np.array_equal(L.unpack(L.pack(a)), a)
     h = np.sort(np.array([1 << 63, 5 << 20, (1 << 64) - 1], dtype=np.uint64))
-    assert np.array_equal(L._from_short(L._short(h)), h >> np.uint64(16))
+    assert np.array_equal(L._from_short(L._short(h, 0)), h >> np.uint64(16))
+    assert np.array_equal(L._from_short(L._short(h, 3)), (h << np.uint64(3)) >> np.uint64(16)) and L._bucket(h, 3).tolist() == [0, 4, 7]
 
 
 def test_empty_table(empty):
     assert L.score_texts(empty).count() == 0
+
+
+def test_small_blocks_and_relays_give_the_same(messy):
+    rows = lambda **sizes: sorted(((r["id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 4)) for r in L.score_texts(messy, **sizes).collect()), key=str)
+    assert rows(block_tokens=300, relay_blocks=3, bucket_entries=2_000) == rows()
+
+
+def test_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, "one"), ("b", None)], "name string, body string")
+    out = L.score_texts(docs, "name", "body")
+    assert out.schema["id"].dataType == docs.schema["name"].dataType
+    assert sorted((r["id"] or "", r["n_tokens"]) for r in out.collect()) == [("", 2), ("a", 3), ("b", 1)]
