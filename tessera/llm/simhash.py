@@ -1,14 +1,22 @@
 """SimHash near-duplicates by tiled exact comparison of fingerprints.
 
-Fingerprints meet in buckets of equal bands: at a radius of r, cutting 64 bits
-into r + 2 bands leaves at least two bands equal, so every link lies in a bucket
-of some pair of bands. Inside a bucket tiles are compared with numpy exclusive-or
-and bit counts; tile pairs whose population counts differ by more than the
-radius are skipped. Tiles give a spanning forest of their links, never all pairs.
+Fingerprints meet in buckets. At a small radius r these are of equal bands:
+cutting 64 bits into r + 2 bands leaves at least two bands equal, so every link
+lies in a bucket of some pair of bands. A bucket of more than TILE fingerprints
+is cut into tiles by population count; pairs of tiles whose counts differ beyond
+the radius are left out before anything is shuffled. Tiles are compared with
+numpy exclusive-or and bit counts and give a spanning forest of their links,
+never all pairs.
+
+near_copies() links texts by the Jaccard similarity of their word shingles. There
+the buckets are rare shingles, of which similar sets share one, the fingerprints
+have 128 bits, the radius is as wide as the similarity needs, and links are
+verified by the shingles themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, spark_of
+from tessera.llm.common import hot_keys, materialize, salted_join, small_batches, spark_of
 from tessera.llm.components import components
 
 SEED = 42
@@ -26,6 +34,14 @@ RADIUS = 2
 SHINGLE = 3
 #: Fingerprints of a tile; fuller buckets are cut into tiles that are spread over tasks.
 TILE = 2048
+#: Of near copies: words of a shingle; bits of 128 by which sets of a similarity of 4/5 differ at most. On average 19 do, of very small sets 24 with a deviation of 4.4.
+COPY_SHINGLE = 5
+COPY_RADIUS = 44
+#: Least share of the texts, and least number, whose shingles are counted to put frequent ones last; the texts of them that make one frequent; the most that are told apart. The order changes the work, never the result.
+SAMPLE_SHARE = 1 / 16
+SAMPLE_DOCS = 4_000
+FREQUENT = 4
+MOST_FREQUENT = 200_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -58,7 +74,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with fp, the 64 bits as a long; null and empty texts have 0."""
+    """docs with fp, the 64 bits as a long, in place of any fp of their own; null and empty texts have 0."""
     small_batches(spark_of(docs))
 
     @F.pandas_udf("long")
@@ -97,90 +113,125 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two sets of fingerprints; both are put in order of bit count and parts out of reach are skipped."""
-    x, y = (z[np.argsort(np.bitwise_count(z), kind="stable")] for z in (x, y))
-    px, py = np.bitwise_count(x).astype(np.int64), np.bitwise_count(y).astype(np.int64)
-    found_a, found_b = [], []
+def in_reach(x: np.ndarray, y: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in x, places in y, differing bits) within the radius, strip by strip of x. x and y: (n, words) bits in order of bit count; strips out of reach are skipped."""
+    px, py = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x, y))
     for i in range(0, len(x), rows):
         p = px[i : i + rows]
         lo, hi = np.searchsorted(py, p[0] - radius), np.searchsorted(py, p[-1] + radius, side="right")
         if lo < hi:
-            u, v = np.nonzero(np.bitwise_count(x[i : i + rows, None] ^ y[None, lo:hi]) <= radius)
-            a, b = x[i : i + rows][u], y[lo:hi][v]
-            if len(a):
-                a, b = forest(a[a != b], b[a != b]) if (a != b).any() else (a[:0], b[:0])
-                found_a.append(a)
-                found_b.append(b)
-    if not found_a:
-        return x[:0], x[:0]
-    return forest(np.concatenate(found_a), np.concatenate(found_b))
-
-
-def _small_buckets(key: np.ndarray, fp: np.ndarray, radius: int, most: int = 64) -> tuple[list, list]:
-    """Links inside buckets (runs of equal key) of up to `most` fingerprints, all buckets at once; larger ones are left out."""
-    n = len(key)
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.array([], dtype=np.int64)
-    size = np.diff(np.append(starts, n))
+            bits = sum(np.bitwise_count(x[i : i + rows, None, w] ^ y[None, lo:hi, w]).astype(np.uint16) for w in range(x.shape[1]))
+            u, v = np.nonzero(bits <= radius)
+            yield u + i, v + lo, bits[u, v]
+
+
+def tile_links(x: np.ndarray, y: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two sets of 64-bit fingerprints."""
+    x, y = (z[np.argsort(np.bitwise_count(z), kind="stable")] for z in (x, y))
+    found = [(x[u], y[v]) for u, v, _ in in_reach(x[:, None], y[:, None], radius, rows)]
+    a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (x[:0], x[:0])
+    return forest(a[a != b], b[a != b]) if (a != b).any() else (a[:0], b[:0])
+
+
+def neighbours(no: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(places i, distance d) of all pairs i, i + d inside runs of equal no, of runs of up to `most`, all runs at once."""
+    starts = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1]))) if len(no) else np.array([], dtype=np.int64)
+    size = np.diff(np.append(starts, len(no)))
     small = np.repeat(size <= most, size)
-    a, b = [], []
-    for d in range(1, most):
-        near = np.flatnonzero(small[:-d] & (key[d:] == key[:-d])) if d < n else starts[:0]
+    for d in range(1, min(most, len(no))):
+        near = np.flatnonzero(small[:-d] & (no[d:] == no[:-d]))
         if not len(near):
             break
-        near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= radius]
-        a.append(fp[near])
-        b.append(fp[near + d])
-    return a, b
+        yield near, d
 
 
-def compare(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Links of tile pairs. Rows (band, key, pair, side, fp) come in order of (band, key, pair), which tell the pair; side 1 is compared with side 0, or side 0 with itself."""
-
-    def links(block: pd.DataFrame) -> pd.DataFrame:
-        band, key, pair, side, fp = (block[c].to_numpy() for c in ("band", "key", "pair", "side", "fp"))
-        fp = fp.view(np.uint64)
-        edge = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))))
-        no = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(key))))
-        alone = side == 0
-        a, b = _small_buckets(no[alone], fp[alone], radius)
-        for lo, hi in zip(edge, np.append(edge[1:], len(key)), strict=True):
-            if hi - lo > 64 or side[lo:hi].any():
-                x, y = fp[lo:hi][side[lo:hi] == 0], fp[lo:hi][side[lo:hi] == 1]
-                u, v = tile_links(x, y if len(y) else x, radius)
-                a.append(u)
-                b.append(v)
-        a, b = np.concatenate([*a, fp[:0]]), np.concatenate([*b, fp[:0]])
-        a, b = forest(a, b) if len(a) else (a, b)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+def cut_in_tiles(rows: DataFrame, keys: list[str], ones: Column, spread: Column, radius: int, tile: int) -> DataFrame:
+    """rows of buckets (keys) of two or more, with lo and hi, the tiles of a pair, and side (0 in lo, 1 in hi), in order of (keys, lo, hi, side, __ones).
+
+    A bucket of up to `tile` rows is one tile. Others are cut by population
+    count, and a count of many rows by `spread`; a tile is paired with itself
+    and with those whose counts are within the radius, so what is out of reach
+    is never placed.
+    """
+    sizes = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+    met = salted_join(rows, sizes, keys, hot_keys(sizes, keys, "n"), spread).withColumn("__ones", ones)
+    met = materialize(met, "simhash-met")
+    alone = met.where(F.col("n") <= tile).drop("n").withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long"), "side": F.lit(0)})
+    classes = met.where(F.col("n") > tile).groupBy(*keys, "__ones").agg(F.count("*").alias("m"))
+    classes = classes.groupBy(*keys).agg(F.sum("m").alias("n"), F.collect_list(F.struct("__ones", F.ceil(F.col("m") / tile).cast("int").alias("cuts"))).alias("classes"))
+    classes = materialize(classes, "simhash-classes")
+    large = salted_join(met.where(F.col("n") > tile).drop("n"), classes.drop("n"), keys, hot_keys(classes, keys, "n"), spread)
+    number = lambda c, cut: c["__ones"].cast("long") * (1 << 32) + cut
+    reach = F.filter("classes", lambda c: F.abs(c["__ones"] - F.col("__ones")) <= radius)
+    others = F.flatten(F.transform(reach, lambda c: F.transform(F.sequence(F.lit(0), c["cuts"] - 1), lambda i: number(c, i))))
+    own = F.filter("classes", lambda c: c["__ones"] == F.col("__ones"))[0]
+    large = large.withColumn("own", number(own, F.pmod(spread, own["cuts"]))).withColumn("other", F.explode(others))
+    large = large.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": F.when(F.col("own") <= F.col("other"), 0).otherwise(1)})
+    placed = alone.unionByName(large.drop("classes", "own", "other"))
+    return placed.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi", "side", "__ones")
+
+
+def whole_tiles(frames: Iterator[pd.DataFrame], keys: list[str], most: int = 20_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, number of the tile pair of each row): whole pairs of tiles, put together until they have `most` rows."""
+    names = [*keys, "lo", "hi"]
+
+    def numbered(block: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        new = np.zeros(len(block), dtype=bool)
+        for c in names:
+            v = block[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return block, np.cumsum(new)
 
     held: list[pd.DataFrame] = []
     for frame in frames:
         if len(frame):
             last = frame.iloc[-1]
-            open_rows = ((frame["band"] == last["band"]) & (frame["key"] == last["key"]) & (frame["pair"] == last["pair"])).to_numpy()
+            open_rows = np.logical_and.reduce([frame[c].to_numpy() == last[c] for c in names])
             held.append(frame[~open_rows])
-            if not open_rows.all() and sum(map(len, held)) >= 20_000:
-                yield links(pd.concat(held))
+            if not open_rows.all() and sum(map(len, held)) >= most:
+                yield numbered(pd.concat(held, ignore_index=True))
                 held = []
             held.append(frame[open_rows])
     if held:
-        yield links(pd.concat(held))
+        yield numbered(pd.concat(held, ignore_index=True))
+
+
+def pieces(no: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs of equal no of over `least` rows."""
+    edge = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1], [True])))
+    return ((a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > least)
+
+
+def compare(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """A spanning set of the links in tile pairs of rows (band, key, lo, hi, side, fp)."""
+    for block, no in whole_tiles(frames, ["band", "key"]):
+        fp, side = block["fp"].to_numpy().view(np.uint64), block["side"].to_numpy()
+        ones = np.bitwise_count(fp).astype(np.int16)
+        a, b = [fp[:0]], [fp[:0]]
+        cross = np.maximum.reduceat(block["hi"].to_numpy() - block["lo"].to_numpy(), np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))) > 0
+        alone = ~cross[no]
+        x, ones = fp[alone], ones[alone]
+        for i, d in neighbours(no[alone], 64):
+            i = i[ones[i + d] - ones[i] <= radius]  # in order of bit count
+            i = i[np.bitwise_count(x[i] ^ x[i + d]) <= radius]
+            a.append(x[i])
+            b.append(x[i + d])
+        for lo, hi in pieces(no, 0):
+            if cross[no[lo]] or hi - lo > 64:
+                x, y = (fp[lo:hi][side[lo:hi] == z] for z in (0, 1))
+                u, v = tile_links(x, y if cross[no[lo]] else x, radius)
+                a.append(u)
+                b.append(v)
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = forest(a, b) if len(a) else (a, b)
+        yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: a spanning set of the links among the distinct fingerprints of prints (fp)."""
     distinct = prints.select("fp").distinct()
     keyed = distinct.select("fp", F.inline(band_keys(F.col("fp"), radius)))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    both = keyed.join(sizes, ["band", "key"])
-    both = both.withColumn("cuts", F.ceil(F.col("n") / tile).cast("int"))
-    both = both.withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
-    # a fingerprint of cut i stands in the pairs of i with every cut: on side 0 with later cuts and itself, else on side 1
-    placed = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    pair = F.least("cut", "other").cast("long") * F.col("cuts") + F.greatest("cut", "other")
-    placed = placed.select("band", "key", pair.alias("pair"), F.when(F.col("cut") <= F.col("other"), 0).otherwise(1).alias("side"), "fp")
-    placed = placed.repartition("band", "key", "pair").sortWithinPartitions("band", "key", "pair")
+    placed = cut_in_tiles(keyed, ["band", "key"], F.bit_count("fp"), F.xxhash64("fp"), radius, tile)
     return placed.mapInPandas(lambda it: compare(it, radius), "a long, b long")
 
 
@@ -211,9 +262,216 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
 
 def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs without all but the first document of each root of rows (id, k1, k2, root)."""
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("first")
-    chosen = rows.groupBy("root").agg(first).select("first.id", "first.k1", "first.k2")
+    same = rows.groupBy("root", "id", "k1", "k2").agg(F.count("*").alias("times"))
+    chosen = same.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2", "times")).alias("first")).select("first.id", "first.k1", "first.k2", "first.times")
+    chosen = materialize(chosen.select(F.col("id").alias("__id"), F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("times").alias("__times")), "simhash-chosen")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"))
-    same = (keyed["__k1"] == chosen["k1"]) & (keyed["__k2"] == chosen["k2"]) & keyed[id_col].eqNullSafe(chosen["id"])
-    return keyed.join(chosen, same, "left_semi").dropDuplicates(["__k1", "__k2", id_col]).drop("__k1", "__k2")
+    found = keyed.join(chosen, (F.col("__k1") == F.col("__a")) & (F.col("__k2") == F.col("__b")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    # only rows that repeat each other, id and text, have to meet once more
+    repeated = found.where("__times > 1").dropDuplicates(["__k1", "__k2", id_col])
+    return found.where("__times = 1").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def shingle_set(text: str | None, size: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles; empty without words."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last, one of which is in every set of a similarity of 4/5."""
+    last = np.isin(own, frequent, assume_unique=True)
+    return np.concatenate((own[~last], own[last]))[: len(own) - math.ceil(4 * len(own) / 5) + 1]
+
+
+def frequent_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Sorted shingles that FREQUENT of a sample of different texts hold."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(s: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, size).view(np.int64) for t in s])
+
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, texts.count())))
+    sample = texts.sample(share, seed=SEED).distinct()
+    found = sample.select(F.explode(shingles("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    most = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()["h"]
+    return np.sort(most.to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def wide_print(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingles, as two signed longs: the majority of their XXH64, and of these mixed once more."""
+    more = (own ^ (own >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (majority(own), majority(more ^ (more >> np.uint64(29)))))
+
+
+def shingled(texts: DataFrame, size: int) -> DataFrame:
+    """texts (id, text, k1, k2) with, for text, set_id (a digest of the shingles), size, f1, f2 (wide_print) and prefix."""
+    frequent = frequent_shingles(texts.select("text"), size)
+
+    @F.pandas_udf("set_id long, size int, f1 long, f2 long, prefix array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            own = [shingle_set(t, size) for t in s]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in own], dtype=np.uint64).view(np.int64)
+            f1, f2 = zip(*map(wide_print, own), strict=True) if own else ((), ())
+            yield pd.DataFrame({"set_id": ids, "size": [len(x) for x in own], "f1": f1, "f2": f2, "prefix": [prefix(x, frequent).view(np.int64) for x in own]})
+
+    return texts.withColumn("p", sets("text")).select("id", "k1", "k2", "p.*")
+
+
+def nearest_first(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges (a, b: 0 to n - 1) of a spanning forest that prefers few differing bits."""
+    root = np.arange(n)
+    kept: list[np.ndarray] = []
+    places = np.arange(len(a))
+    while len(places):
+        x, y = root[a[places]], root[b[places]]
+        open_ = x != y
+        places, x, y = places[open_], x[open_], y[open_]
+        if not len(places):
+            break
+        # of every component the edge of least bits, then of least place
+        order = np.lexsort((places, bits[places]))
+        best = np.full(n, -1)
+        for end in (x, y):
+            first, at = np.unique(end[order], return_index=True)
+            new = order[at]
+            old = best[first]
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            better = (old < 0) | (rank[new] < rank[np.maximum(old, 0)])
+            best[first[better]] = new[better]
+        chosen = np.unique(best[best >= 0])
+        kept.append(places[chosen])
+        while True:
+            low = np.minimum(root[x[chosen]], root[y[chosen]])
+            new = root.copy()
+            np.minimum.at(new, root[x[chosen]], low)
+            np.minimum.at(new, root[y[chosen]], low)
+            while not np.array_equal(new, new[new]):
+                new = new[new]
+            new = new[root]
+            if np.array_equal(new, root):
+                break
+            root = new
+    return np.unique(np.concatenate(kept)) if kept else places
+
+
+def candidates(frames: Iterator[pd.DataFrame], radius: int, every: bool) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of sets of different components in tile pairs of rows (h, lo, hi, side, set_id, size, f1, f2, root) whose sizes allow a similarity of 4/5 and whose bits are in reach: all of them, or those of a forest of near ones."""
+    for block, no in whole_tiles(frames, ["h"]):
+        ids, size, root, side = (block[c].to_numpy() for c in ("set_id", "size", "root", "side"))
+        bits = block[["f1", "f2"]].to_numpy().view(np.uint64)
+        cross = np.maximum.reduceat(block["hi"].to_numpy() - block["lo"].to_numpy(), np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))) > 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fit(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            return (root[u] != root[v]) & (5 * size[u] >= 4 * size[v]) & (5 * size[v] >= 4 * size[u])
+
+        alone = np.flatnonzero(~cross[no])
+        for i, d in neighbours(no[alone], 8):
+            u, v = alone[i], alone[i + d]
+            ok = fit(u, v)
+            u, v = u[ok], v[ok]
+            ok = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= radius
+            found.append((u[ok], v[ok]))
+        for lo, hi in pieces(no, 0):
+            if cross[no[lo]] or hi - lo > 8:
+                x, y = (lo + np.flatnonzero(side[lo:hi] == z) for z in (0, 1))
+                y = y if cross[no[lo]] else x
+                edges = []
+                for u, v, apart in in_reach(bits[x], bits[y], radius):
+                    u, v = x[u], y[v]
+                    ok = fit(u, v) & (u < v)
+                    u, v, apart = u[ok], v[ok], apart[ok]
+                    if not every:
+                        ok = nearest_first(u - lo, v - lo, apart, hi - lo)
+                        u, v, apart = u[ok], v[ok], apart[ok]
+                    edges.append((u, v, apart))
+                if edges:
+                    u, v, apart = (np.concatenate(e) for e in zip(*edges, strict=True))
+                    if not every:
+                        ok = nearest_first(u - lo, v - lo, apart, hi - lo)
+                        u, v = u[ok], v[ok]
+                    found.append((u, v))
+        if found:
+            u, v = (ids[np.concatenate(e)] for e in zip(*found, strict=True))
+            yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more. sets: set_id, k1, k2 of a text that has the set; texts: k1, k2, text."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(s: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, size).view(np.int64) for t in s])
+
+    pairs = materialize(pairs.distinct(), "simhash-pairs")
+    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    keys = sets.join(named, "set_id", "left_semi").select("set_id", "k1", "k2")
+    own = materialize(texts.join(keys, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", shingles("text").alias("hashes")), "simhash-sets")
+    a = own.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
+    b = own.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return materialize(found, "simhash-links")
+
+
+def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int, radius: int = COPY_RADIUS, tile: int = TILE) -> DataFrame:
+    """a, b: links of set_ids that span the components of similar sets.
+
+    sets: set_id, size, f1, f2, k1, k2; prefixes: set_id, h. Buckets with equal
+    members are one. First every bucket gives a forest of the pairs nearest to
+    each other; of what these leave apart, all pairs in reach are verified.
+    """
+    shared = prefixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared, "simhash-shared")
+    spread = F.xxhash64("set_id")
+    held = materialize(salted_join(prefixes, shared.select("h"), ["h"], hot_keys(shared, ["h"], "n"), spread), "simhash-held")
+    members = held.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(spread).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("s2"))
+    members = materialize(members, "simhash-members")
+    kept = members.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h", "n")
+    kept = materialize(kept, "simhash-kept")
+    held = salted_join(held, kept.select("h"), ["h"], hot_keys(kept, ["h"], "n"), spread)
+    held = materialize(held.join(sets.select("set_id", "size", "f1", "f2"), "set_id"), "simhash-held")
+    ones = F.bit_count("f1") + F.bit_count("f2")
+
+    def verified(rows: DataFrame, every: bool) -> DataFrame:
+        placed = cut_in_tiles(rows, ["h"], ones, spread, radius, tile)
+        return similar(placed.mapInPandas(lambda it: candidates(it, radius, every), "a long, b long"), sets, texts, size)
+
+    first = verified(held.withColumn("root", F.col("set_id")), False)
+    linked = components(first)
+    rooted = held.join(linked, held["set_id"] == linked["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set_id"))
+    open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("h", "n")
+    open_ = materialize(open_, "simhash-open")
+    rest = salted_join(rooted, open_.select("h"), ["h"], hot_keys(open_, ["h"], "n"), spread)
+    return first.union(verified(rest, True))
+
+
+def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """One row per document: id, k1, k2 (digests of the text), set_id, root (a set that stands for the component).
+
+    Texts whose sets of shingles have a Jaccard similarity of 4/5 or more are
+    linked; texts of fewer words than a shingle are one shingle, and null texts
+    and those without words are linked with each other alone. Every similar
+    pair shares a shingle of its prefixes and is compared there; it would be
+    lost only if its fingerprints differed by over COPY_RADIUS bits, which has
+    a probability of some millionths. Shingles are told apart by 64 bits.
+    Repeated rows stay rows; an empty table gives none.
+    """
+    small_batches(spark_of(docs))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    rows = materialize(shingled(texts, size), "simhash-rows")
+    one = rows.groupBy("set_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("prefix").alias("prefix"))
+    one = materialize(one.select("set_id", "k.k1", "k.k2", "size", "f1", "f2", "prefix"), "simhash-one")
+    links = copy_links(one.drop("prefix"), one.select("set_id", F.explode("prefix").alias("h")), texts.select("k1", "k2", "text"), size, tile=tile)
+    linked = components(links)
+    ids = rows.select("id", "k1", "k2", "set_id")
+    return ids.join(linked, ids["set_id"] == linked["node"], "left").select("id", "k1", "k2", "set_id", F.coalesce("root", "set_id").alias("root"))
+
+
+def keep_one_copy(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without all but one document of each component of near_copies: the one of least id stays (null last; ties by digests of the text)."""
+    return one_of_each(docs, near_copies(docs, size, id_col, text_col, **options), id_col, text_col)

@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as P
 import pytest
-from tessera.llm import jaccard as J
+from tessera.llm import simhash as J
 
 
 def plain_set(text, size=5):
@@ -66,10 +66,33 @@ def test_edits_and_shared_passages_match_brute_force(spark, monkeypatch, frequen
     rows = near_copies(frequent)
     want = brute_keep(rows)
     assert 20 < len(want) < len(rows) - 20
-    assert kept(J.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert kept(J.keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string"))) == want
 
 
 def test_messy_documents_match_brute_force(messy, empty):
     rows = [(r["doc_id"], r["text"]) for r in messy.select("doc_id", "text").collect()]
-    assert kept(J.keep_one(messy)) == brute_keep(rows)
-    assert J.keep_one(empty).count() == 0
+    assert kept(J.keep_one_copy(messy)) == brute_keep(rows)
+    assert J.keep_one_copy(empty).count() == 0
+
+
+@pytest.mark.parametrize("tile", [5, 40])
+def test_tiles_of_large_buckets_lose_no_link(spark, tile):
+    """Edits of one text, all in the same buckets, which are cut into tiles."""
+    rnd = random.Random(tile)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(rnd.randrange(4)):
+            t[rnd.randrange(len(t))] = f"x{rnd.randrange(500)}"
+        rows.append((i, " ".join(t)))
+    want = brute_keep(rows)
+    assert 1 < len(want) < 60
+    assert kept(J.keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile)) == want
+
+
+def test_forest_prefers_near_pairs():
+    import numpy as np
+
+    a, b, bits = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([5, 9, 1, 7])
+    assert J.nearest_first(a, b, bits, 5).tolist() == [0, 2, 3]

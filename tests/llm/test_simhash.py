@@ -85,6 +85,19 @@ def test_tile_links_skip_nothing_in_reach():
     assert want <= linked
 
 
+def test_tiles_out_of_reach_are_not_placed(spark):
+    """One bucket, prints of 0 to 32 set bits in the other bands: of the pairs of tiles only those of near counts are placed."""
+    rnd = random.Random(1)
+    prints = {sum(1 << 32 + b for b in rnd.sample(range(32), rnd.randrange(33))) for _ in range(400)}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, 0, 0) for p in prints], "fp long, band int, key long")
+    from pyspark.sql import functions as F
+
+    pairs = H.cut_in_tiles(df, ["band", "key"], F.bit_count("fp"), F.xxhash64("fp"), 2, 40).select("lo", "hi").distinct().collect()
+    tiles = {t for r in pairs for t in r}
+    assert len(tiles) > 20 and all(abs((r["lo"] >> 32) - (r["hi"] >> 32)) <= 2 for r in pairs)
+    assert len(pairs) < len(tiles) * (len(tiles) + 1) / 2 / 4
+
+
 def test_equal_keys_of_different_bands_stay_apart(spark):
     """Bucket of the first pair of bands zero: two tiles, whose pair (0, 1) had the number of the second pair of bands' one tile."""
     rnd = random.Random(11)
