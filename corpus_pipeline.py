@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, mixing, quality, suffix_dedup
+from tessera.llm import decontaminate, mixing, quality, simhash, suffix_dedup
 from tessera.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share 4/5 of their five-word shingles stays, that of the least id."""
-    return jaccard.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+    return simhash.keep_one_copy(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
