@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize, split_words
+from tessera.llm.common import ascii_lower, hot_keys, materialize, salted_join, split_words
 
 #: What parts words, after A-Z have been lower-cased.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 13
-#: Prefix entries that are broadcast at most; more are joined by a shuffle.
+#: Prefix entries, and bytes of their words and items, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ENTRIES = 200_000
+BROADCAST_BYTES = 32_000_000
 
 
 def words(text_col: str) -> Column:
@@ -26,9 +27,12 @@ def words(text_col: str) -> Column:
 
 
 def item_windows(items: DataFrame, rarity: DataFrame, size: int = WINDOW) -> DataFrame:
-    """anchor, item_words, anchor_at, starts: per item and position of a rarest word, the windows it stands for.
+    """anchor, item_words, anchor_at, starts, length, ids: per item and position of a rarest word, the windows it stands for.
 
-    items: item_words (distinct). rarity: word, n. Ties go to the word that
+    Only the words of these windows are kept, fewer than two windows' lengths;
+    anchor_at and starts count from the first of them.
+
+    items: item_words (distinct), ids. rarity: word, n. Ties go to the word that
     comes first by code point, then to its first place in the item.
     """
     n = F.size("item_words")
@@ -39,7 +43,16 @@ def item_windows(items: DataFrame, rarity: DataFrame, size: int = WINDOW) -> Dat
     windows = ordered.select("*", F.explode(F.sequence(F.lit(0), n - F.col("length"))).alias("start"))
     prefix = F.filter("by_rarity", lambda i: (i >= F.col("start")) & (i < F.col("start") + F.col("length")))[0]
     windows = windows.select("item_words", "length", "start", prefix.alias("anchor_at"))
-    return windows.groupBy("item_words", "length", "anchor_at").agg(F.collect_list("start").alias("starts")).withColumn("anchor", F.col("item_words")[F.col("anchor_at")])
+    windows = windows.groupBy("item_words", "length", "anchor_at").agg(F.sort_array(F.collect_list("start")).alias("starts")).join(items, "item_words")
+    first = F.col("starts")[0]
+    return windows.select(
+        F.col("item_words")[F.col("anchor_at")].alias("anchor"),
+        F.slice("item_words", first + 1, F.array_max("starts") + F.col("length") - first).alias("item_words"),
+        (F.col("anchor_at") - first).alias("anchor_at"),
+        F.transform("starts", lambda s: s - first).alias("starts"),
+        "length",
+        "ids",
+    )
 
 
 def _verified(cand: DataFrame) -> DataFrame:
@@ -63,15 +76,18 @@ def occurrences(split: DataFrame, items: DataFrame, size: int = WINDOW, item_col
         vocabulary = F.broadcast(vocabulary)
     # explode_outer: explode would first filter on the size of the words, and make them a second time for that
     rarity = split.select(F.explode_outer("doc_words").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
-    windows = item_windows(distinct, rarity, size).join(distinct, "item_words")
-    windows = materialize(windows, "decontaminate-windows")
+    rarity = materialize(rarity, "decontaminate-rarity")
+    windows = materialize(item_windows(distinct, rarity, size), "decontaminate-windows")
+    held = windows.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("item_words", " ")) + F.octet_length(F.array_join("ids", " "))).alias("bytes")).first()
     tokens = split.select("__k1", "__k2", "doc_words", F.posexplode_outer("doc_words").alias("pos", "anchor"))
     aligned = (F.col("pos") - F.col("anchor_at")).alias("shift")
-    if windows.count() <= BROADCAST_ENTRIES:
+    if held["n"] <= BROADCAST_ENTRIES and (held["bytes"] or 0) <= BROADCAST_BYTES:
         return _verified(tokens.join(F.broadcast(windows), "anchor").select("__k1", "__k2", "doc_words", "item_words", "length", "starts", "ids", aligned))
     # a large benchmark: meet on the words alone, then fetch the documents of the alignments
-    met = tokens.drop("doc_words").join(windows, "anchor").select("__k1", "__k2", "item_words", "length", "starts", "ids", aligned).distinct()
-    return _verified(met.join(split, ["__k1", "__k2"]))
+    common = hot_keys(rarity.select(F.col("word").alias("anchor"), "n"), ["anchor"], "n")
+    met = salted_join(tokens.drop("doc_words"), windows, ["anchor"], common, F.xxhash64("__k1", "pos"))
+    met = met.select("__k1", "__k2", "item_words", "length", "starts", "ids", aligned).distinct()
+    return _verified(met.join(split.dropDuplicates(["__k1", "__k2"]), ["__k1", "__k2"]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -83,19 +99,20 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_co
     all or more. Null texts have no words. Items with equal words occur
     together and each counts, but null item ids do not. Repeated rows and null
     ids are documents of their own. Empty tables give no hits. Clashing column
-    names of docs are replaced by the results.
+    names of docs are replaced by the results; names that begin with two
+    underscores are reserved.
     """
     made = {"n_words", "n_hit", "n_items", "item_ids", "contaminated"}
     base = docs.drop(*(made & set(docs.columns)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # equal texts have equal results, so hits come back by the text's two digests
-    base = base.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"), words(text_col).alias("doc_words"))
-    hits = occurrences(base.select("__k1", "__k2", "doc_words"), items, size, item_col, item_text_col)
+    base = base.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"), words(text_col).alias("__words"))
+    hits = occurrences(base.select("__k1", "__k2", F.col("__words").alias("doc_words")), items, size, item_col, item_text_col)
     per = hits.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
     per = per.select("__k1", "__k2", F.size(covered).cast("long").alias("n_hit"), "item_ids")
     per = materialize(per, "decontaminate-hits")  # so that the join below can split a text with very many copies
-    out = base.withColumn("n_words", F.size("doc_words").cast("long")).drop("doc_words").join(per, ["__k1", "__k2"], "left")
+    out = base.withColumn("n_words", F.size("__words").cast("long")).drop("__words").join(per, ["__k1", "__k2"], "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
     out = out.withColumn("n_items", F.size("item_ids").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("__k1", "__k2")

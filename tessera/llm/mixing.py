@@ -1,9 +1,10 @@
 """Mixing sources to target weights on a low-discrepancy schedule of equal-token blocks.
 
-Slots are the points of a van der Corput sequence; each falls into the share of
-one source. Documents of a source stand in a shuffled row that is cut into
-blocks of equal tokens. The r-th slot of a source takes its r-th block, starting
-over at the end of the row, and the last one is cut where the target is met.
+Slots are the points of a van der Corput sequence, a whole period of it; each
+falls into the share of one source. Documents of a source stand in a shuffled row
+that is cut into blocks of equal tokens. The r-th slot of a source takes its r-th
+block, starting over at the end of the row. What a source gives is what its slots
+take: its target, but for one block, and never more.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, spark_of
 
-#: Slots per source, on average: a source's share is met to one block before the last is cut.
-SLOTS_PER_SOURCE = 4096
+#: Slots per source, on average: a source's share is met to one block, a few hundred-thousandths of all tokens.
+SLOTS_PER_SOURCE = 65_536
 #: A source is taken three times at most.
 MAX_EPOCHS = 3
 
@@ -50,44 +51,41 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levelled.select("source", "source_size", F.col("weight").cast("int").alias("weight"), F.when(free, F.col("weight") * F.col("level")).otherwise(F.col("room").cast("double")).alias("target"))
 
 
-def van_der_corput(i: Column, bits: int) -> Column:
-    """The i-th point of the base-2 sequence: the binary digits of i mirrored at the point."""
-    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long") / F.lit(float(1 << bits))
+def mirrored(i: Column, bits: int) -> Column:
+    """The i-th point of the base-2 sequence in units of 2 ** -bits: the binary digits of i in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long")
 
 
-def schedule(goals: DataFrame, slots_per_source: int = SLOTS_PER_SOURCE) -> DataFrame:
-    """slot, source_no, rank: which source each slot takes from, and its how-manieth slot there.
+def shares(goals: DataFrame, bits: int) -> DataFrame:
+    """goals (source_no, quota) with lo and hi: the points from lo to before hi of 2 ** bits are the source's.
 
-    goals: source_no (0, 1, ...) and target. The number of slots follows that
-    of the sources; 2 ** bits points split every share to within one slot.
+    Whole numbers throughout, so that no point depends on rounding; a source
+    gets its share of the points to within one.
     """
-    spark = spark_of(goals)
-    n = goals.count()
-    if n == 0:
-        return spark.createDataFrame([], "slot long, source_no int, rank int")
-    bits = max(1, math.ceil(math.log2(max(n, 1) * slots_per_source)))
     upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = F.col("target") / F.sum("target").over(Window.partitionBy())
-    ends = goals.select("source_no", F.sum(share).over(upto).alias("hi"), share.alias("share"))
-    ends = ends.select("source_no", "hi", (F.col("hi") - F.col("share")).alias("lo"))
+    summed = goals.withColumn("upto", F.sum("quota").over(upto)).withColumn("all", F.sum("quota").over(Window.partitionBy()))
+    edge = lambda c: F.expr(f"cast((cast({c} as decimal(38, 0)) * {1 << bits} + `all` - 1) div `all` as long)")
+    return summed.select(*goals.columns, edge("upto - quota").alias("lo"), edge("upto").alias("hi"))
+
+
+def schedule(parts: DataFrame, bits: int) -> DataFrame:
+    """slot, source_no, rank: which source each of 2 ** bits slots takes from, and its how-manieth slot there. parts: source_no, lo, hi."""
     # a share covers whole cells of a grid, so slots meet shares by an equality and not by a range
-    cells = 1 << min(bits, 12)
-    grid = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
-    points = spark.range(1 << bits).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("point")).withColumn("cell", F.floor(F.col("point") * cells))
-    last = F.max("source_no").over(Window.partitionBy())
-    inside = (F.col("point") >= F.col("lo")) & ((F.col("point") < F.col("hi")) | (F.col("source_no") == F.col("last_no")))
-    hit = points.join(grid.withColumn("last_no", last), "cell").where(inside)
+    width = 1 << max(0, bits - 12)
+    grid = parts.where("lo < hi").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    points = spark_of(parts).range(1 << bits).select(F.col("id").alias("slot"), mirrored(F.col("id"), bits).alias("point")).withColumn("cell", F.floor(F.col("point") / width))
+    hit = points.join(grid, "cell").where("point >= lo and point < hi")
     return hit.select("slot", "source_no", (F.row_number().over(Window.partitionBy("source_no").orderBy("slot")) - 1).alias("rank"))
 
 
 def token_row(sized: DataFrame, id_col: str, buckets: int, seed: str = "mix") -> DataFrame:
     """sized with start: tokens before each document in its source's shuffled row.
 
-    The row is in order of a digest of the id. Its first digits are a bucket,
+    The row is in order of a digest of id and size. Its first digits are a bucket,
     so that running sums are taken inside (source, bucket) and a source with a
     third of all rows is still spread over tasks.
     """
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":" + seed)))
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string"), F.lit(":" + seed)))
     keyed = sized.withColumn("__key", digest).withColumn("__bucket", (F.conv(F.substring("__key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
     inside = Window.partitionBy("source", "__bucket").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
     sums = keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("__sum"))
@@ -103,12 +101,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     pieces: slot, id, source, epoch, first, n_tokens: the words [first, first +
     n_tokens) of a document that a slot takes. documents: id, size, source,
-    source_size, target, taken (words the pieces take, repeats counted).
+    source_size, target, taken (words the pieces take, repeats counted),
+    first_slot (the first that takes from it; null if none does).
 
     Null texts have size 0 and are taken 0 times; null sources are a source,
     the last; repeated rows and null ids are documents of their own; a table
     without words gives targets of 0; other columns are not read. The order
-    depends on ids alone, so reruns agree.
+    depends on ids and sizes alone, so reruns agree. A source whose share is
+    under one slot still has one, after all others.
     """
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_tokens(text_col).alias("size")), "mix-sizes")
     goals = targets(sized)
@@ -123,23 +123,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     joined = rows.join(F.broadcast(wanted) if n <= 10_000 else wanted, rows["source"].eqNullSafe(wanted["__source"])).drop("__source")
     joined = materialize(joined.withColumn("row_no", F.monotonically_increasing_id()), "mix-rows")
 
-    # the row repeats itself without end; block b holds its tokens [b * block, (b + 1) * block), the last up to the quota
-    slots = schedule(goals.where("target > 0").select("source_no", "target"), slots_per_source)
-    counts = slots.groupBy("source_no").agg(F.count("*").alias("n_slots"))
-    quotas = goals.select("source_no", F.round("target").cast("long").alias("quota")).join(counts, "source_no", "left").na.fill(0, ["n_slots"])
-    # a share too small for any point still has one slot, after all others
-    spare = quotas.where("n_slots = 0 and quota > 0").select((F.col("source_no") + F.lit(1 << bits)).alias("slot"), "source_no", F.lit(0).alias("rank"))
-    slots = slots.unionByName(spare)
-    quotas = quotas.withColumn("n_slots", F.greatest("n_slots", F.lit(1)))
-    rows = joined.where("size > 0").join(F.broadcast(quotas) if n <= 10_000 else quotas, "source_no")
+    # the row repeats itself without end; block r holds its tokens [r * block, (r + 1) * block), up to the quota
+    quotas = goals.select("source_no", F.round("target").cast("long").alias("quota"))
+    parts = materialize(shares(quotas.where("quota > 0"), bits), "mix-shares")
+    spare = parts.where("lo >= hi").select((F.col("source_no") + F.lit(1 << bits)).alias("slot"), "source_no", F.lit(0).alias("rank"))
+    slots = schedule(parts, bits).unionByName(spare)
+    given = parts.select("source_no", F.least(F.col("quota"), F.greatest(F.col("hi") - F.col("lo"), F.lit(1)) * block).alias("given"))
+    rows = joined.where("size > 0").join(F.broadcast(given) if n <= 10_000 else given, "source_no")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))))
-    rows = rows.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), "quota")).where("from < to")
-    number = lambda c: F.least(F.floor(c / block), F.col("n_slots") - 1)
+    rows = rows.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), "given")).where("from < to")
+    number = lambda c: F.floor(c / block)
     rows = rows.withColumn("rank", F.explode(F.sequence(number(F.col("from")), number(F.col("to") - 1))))
-    lo = F.greatest("from", F.col("rank") * block)
-    hi = F.when(F.col("rank") == F.col("n_slots") - 1, F.col("to")).otherwise(F.least("to", (F.col("rank") + 1) * block))
+    lo, hi = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
     pieces = rows.select("row_no", "doc_id", "source", "source_no", "epoch", "rank", (lo - F.col("from")).alias("first"), (hi - lo).alias("n_tokens")).join(slots, ["source_no", "rank"])
     pieces = pieces.select("slot", "row_no", "doc_id", "source", "epoch", "first", "n_tokens")
-    taken = pieces.groupBy("row_no").agg(F.sum("n_tokens").alias("taken"))
+    taken = pieces.groupBy("row_no").agg(F.sum("n_tokens").alias("taken"), F.min("slot").alias("first_slot"))
     out = joined.join(taken, "row_no", "left")
-    return pieces, out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return pieces, out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

@@ -56,13 +56,31 @@ WITH d AS (
     (sum(weight) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weights FROM w
 ), l AS (SELECT *, max(CASE WHEN weight * ((total - gone) / weights) <= room THEN (total - gone) / weights END) OVER () AS level FROM f
 ), t AS (SELECT source, source_size, CASE WHEN level IS NOT NULL AND weight * level <= room THEN weight * level ELSE room::DOUBLE END AS target FROM l
+), c AS (
+  SELECT source, round(target)::HUGEINT AS quota, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no, (SELECT greatest(1, ceil(log2(greatest(count(*), 1) * 65536)))::INT FROM s) AS bits,
+    (SELECT sum(source_size) FROM s)::HUGEINT AS total FROM t
+), e AS (
+  SELECT *, sum(quota) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING)::HUGEINT AS upto, (sum(quota) OVER ())::HUGEINT AS alls, greatest(1, (total + (1::HUGEINT << bits) - 1) // (1::HUGEINT << bits))::BIGINT AS block FROM c WHERE quota > 0
+), h AS (
+  SELECT source, no, quota, bits, block, (((upto - quota) * (1::HUGEINT << bits) + alls - 1) // alls)::BIGINT AS lo, ((upto * (1::HUGEINT << bits) + alls - 1) // alls)::BIGINT AS hi FROM e
+), n AS (SELECT any_value(bits) AS bits FROM h
+), v AS (
+  SELECT slot, list_sum(list_transform(range(bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k)))::BIGINT AS point FROM (SELECT bits, unnest(range(1::BIGINT << bits)) AS slot FROM n)
+), o AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM v JOIN h ON point >= lo AND point < hi
+  UNION ALL SELECT source, no + (1::BIGINT << bits), 0 FROM h WHERE lo >= hi
 ), r AS (
-  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':mix'), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+  SELECT doc_id, source, size, row_number() OVER () AS row_no, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':mix'), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+), j AS (SELECT r.*, source_size, target FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+), a AS (
+  SELECT row_no, j.source, block, epoch * source_size + start AS first, least(epoch * source_size + start + size, quota, greatest(hi - lo, 1) * block)::BIGINT AS past
+  FROM j JOIN h ON j.source IS NOT DISTINCT FROM h.source, range(3) x(epoch) WHERE size > 0
+), b AS (SELECT *, unnest(range(first // block, (past - 1) // block + 1)) AS rank FROM a WHERE first < past
+), p AS (
+  SELECT row_no, sum(least(past, (b.rank + 1) * block) - greatest(first, b.rank * block))::BIGINT AS taken, min(slot) AS first_slot
+  FROM b JOIN o ON b.rank = o.rank AND b.source IS NOT DISTINCT FROM o.source GROUP BY 1
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, round(target)::BIGINT - start)) + greatest(0, least(size, round(target)::BIGINT - source_size - start))
-    + greatest(0, least(size, round(target)::BIGINT - 2 * source_size - start)))::BIGINT AS taken
-FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM j LEFT JOIN p USING (row_no)
 """
 
 OP8 = r"""
@@ -77,12 +95,15 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}\x{00B7}]'))) AS n_bullet, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t\r]*$'))) AS n_ellipsis
   FROM d LEFT JOIN r USING (doc_id)
-), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines) OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))) AS kept
-FROM b
+), b AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines)::BIGINT
+    + 16 * (n_words > 0 AND word_chars < 2 * n_words)::BIGINT + 32 * (n_words > 0 AND word_chars > 20 * n_words)::BIGINT + 128 * (n_words > 0 AND 2 * n_letters < word_chars)::BIGINT
+    + 256 * (n_lines >= 4 AND 10 * n_bullet > 9 * n_lines)::BIGINT + 512 * (n_lines >= 4 AND 10 * n_ellipsis > 3 * n_lines)::BIGINT)::BIGINT AS fail_bits FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import split_words
 
 SYMBOLS = "#*$%&|<>"
+#: How a line of a list begins, and how one ends that was cut off.
+BULLET = "^[ \t]*[-*\u2022\u00B7]"
+ELLIPSIS = "(\\.\\.\\.|\u2026)[ \t\r]*$"
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,10 @@ RULES = (
     Rule("duplicate_lines", 3, "n_lines >= 4 and 10 * n_dup_lines > 5 * n_lines"),
     Rule("short_words", 4, "n_words > 0 and word_chars < 2 * n_words"),
     Rule("long_words", 5, "n_words > 0 and word_chars > 20 * n_words"),
-    Rule("no_words", 6, "n_words = 0"),
+    # bit 6 was a rule that bit 0 implies; the number is not used again
+    Rule("few_letters", 7, "n_words > 0 and 2 * n_letters < word_chars"),
+    Rule("bullet_lines", 8, "n_lines >= 4 and 10 * n_bullet_lines > 9 * n_lines"),
+    Rule("ellipsis_lines", 9, "n_lines >= 4 and 10 * n_ellipsis_lines > 3 * n_lines"),
 )
 BASE = Policy("base", 1, ("too_few_words", "repeated_trigrams"))
 STANDARD = Policy("standard", 1, tuple(r.name for r in RULES))
@@ -67,13 +73,19 @@ def _covered(at: Column) -> Column:
     return F.aggregate(at, start, step, lambda a: a["n"])
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_bullet_lines", "n_ellipsis_lines")
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long).
+    """Add the MEASURES, all long, in place of columns of these names.
 
     n_repeat_words: words inside three-word windows that occur twice or more in
-    the text. Null text has no words and no lines. Nothing is shuffled: each
+    the text; windows are told apart by 64 bits of hash. n_letters: letters of
+    any script. n_bullet_lines, n_ellipsis_lines: lines with a word that begin
+    with a bullet, or end in an ellipsis. Null text has no words and no lines. Nothing is shuffled: each
     document is measured inside its own row, in n log n of its words.
     """
+    docs = docs.drop(*(set(MEASURES) & set(docs.columns)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     out = docs.select("*", split_words(text).alias("__words"), lines.alias("__lines"))
@@ -88,6 +100,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("__at")).cast("long").alias("n_repeat_words"),
+        F.regexp_count(text, F.lit("\\p{L}")).cast("long").alias("n_letters"),
+        F.size(F.filter("__lines", lambda s: s.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("__lines", lambda s: s.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
     )
     # inline() of one struct, and not plain columns: a later filter would be pushed down and measure everything again
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(found)))
@@ -99,8 +114,7 @@ def ledger(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULE
     Columns of docs keep their names; a clashing one (say, an n_words of its
     own) is replaced by the measurement. Null ids and repeated rows stay rows.
     """
-    names = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "fail_bits"}
-    measured = measure(docs.drop(*(names & set(docs.columns))), text_col)
+    measured = measure(docs.drop("fail_bits"), text_col)
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.failed), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -139,4 +153,4 @@ def quality_report(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "do
     """One row per document: its id, measurements, fail_bits, base_failed and kept."""
     rows = ledger(docs.select(F.col(id_col), F.col(text_col)), text_col)
     base_failed = ~kept(BASE)
-    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (kept(BASE) & kept(policy)).alias("kept"), "fail_bits", "n_lines")
+    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (kept(BASE) & kept(policy)).alias("kept"), "fail_bits", *MEASURES[6:], "n_lines")

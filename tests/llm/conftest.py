@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, n_words long, fp long, taken long, kept string, license string, text_ string"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, n_words long, fp long, taken long, kept string, license string, text_ string, doc_words string, folder string, from_license string, from_similarity double, n_letters long, fail_bits long"
 
 
 def make_texts(seed: int = 5, n: int = 60) -> list[tuple]:
@@ -37,7 +37,7 @@ def messy(spark):
     ]
     rows = make_texts() + odd
     rows += [rows[0], rows[0], odd[0], odd[4]]
-    full = [(i, t, "en", s, None if t is None else len(t), 7, 8, 9, "kept", "mine", "t") for i, t, s in rows]
+    full = [(i, t, "en", s, None if t is None else len(t), 7, 8, 9, "kept", "mine", "t", "d", "f", "l", 0.5, 3, 1) for i, t, s in rows]
     return spark.createDataFrame(full, DDL).repartition(3)
 
 

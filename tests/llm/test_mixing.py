@@ -51,16 +51,33 @@ def test_messy_documents(messy):
 
 
 def test_slots_of_a_source_are_spread(spark):
-    goals = spark.createDataFrame([(0, 100.0), (1, 300.0), (2, 600.0)], "source_no int, target double")
-    slots = mixing.schedule(goals, 64).orderBy("slot").collect()
+    goals = spark.createDataFrame([(0, 100), (1, 300), (2, 600)], "source_no int, quota long")
+    slots = mixing.schedule(mixing.shares(goals, 8), 8).orderBy("slot").collect()
     n = len(slots)
-    assert [s["slot"] for s in slots] == list(range(n))
+    assert [s["slot"] for s in slots] == list(range(n)) and n == 256
     for no, share in ((0, 0.1), (1, 0.3), (2, 0.6)):
         for upto in (n // 8, n // 2, n):
-            assert abs(sum(1 for s in slots[:upto] if s["source_no"] == no) - share * upto) < 8
+            assert abs(sum(1 for s in slots[:upto] if s["source_no"] == no) - share * upto) < 4
         assert [s["rank"] for s in slots if s["source_no"] == no] == list(range(sum(1 for s in slots if s["source_no"] == no)))
 
 
+def test_the_schedule_decides(messy, monkeypatch):
+    """Fewer slots: what is taken follows from whole blocks; another sequence: documents come from other slots."""
+    rows = [r.asDict() for r in mixing.mix(messy, slots_per_source=4)[1].collect()]
+    block = -(-sum(r["size"] for r in rows) // 16)
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    for own in by.values():
+        taken = sum(r["taken"] for r in own)
+        assert taken == round(own[0]["target"]) or taken % block == 0
+        assert own[0]["target"] - block - 1 <= taken <= own[0]["target"] + 1
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in rows)
+    monkeypatch.setattr(mixing, "mirrored", lambda i, bits: i)
+    other = [r.asDict() for r in mixing.mix(messy, slots_per_source=4)[1].collect()]
+    assert sorted(str(r) for r in other) != sorted(str(r) for r in rows)
+
+
 def test_empty_table_and_tables_without_words(spark, empty):
     assert mixing.mix(empty)[1].count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")

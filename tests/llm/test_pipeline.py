@@ -2,7 +2,7 @@ import corpus_pipeline as P
 import pytest
 from tessera.llm import quality, suffix_dedup
 from test_decontaminate import brute as contaminated_by
-from test_simhash import brute_components
+from test_near_copies import brute_keep
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def test_quality_rules(stages, spark):
 
 def test_one_document_of_each_group_stays(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages["quality_rules"]]
-    assert sorted(r["doc_id"] for r in stages["near_duplicates"]) == sorted({c for _, _, c in brute_components(rows)})
+    assert sorted(r["doc_id"] for r in stages["near_duplicates"]) == sorted(i for _, i in brute_keep(rows))
 
 
 def test_repeated_passages_go(stages):
