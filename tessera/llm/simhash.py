@@ -399,21 +399,40 @@ def candidates(frames: Iterator[pd.DataFrame], radius: int, every: bool) -> Iter
             yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Counts of the shingles by their first byte, up to 255: two sets differ in at least as many shingles as their sketches."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more. sets: set_id, k1, k2 of a text that has the set; texts: k1, k2, text."""
+    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more. sets: set_id, k1, k2 of a text that has the set; texts: k1, k2, text.
 
-    @F.pandas_udf("array<long>")
-    def shingles(s: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, size).view(np.int64) for t in s])
+    Such sets differ in a ninth of their sizes at most; pairs whose sketches
+    differ in more go before whole sets are sent to their pairs.
+    """
+
+    @F.pandas_udf("hashes array<long>, sketch binary")
+    def shingles(s: pd.Series) -> pd.DataFrame:
+        own = [shingle_set(t, size) for t in s]
+        return pd.DataFrame({"hashes": [x.view(np.int64) for x in own], "sketch": [sketch(x) for x in own]})
+
+    @F.pandas_udf("long")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        u, v = (np.frombuffer(b"".join(z), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for z in (x, y))
+        return pd.Series(np.abs(u - v).sum(axis=1, dtype=np.int64))
 
     pairs = materialize(pairs.distinct(), "simhash-pairs")
     named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    keys = sets.join(named, "set_id", "left_semi").select("set_id", "k1", "k2")
-    own = materialize(texts.join(keys, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", shingles("text").alias("hashes")), "simhash-sets")
+    keys = sets.join(named, "set_id", "left_semi").select("set_id", "size", "k1", "k2")
+    own = texts.join(keys, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", "size", shingles("text").alias("own"))
+    own = materialize(own.select("set_id", "size", "own.*"), "simhash-sets")
+    a, b = (own.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    near = pairs.join(a, "a").join(b, "b").where(9 * apart("sa", "sb") <= F.col("na") + F.col("nb"))
+    near = materialize(near.select("a", "b"), "simhash-near")
     a = own.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
     b = own.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    found = near.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
     return materialize(found, "simhash-links")
 
 
