@@ -1,36 +1,97 @@
-"""License scans: sparse TF-IDF cosine of header lines and licence files to templates, then the nearest ancestor directory.
-
-A line can only reach the threshold with a template if it holds one of the
-template's heavier terms: those that are left when the lightest, as many as
-together stay below the threshold, are set aside. Only lines with such a term
-are taken apart and joined with the templates' weights.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then the nearest ancestor directory.
+
+Units of a file are its lines and its paragraphs (lines up to one without words,
+so a comment block is cut like the text in it). Every unit is compared with short
+notices, standard headers and opening paragraphs of licences. A unit can only
+reach the threshold of a template if it holds one of the template's heavier
+terms: those that are left when the lightest, as many as together stay below the
+threshold, are set aside. Only units with such a term are taken apart and joined
+with the templates' weights.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize, spark_of, split_words
+from tessera.llm.common import ascii_lower, hot_keys, materialize, salted_join, spark_of, split_words
 from tessera.llm.decontaminate import NOT_WORD
 
-# Identifiers and the notices by which files name them.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license (3-Clause BSD License).",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+
+class Template(NamedTuple):
+    """rank: a licence that holds the text of another, as BSD-3 does of BSD-2, ranks above it."""
+
+    license: str
+    text: str
+    threshold: float = 0.7
+    rank: int = 1
+
+
+# Identifiers and the names by which notices call the licences.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPL v3"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD-style license (2-Clause BSD License)", "2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD-style license (3-Clause BSD License)", "3-Clause BSD License"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GPL v2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GPL v3"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPL v2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPL v3"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0", "MPL 2.0"),
+    "Unlicense": ("Unlicense",),
 }
-THRESHOLD = 0.7
-#: Non-blank lines at the head and at the foot of a file that are scanned; of licence files, all are.
-HEADER_LINES = 3
+NOTICES = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This project is licensed under the terms of the {}.", "Use of this source code is governed by the {}.")
+# First words of licences and their standard headers, as published.
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+PARAGRAPHS = (
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", GNU.format("Affero General Public License", "3")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", GNU.format("General Public License", "2")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", GNU.format("General Public License", "3")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", GNU.format("Lesser General Public License", "3")),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+SPDX_THRESHOLD = 0.9
+
+
+def standard_templates() -> list[Template]:
+    """Notices of every name, SPDX lines of every identifier and its forms, headers and opening paragraphs."""
+    out = [Template(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
+    forms = {k: (k, f"{k}-only", f"{k}-or-later") if "GPL" in k else (k,) for k in NAMES}
+    out += [Template(k, f"SPDX-License-Identifier: {form}", SPDX_THRESHOLD) for k, own in forms.items() for form in own]
+    out += [Template(k, text, 0.7, int(k != "BSD-2-Clause")) for k, text in PARAGRAPHS]
+    return out
+
+
 LICENSE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
+#: Between two paragraphs: one or more lines without a word.
+BETWEEN = "\\n(?:[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*\\n)+"
 
 
 def terms(c: Column) -> Column:
@@ -42,22 +103,19 @@ def _python_terms(text: str) -> list[str]:
     return "".join(c if c >= "\x80" or c.isalnum() else " " for c in low).split()
 
 
-def header(text: Column, whole: Column, lines: int = HEADER_LINES) -> Column:
-    """The lines to scan."""
-    full = F.filter(F.split(text, "\n", -1), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
-    return F.when(whole | (F.size(full) <= 2 * lines), full).otherwise(F.concat(F.slice(full, 1, lines), F.slice(full, -lines, lines)))
+def units(text: Column) -> Column:
+    """The lines of a text, then its paragraphs of two lines or more."""
+    return F.concat(F.split(text, "\n", -1), F.filter(F.split(text, BETWEEN, -1), lambda p: F.contains(p, F.lit("\n"))))
 
 
-def template_weights(df: dict[str, int], n_docs: int, templates: dict[str, str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
-    """(idf by term, unit vectors by template). idf = ln((1 + n) / (1 + df)) + 1."""
-    counts = {k: Counter(_python_terms(t)) for k, t in templates.items()}
-    idf = {t: math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for c in counts.values() for t in c}
-    vectors = {}
-    for k, c in counts.items():
-        raw = {t: n * idf[t] for t, n in sorted(c.items())}
+def template_vectors(df: dict[str, int], n_docs: int, templates: list[Template]) -> list[dict[str, float]]:
+    """Unit vectors of the templates. idf = ln((1 + n) / (1 + df)) + 1."""
+    vectors = []
+    for t in templates:
+        raw = {x: n * (math.log((1 + n_docs) / (1 + df.get(x, 0))) + 1) for x, n in sorted(Counter(_python_terms(t.text)).items())}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        vectors[k] = {t: x / norm for t, x in raw.items()}
-    return idf, vectors
+        vectors.append({x: w / norm for x, w in raw.items()})
+    return vectors
 
 
 def prefix_terms(vector: dict[str, float], threshold: float) -> list[str]:
@@ -70,34 +128,35 @@ def prefix_terms(vector: dict[str, float], threshold: float) -> list[str]:
     return out
 
 
-def matches(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, lines: int = HEADER_LINES) -> DataFrame:
-    """__k1, __k2, license, similarity: the best template of each text of files (__k1, __k2, text, whole) that reaches the threshold.
+def matches(files: DataFrame, templates: list[Template] | None = None) -> DataFrame:
+    """__k1, __k2, license, similarity: the best template of each text of files (__k1, __k2, text) that reaches its threshold.
 
-    A term's idf is taken over the scanned lines of all files; one that is in
-    no template weighs as if no file had it. Ties go to the first identifier.
+    A term's idf is taken over all files. Templates of a higher rank go first,
+    then the more similar, then the first identifier.
     """
-    templates = templates or TEMPLATES
+    templates = templates or standard_templates()
     spark = spark_of(files)
-    vocabulary = sorted({t for x in templates.values() for t in _python_terms(x)})
-    scanned = files.select("__k1", "__k2", header(F.col("text"), F.col("whole"), lines).alias("lines"))
-    own = F.array(*[F.lit(t) for t in vocabulary])
-    held = scanned.select(F.explode(F.array_intersect(terms(F.array_join("lines", "\n")), own)).alias("term"))
-    df = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most the templates' terms
+    vocabulary = {t for x in templates for t in _python_terms(x.text)}
+    df = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = materialize(df, "license-frequencies")
+    own = {r["term"]: r["df"] for r in df.where(F.col("term").isin(*sorted(vocabulary))).collect()}  # at most the templates' terms
     n_docs = files.count()
-    idf, vectors = template_weights(df, n_docs, templates)
-    triggers = sorted({t for v in vectors.values() for t in prefix_terms(v, threshold)})
-    weights = spark.createDataFrame([(t, k, x) for k, v in vectors.items() for t, x in v.items()], "term string, license string, weight double")
-    idfs = F.create_map(*[F.lit(x) for e in sorted(idf.items()) for x in e])
-    rare = F.lit(math.log(1 + n_docs) + 1)
-    line = scanned.select("__k1", "__k2", F.posexplode("lines").alias("line_no", "line"))
-    line = line.select("__k1", "__k2", "line_no", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in triggers]))).distinct()
-    line = materialize(line, "license-lines")
-    counted = line.select("__k1", "__k2", "line_no", F.explode("terms").alias("term")).groupBy("__k1", "__k2", "line_no", "term").agg(F.count("*").alias("n"))
-    counted = counted.withColumn("x", F.col("n") * F.coalesce(F.element_at(idfs, F.col("term")), rare))
-    norms = counted.groupBy("__k1", "__k2", "line_no").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.join(F.broadcast(weights), "term").groupBy("__k1", "__k2", "line_no", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norms, ["__k1", "__k2", "line_no"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
-    best = cosine.groupBy("__k1", "__k2").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "license")).alias("best"))
+    vectors = template_vectors(own, n_docs, templates)
+    triggers = sorted({t for v, x in zip(vectors, templates, strict=True) for t in prefix_terms(v, x.threshold)})
+    rows = [(no, x.license, x.rank, x.threshold, t, w) for no, (v, x) in enumerate(zip(vectors, templates, strict=True)) for t, w in v.items()]
+    weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, rank int, threshold double, term string, weight double"))
+    unit = files.select("__k1", "__k2", F.posexplode(units(F.col("text"))).alias("unit", "line"))
+    unit = unit.select("__k1", "__k2", "unit", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in triggers]))).distinct()
+    counted = unit.select("__k1", "__k2", "unit", F.explode("terms").alias("term")).groupBy("__k1", "__k2", "unit", "term").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "license-terms")
+    sizes = materialize(counted.groupBy("term").agg(F.count("*").alias("n")), "license-sizes")
+    counted = salted_join(counted, df, ["term"], hot_keys(sizes, ["term"], "n"), F.xxhash64("__k1", "unit"))
+    counted = counted.withColumn("x", F.col("n") * (F.log((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1))
+    unit_keys = ["__k1", "__k2", "unit"]
+    norms = counted.groupBy(*unit_keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = counted.join(weights, "term").groupBy(*unit_keys, "template", "license", "rank", "threshold").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    cosine = dots.join(norms, unit_keys).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= F.col("threshold"))
+    best = cosine.groupBy("__k1", "__k2").agg(F.min(F.struct((-F.col("rank")).alias("above"), (-F.col("similarity")).alias("less"), "license")).alias("best"))
     return best.select("__k1", "__k2", F.col("best.license").alias("license"), (-F.col("best.less")).alias("similarity"))
 
 
@@ -111,34 +170,35 @@ def ancestors(folder: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("folder")))
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text") -> DataFrame:
+def scan(files: DataFrame, templates: list[Template] | None = None, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """files with license, similarity, basis and license_dir.
 
-    basis: `header` for a file's own notice, `inherited` for that of the
-    nearest directory above it, its own included, with a licence file (by its
-    name) that matches a template, else null. A directory with several takes
-    the most similar, then the first identifier. Null texts have no notice;
-    null paths lie in the root; repeated rows stay rows; empty tables give
-    none; clashing names of files are replaced.
+    basis: `header` for a notice of the file's own, wherever it stands in it,
+    `inherited` for that of the nearest directory above it, its own included,
+    with a licence file (by its name) that matches a template, else null. A
+    directory with several takes the most similar, then the first identifier.
+    Null texts have no notice; null paths lie in the root; repeated rows stay
+    rows; empty tables give none; clashing names of files are replaced; names
+    that begin with two underscores are reserved.
     """
     base = files.drop(*({"license", "similarity", "basis", "license_dir"} & set(files.columns)))
     path = F.coalesce(F.col(path_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = F.regexp_extract(path, "[^/]*$", 0).rlike(LICENSE_FILE)
-    keyed = base.select("*", F.xxhash64(text, whole).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"), directory(path).alias("__dir"), whole.alias("__whole"))
-    own = materialize(matches(keyed.select("__k1", "__k2", text.alias("text"), F.col("__whole").alias("whole")), templates, threshold), "license-matches")
-    found = keyed.join(own, ["__k1", "__k2"], "left")
-    named = keyed.where("__whole").select("__k1", "__k2", "__dir").distinct().join(own, ["__k1", "__k2"])
-    by_dir = named.groupBy("__dir").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "license")).alias("best"))
-    by_dir = by_dir.select(F.col("__dir").alias("folder"), F.col("best.license").alias("from_license"), (-F.col("best.less")).alias("from_similarity"))
+    named = F.regexp_extract(path, "[^/]*$", 0).rlike(LICENSE_FILE)
+    keyed = base.select("*", F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2"), directory(path).alias("__dir"), named.alias("__named"))
+    own = materialize(matches(keyed.select("__k1", "__k2", text.alias("text")), templates), "license-matches")
+    own = own.select("__k1", "__k2", F.col("license").alias("__license"), F.col("similarity").alias("__similarity"))
+    by_dir = keyed.where("__named").select("__k1", "__k2", "__dir").distinct().join(own, ["__k1", "__k2"])
+    by_dir = by_dir.groupBy("__dir").agg(F.min(F.struct((-F.col("__similarity")).alias("less"), "__license")).alias("best"))
+    by_dir = by_dir.select(F.col("__dir").alias("__folder"), F.col("best.__license").alias("__from"), (-F.col("best.less")).alias("__from_similarity"))
     # what is inherited depends on the directory alone
-    above = keyed.select("__dir").distinct().select("__dir", F.inline(ancestors(F.col("__dir")))).join(by_dir, "folder")
-    nearest = above.groupBy("__dir").agg(F.max_by(F.struct("folder", "from_license", "from_similarity"), "depth").alias("near")).select("__dir", "near.*")
-    out = found.join(materialize(nearest, "license-dirs"), "__dir", "left")
-    return out.select(
+    above = keyed.select("__dir").distinct().select("__dir", F.inline(ancestors(F.col("__dir")))).withColumnRenamed("folder", "__folder").join(by_dir, "__folder")
+    nearest = above.groupBy("__dir").agg(F.max_by(F.struct("__folder", "__from", "__from_similarity"), "depth").alias("__near")).select("__dir", "__near.*")
+    found = keyed.join(own, ["__k1", "__k2"], "left").join(materialize(nearest, "license-dirs"), "__dir", "left")
+    return found.select(
         *[F.col(f"`{c}`") for c in base.columns],
-        F.coalesce("license", "from_license").alias("license"),
-        F.coalesce("similarity", "from_similarity").alias("similarity"),
-        F.when(F.col("license").isNotNull(), "header").when(F.col("from_license").isNotNull(), "inherited").alias("basis"),
-        F.when(F.col("license").isNull(), F.col("folder")).alias("license_dir"),
+        F.coalesce("__license", "__from").alias("license"),
+        F.coalesce("__similarity", "__from_similarity").alias("similarity"),
+        F.when(F.col("__license").isNotNull(), "header").when(F.col("__from").isNotNull(), "inherited").alias("basis"),
+        F.when(F.col("__license").isNull(), F.col("__folder")).alias("license_dir"),
     )

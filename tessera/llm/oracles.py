@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tessera.llm.license_scan import standard_templates
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP1 = r"""
@@ -108,25 +110,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 
+TEMPLATE_ROWS = ", ".join("({}, '{}', '{}', {}, {})".format(no, t.license, t.text.replace("'", "''"), t.threshold, t.rank) for no, t in enumerate(standard_templates()))
+
 OP7 = r"""
 WITH f AS (
-  SELECT doc_id, text, source || '/' || lang || '/' || (doc_id // 1000) AS dir, length(text) - length(replace(text, chr(10), '')) < 2 AS named FROM documents
-), p AS (SELECT *, dir || '/' || CASE WHEN named THEN 'LICENSE' ELSE doc_id || '.txt' END AS path, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM f
-), h AS (SELECT *, CASE WHEN named OR len(ls) <= 6 THEN ls ELSE ls[1:3] || ls[len(ls) - 2:len(ls)] END AS hd FROM p
-), l AS (SELECT doc_id, unnest(hd) AS line, unnest(range(len(hd))) AS no FROM h
-), tm(license, line) AS (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('BSD-3-Clause', 'Use of this source code is governed by a BSD-style license (3-Clause BSD License).'),
-  ('CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'), ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-  ('MIT', 'Released under the MIT License.'), ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.')
-), w AS (SELECT doc_id, no, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM l
-), tw AS (SELECT license, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM tm
+  SELECT doc_id, coalesce(text, '') AS text, source || '/' || lang || '/' || (doc_id // 1000) AS dir, length(text) - length(replace(text, chr(10), '')) < 2 AS named FROM documents
+), p AS (SELECT *, dir || '/' || CASE WHEN named THEN 'LICENSE' ELSE doc_id || '.txt' END AS path FROM f
+), u AS (
+  SELECT doc_id, string_split(text, chr(10)) || list_filter(string_split_regex(text, '\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+'), lambda x: contains(x, chr(10))) AS us FROM f
+), l AS (SELECT doc_id, unnest(us) AS line, unnest(range(len(us))) AS no FROM u
+), tm(template, license, line, threshold, rank) AS (VALUES """ + TEMPLATE_ROWS + r"""
+), tw AS (SELECT template, license, threshold, rank, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM tm
 ), n AS (SELECT count(*) AS n FROM documents
-), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1
-), idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tw) LEFT JOIN df USING (term), n
-), tv AS (SELECT license, term, x / sqrt(sum(x * x) OVER (PARTITION BY license)) AS weight FROM (SELECT license, term, count(*) * any_value(idf) AS x FROM tw JOIN idf USING (term) GROUP BY 1, 2)
-), c AS (SELECT doc_id, no, term, count(*) * coalesce(any_value(idf), ln(1 + any_value(n.n)) + 1) AS x FROM w LEFT JOIN idf USING (term), n GROUP BY 1, 2, 3
+), df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM f) GROUP BY 1
+), w AS (SELECT doc_id, no, unnest(ws) AS term FROM (SELECT doc_id, no, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM l) WHERE list_has_any(ws, (SELECT list(DISTINCT term) FROM tw))
+), idf AS (SELECT term, ln((1 + any_value(n)) / (1 + coalesce(any_value(df), 0))) + 1 AS idf FROM (SELECT term FROM df UNION SELECT term FROM tw) LEFT JOIN df USING (term), n GROUP BY term
+), tv AS (
+  SELECT template, license, threshold, rank, term, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS weight
+  FROM (SELECT template, license, threshold, rank, term, count(*) * any_value(idf) AS x FROM tw JOIN idf USING (term) GROUP BY ALL)
+), c AS (SELECT doc_id, no, term, count(*) * any_value(idf) AS x FROM w JOIN idf USING (term) GROUP BY 1, 2, 3
 ), m AS (SELECT doc_id, no, sqrt(sum(x * x)) AS norm FROM c GROUP BY 1, 2
-), s AS (SELECT doc_id, no, license, round(sum(x * weight) / any_value(norm), 6) AS sim FROM c JOIN tv USING (term) JOIN m USING (doc_id, no) GROUP BY 1, 2, 3
-), b AS (SELECT doc_id, license, sim FROM s WHERE sim >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, license) = 1
+), s AS (SELECT doc_id, license, rank, threshold, round(sum(x * weight) / any_value(norm), 6) AS sim FROM c JOIN tv USING (term) JOIN m USING (doc_id, no) GROUP BY doc_id, no, template, license, rank, threshold
+), b AS (SELECT doc_id, license, sim FROM s WHERE sim >= threshold QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, sim DESC, license) = 1
 ), d AS (SELECT dir, b.license AS from_license, b.sim AS from_sim FROM p JOIN b USING (doc_id) WHERE named QUALIFY row_number() OVER (PARTITION BY dir ORDER BY b.sim DESC, b.license) = 1)
 SELECT doc_id, path, coalesce(b.license, from_license) AS license, coalesce(b.sim, from_sim) AS similarity, CASE WHEN b.license IS NOT NULL THEN 'header' WHEN from_license IS NOT NULL THEN 'inherited' END AS basis,
   CASE WHEN b.license IS NULL AND from_license IS NOT NULL THEN dir END AS license_dir
