@@ -100,7 +100,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("__at")).cast("long").alias("n_repeat_words"),
-        F.regexp_count(text, F.lit("\\p{L}")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace(text, "[^\\p{L}]+", "")).cast("long").alias("n_letters"),
         F.size(F.filter("__lines", lambda s: s.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("__lines", lambda s: s.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
     )
