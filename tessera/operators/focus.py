@@ -14,7 +14,7 @@ from tessera.functions.text import SPACE, folded, target_matches, trimmed
 
 # Directories that are never searched, prose kinds and extensions, and the patterns of headings, dates and tables.
 EXCLUDED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "__pycache__", ".venv", "venv", ".idea", ".vscode")
-PROSE_KINDS = ("doc-section", "legal-section", "memory-entry", "fallback")
+PROSE_KINDS = ("doc-section", "legal-article", "chronological", "bounded-excerpt")
 PROSE_EXTENSIONS = ("md", "markdown", "txt", "rst")
 MARKDOWN_HEADING = "(?i)^\\s*#{1,6}\\s+.*$"
 LEGAL_HEADING = "(?iu)^\\s*(t[íi]tulo|cap[íi]tulo|secci[óo]n|art[íi]culo|inciso)\\s+\\S.*$"
@@ -36,7 +36,8 @@ def scan_stats(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def is_prose(kind: Column, path: Column) -> Column:
-    return kind.isin(*PROSE_KINDS) | F.regexp_extract(path, "\\.([^./]*)$", 1).isin(*PROSE_EXTENSIONS)
+    """Sections and excerpts are prose, and files by their extension, whatever its case; the extension says nothing of other kinds."""
+    return kind.isin(*PROSE_KINDS) | ((kind == "file") & F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1)).isin(*PROSE_EXTENSIONS))
 
 
 def sections(files: DataFrame, heading: str, key: str = "path", text: str = "content") -> DataFrame:
@@ -59,7 +60,7 @@ def dated_entries(files: DataFrame, targets: DataFrame, key: str = "path", text:
     """Dated entries that match a target, of the first file (by key) that has any, joined by a line of dashes. Files without a dated line have none."""
     hit = matching_entries(files, targets, key, text)
     per_file = hit.groupBy("target", "source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section_ord", "content"))), lambda e: e["content"]), "\n---\n").alias("content"))
-    return per_file.groupBy("target").agg(F.min_by(F.struct("source", "content"), "source").alias("first")).select("target", "first.source", F.lit("memory-entry").alias("kind"), "first.content")
+    return per_file.groupBy("target").agg(F.min_by(F.struct("source", "content"), "source").alias("first")).select("target", "first.source", F.lit("chronological").alias("kind"), "first.content")
 
 
 def matching_entries(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
@@ -113,7 +114,7 @@ def excerpts(files: DataFrame, targets: DataFrame, key: str = "path", text: str
     hit = lines.join(wanted, target_matches(F.col("line"), F.col("target")))
     first = hit.groupBy("target").agg(F.min_by(F.struct(F.col(key).alias("source"), "at", "__lines"), F.struct(key, "at")).alias("f")).select("target", "f.*")
     start = F.greatest(F.col("at") - WINDOW_BEFORE, F.lit(0))
-    return first.select("target", "source", F.lit("fallback").alias("kind"), F.array_join(F.slice("__lines", start + 1, F.col("at") + WINDOW_AFTER - start), "\n").alias("content"))
+    return first.select("target", "source", F.lit("bounded-excerpt").alias("kind"), F.array_join(F.slice("__lines", start + 1, F.col("at") + WINDOW_AFTER - start), "\n").alias("content"))
 
 
 def json_node(document: Column, path: str) -> Column:

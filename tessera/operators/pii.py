@@ -1,8 +1,7 @@
 """PII-shaped tokens: scored by shape and entropy, replaced by stable pseudonyms.
 
-All of it is column expressions. Texts are taken apart into tokens, equal tokens
-are scored once, and the answers are joined back: the number of different tokens
-grows much slower than the texts.
+All of it is column expressions. Texts are masked inside their rows, without a
+shuffle; only tokens that the policy's numbers leave a chance are scored.
 """
 
 from __future__ import annotations
@@ -97,38 +96,59 @@ def pseudonym(core: Column, p: Policy) -> Column:
     return F.format_string(p.tag_format, F.substring(fnv1a(F.lower(core)), 1, p.hash_length))
 
 
+def may_mask(token: Column, p: Policy) -> Column:
+    """False where a token cannot reach the least score: one without digit and @ gets at most the upper-case bonus and all of the entropy."""
+    most = p.shape_weight * min(1.0, max(0.0, p.upper_run_bonus)) + p.entropy_weight
+    return token.rlike("[@\\p{Nd}]") if most < p.min_score - 1e-9 else F.lit(True)
+
+
+def _score(core: Column, p: Policy) -> Column:
+    return shape_score(core, p) * p.shape_weight + entropy_score(core) * p.entropy_weight
+
+
+def _masked(core: Column, score: Column, p: Policy) -> Column:
+    """Tags are not masked again."""
+    tag = p.tag_format.split("%s")[0].lstrip("[")
+    return (F.length(core) >= p.min_token_length) & ~core.startswith(tag) & (score >= p.min_score)
+
+
 def decide(tokens: DataFrame, policy: Policy | None = None, token: str = "token") -> DataFrame:
     """tokens with core, score, masked and replacement. Tags are not masked again."""
     p = policy or Policy()
     prefix, core, suffix = edges(F.col(token))
     # inline() of one struct, and not plain columns, so that a later filter on `masked` is not pushed down to score again
     out = tokens.select("*", F.inline(F.array(F.struct(prefix.alias("__prefix"), core.alias("core"), suffix.alias("__suffix")))))
-    tag = p.tag_format.split("%s")[0].lstrip("[")
-    shape = shape_score(F.col("core"), p) * p.shape_weight
-    out = out.select("*", F.inline(F.array(F.struct((shape + entropy_score(F.col("core")) * p.entropy_weight).alias("score")))))
-    masked = (F.length("core") >= p.min_token_length) & ~F.col("core").startswith(tag) & (F.col("score") >= p.min_score)
-    out = out.withColumn("masked", masked)
+    out = out.select("*", F.inline(F.array(F.struct(_score(F.col("core"), p).alias("score")))))
+    out = out.withColumn("masked", _masked(F.col("core"), F.col("score"), p))
     return out.withColumn("replacement", F.when(F.col("masked"), F.concat("__prefix", pseudonym(F.col("core"), p), "__suffix")).otherwise(F.col(token))).drop("__prefix", "__suffix")
 
 
-def tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without text, one row per token: pos, gap (the white space before it), token."""
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{SPACE}*{NOT_SPACE}+"), 0)
-    rows = df.select(*[c for c in df.columns if c != text], F.posexplode(pieces).alias("pos", "piece"))
-    return rows.select(*[c for c in rows.columns if c != "piece"], F.regexp_extract("piece", f"^{SPACE}*", 0).alias("gap"), F.regexp_replace("piece", f"^{SPACE}+", "").alias("token"))
+def tokens(df: DataFrame, text: str = "text", policy: Policy | None = None) -> DataFrame:
+    """df without text, one row per token that may be masked: n_tokens (all of the text's, on its first row alone) and token, null if none may."""
+    p = policy or Policy()
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{NOT_SPACE}+"), 0)
+    rest = [c for c in df.columns if c != text]
+    rows = df.select(*rest, F.inline(F.array(F.struct(F.size(pieces).cast("long").alias("__n"), F.filter(pieces, lambda t: may_mask(t, p)).alias("__found")))))
+    out = rows.select(*rest, "__n", F.posexplode_outer("__found").alias("__pos", "token"))
+    return out.select(*rest, F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__n")).otherwise(F.lit(0)).alias("n_tokens"), "token")
 
 
 def mask_texts(df: DataFrame, key: str, text: str = "text", policy: Policy | None = None) -> DataFrame:
-    """key, text with its PII-shaped tokens replaced (white space as it was), n_scanned, n_masked. key has to be unique."""
-    rows = tokens(df.select(key, text), text)
-    judged = decide(rows.select("token").distinct(), policy)
-    joined = rows.join(judged.select("token", "masked", "replacement"), "token")
-    tail = df.select(key, F.regexp_extract(text, f"{SPACE}*$", 0).alias("__tail"), F.col(text).isNull().alias("__null"))
-    per = joined.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "gap", "replacement"))), lambda t: F.concat(t["gap"], t["replacement"])), "").alias("__text"),
-        F.count("*").alias("n_scanned"),
-        F.count_if("masked").alias("n_masked"),
-    )
-    out = tail.join(per, key, "left")
-    whole = F.when(~F.col("__null"), F.concat(F.coalesce("__text", F.lit("")), F.col("__tail")))
-    return out.select(key, whole.alias(text), F.coalesce("n_scanned", F.lit(0)).alias("n_scanned"), F.coalesce("n_masked", F.lit(0)).alias("n_masked"))
+    """key, text with its PII-shaped tokens replaced (white space as it was), n_scanned, n_masked.
+
+    Nothing is shuffled and keys may repeat. Null text stays null, with no tokens.
+    """
+    p = policy or Policy()
+
+    def marked(piece: Column) -> Column:
+        token = F.regexp_replace(piece, f"^{SPACE}+", "")
+        prefix, core, suffix = edges(token)
+        gap = F.substr(piece, F.lit(1), F.length(piece) - F.length(token))
+        hit = F.when(may_mask(token, p), _masked(core, _score(core, p), p)).otherwise(F.lit(False))
+        return F.when(hit, F.struct(F.lit(True).alias("hit"), F.concat(gap, prefix, pseudonym(core, p), suffix).alias("text"))).otherwise(F.struct(F.lit(False).alias("hit"), piece.alias("text")))
+
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{SPACE}*{NOT_SPACE}+"), 0)
+    tail = F.regexp_extract(text, f"{SPACE}*$", 0)
+    rows = df.select(key, F.inline(F.array(F.struct(F.transform(pieces, marked).alias("__marked"), tail.alias("__tail")))))
+    joined = F.when(F.col("__tail").isNotNull(), F.concat(F.array_join(F.transform("__marked", lambda m: m["text"]), ""), "__tail"))
+    return rows.select(key, joined.alias(text), F.size("__marked").cast("long").alias("n_scanned"), F.size(F.filter("__marked", lambda m: m["hit"])).cast("long").alias("n_masked"))

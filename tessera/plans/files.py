@@ -53,15 +53,15 @@ SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY s, turn)) AS
 
 
 def knowledge_lookup(spark, sf_dir):
-    """Documents as knowledge (domain by source, language as it is): the best one for every tenth name in German, else in the default language."""
+    """Documents as knowledge (domain by source, language as it is): the best one for every name in German, else in the default language."""
     docs = table(spark, sf_dir, "documents").select(F.lit("skill").alias("kind"), F.concat(F.lit("n"), (F.col("doc_id") % 50).cast("string")).alias("name"), F.when(F.col("source") == "src1", "base").otherwise(F.col("source")).alias("domain"), "lang", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("text").alias("content"))
-    wanted = docs.where("cast(path as long) % 10 = 0").select("kind", F.lit("src2").alias("domain"), F.lit("de").alias("lang"), "name").distinct()
+    wanted = docs.select("kind", F.lit("src2").alias("domain"), F.lit("de").alias("lang"), "name").distinct()
     return assembly.knowledge(docs, wanted).select("name", "path")
 
 
 _KNOWLEDGE = """
 WITH f AS (SELECT 'n' || doc_id % 50 AS name, CASE source WHEN 'src2' THEN 0 WHEN 'src1' THEN 2 ELSE 4 END + CASE WHEN lang = 'de' THEN 0 ELSE 1 END AS r, lpad(doc_id::VARCHAR, 9, '0') AS path, doc_id FROM documents WHERE trim(text) <> '')
-SELECT name, path FROM f WHERE name IN (SELECT name FROM f WHERE doc_id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY name ORDER BY r, path) = 1
+SELECT name, path FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY r, path) = 1
 """
 
 QUERIES = {

@@ -129,17 +129,16 @@ _ASCII_TOKENS = "list_filter(string_split_regex(text, '[\\s\\x0B]+'), lambda x:
 
 
 def pii_token_stats(spark, sf_dir):
-    """Tokens of documents with digits or @: how many are scanned and masked."""
+    """Tokens of the documents of a source: how many are scanned and masked. Equal tokens of a source are scored once."""
     docs = table(spark, sf_dir, "documents").select("source", "text")
-    tokens = pii.tokens(docs).groupBy("source", "token").agg(F.count("*").alias("n"))
-    judged = pii.decide(tokens.select("token").distinct()).select("token", "masked")
-    both = tokens.join(judged, "token")
-    return both.groupBy("source").agg(F.sum("n").alias("n_scanned"), F.coalesce(F.sum(F.when(F.col("masked"), F.col("n"))), F.lit(0)).alias("n_masked"))
+    tokens = pii.tokens(docs).groupBy("source", "token").agg(F.count("token").alias("n"), F.sum("n_tokens").alias("all"))
+    judged = pii.decide(tokens)
+    return judged.groupBy("source").agg(F.sum("all").alias("n_scanned"), F.coalesce(F.sum(F.when(F.col("masked"), F.col("n"))), F.lit(0)).alias("n_masked"))
 
 
 def pii_top_tags(spark, sf_dir):
     """The pseudonyms of all masked tokens and how often each stands in the documents."""
-    tokens = pii.tokens(table(spark, sf_dir, "documents").select("text")).groupBy("token").agg(F.count("*").alias("n"))
+    tokens = pii.tokens(table(spark, sf_dir, "documents").select("text")).where("token is not null").groupBy("token").agg(F.count("*").alias("n"))
     judged = pii.decide(tokens).where("masked")
     return judged.groupBy(F.regexp_extract("replacement", "(\\[PII_[0-9a-f]{8}\\])", 1).alias("tag")).agg(F.sum("n").alias("n"))
 

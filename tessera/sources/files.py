@@ -9,7 +9,7 @@ from tessera.functions.text import trimmed
 from tessera.operators.focus import included
 
 # Extensions that text may be written to.
-TEXT_EXTENSIONS = ("txt", "md", "markdown", "rst", "json", "yaml", "yml", "toml", "xml", "html", "css", "csv", "tsv", "sql", "go", "py", "js", "ts", "java", "kt", "rs", "c", "h", "cpp", "cs", "rb", "php", "sh", "svg")
+TEXT_EXTENSIONS = ("txt", "md", "json", "yml", "yaml", "xml", "csv", "toml", "ini", "env", "log", "js", "ts", "py", "go", "cs", "java", "php", "rb", "rs", "c", "cpp", "h", "kt", "swift", "sh", "html", "css", "sql")
 
 TASK = "struct<prompt:string,agents:array<string>,skills:array<string>,variables:map<string,string>,focus:array<string>>"
 BUDGET = "struct<max_tokens:int,max_tokens_per_run:int,max_monthly_usd:double,on_exceed:string,cache_hint:boolean,circuit_breaker:boolean,token_estimation:boolean,detailed_reports:boolean,context_cache:boolean>"

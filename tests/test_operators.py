@@ -187,3 +187,31 @@ def test_labels_and_names(spark):
     turns = spark.createDataFrame([(1, 0, "user", "ask\nmore"), (1, 1, "assistant", "# H\n\n|t|\none\ntwo\n---\nthree\nfour"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
     assert {r["conv_id"]: r["summary"] for r in search.fallback_summary(turns).collect()} == {1: "ask\none\ntwo\nthree", 2: ""}
     assert [r["name"] for r in search.like_top(names.withColumn("t", F.lit("x")), "GPT", "name", "t", 1).collect()] == ["gpt-5"]
+
+
+def test_prose_is_told_by_kind_and_for_files_by_extension(spark):
+    from tessera.operators import focus
+
+    rows = [("doc-section", "a.go", True), ("legal-article", "a", True), ("chronological", "a", True), ("bounded-excerpt", "x.py", True), ("file", "a/b.MD", True), ("file", "a.rst", True), ("file", "a.go", False), ("code", "a.md", False), ("json", "a.txt", False)]
+    df = spark.createDataFrame(rows, "kind string, path string, want boolean")
+    assert df.where(focus.is_prose(F.col("kind"), F.col("path")) != F.col("want")).count() == 0
+
+
+def test_text_is_written_to_known_extensions_alone(spark):
+    from tessera.sources import files
+
+    rows = [("a.txt", True), ("b/c.INI", True), (".env", True), ("x.log", True), ("m.swift", True), ("a.svg", False), ("a.tsv", False), ("a.docx", False), ("a", False)]
+    df = spark.createDataFrame(rows, "path string, want boolean")
+    assert df.where(files.writable(F.col("path")) != F.col("want")).count() == 0
+
+
+def test_texts_are_masked_in_their_rows(spark):
+    from tessera.operators import pii
+
+    rows = [(1, "mail ana.perez99@mail.example now,\n  id 12.345.678-9!  "), (1, "plain words ONLY HERE"), (2, None), (3, ""), (4, " [PII_0a1b2c3d] ")]
+    out = sorted((r["k"], r["text"] or "", r["n_scanned"], r["n_masked"], r["text"] is None) for r in pii.mask_texts(spark.createDataFrame(rows, "k int, text string"), "k").collect())
+    by = {(k, n): (t, m) for k, t, n, m, _ in out}
+    masked, n = by[1, 5]
+    assert n == 2 and masked.startswith("mail [PII_") and masked.endswith("]!  ") and ",\n  id [PII_" not in masked.split("[PII_")[0] and "ana" not in masked and "345" not in masked
+    assert by[1, 4] == ("plain words ONLY HERE", 0) and by[4, 1] == (" [PII_0a1b2c3d] ", 0)
+    assert [x for x in out if x[0] == 2] == [(2, "", 0, 0, True)] and [x for x in out if x[0] == 3] == [(3, "", 0, 0, False)]
