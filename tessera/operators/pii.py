@@ -133,12 +133,13 @@ def tokens(df: DataFrame, text: str = "text", policy: Policy | None = None) -> D
     return out.select(*rest, F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__n")).otherwise(F.lit(0)).alias("n_tokens"), "token")
 
 
-def mask_texts(df: DataFrame, key: str, text: str = "text", policy: Policy | None = None) -> DataFrame:
-    """key, text with its PII-shaped tokens replaced (white space as it was), n_scanned, n_masked.
+def mask_texts(df: DataFrame, key: str | list[str], text: str = "text", policy: Policy | None = None) -> DataFrame:
+    """key (one or several columns), text with its PII-shaped tokens replaced (white space as it was), n_scanned, n_masked.
 
     Nothing is shuffled and keys may repeat. Null text stays null, with no tokens.
     """
     p = policy or Policy()
+    keys = [key] if isinstance(key, str) else key
 
     def marked(piece: Column) -> Column:
         token = F.regexp_replace(piece, f"^{SPACE}+", "")
@@ -149,6 +150,6 @@ def mask_texts(df: DataFrame, key: str, text: str = "text", policy: Policy | Non
 
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{SPACE}*{NOT_SPACE}+"), 0)
     tail = F.regexp_extract(text, f"{SPACE}*$", 0)
-    rows = df.select(key, F.inline(F.array(F.struct(F.transform(pieces, marked).alias("__marked"), tail.alias("__tail")))))
+    rows = df.select(*keys, F.inline(F.array(F.struct(F.transform(pieces, marked).alias("__marked"), tail.alias("__tail")))))
     joined = F.when(F.col("__tail").isNotNull(), F.concat(F.array_join(F.transform("__marked", lambda m: m["text"]), ""), "__tail"))
-    return rows.select(key, joined.alias(text), F.size("__marked").cast("long").alias("n_scanned"), F.size(F.filter("__marked", lambda m: m["hit"])).cast("long").alias("n_masked"))
+    return rows.select(*keys, joined.alias(text), F.size("__marked").cast("long").alias("n_scanned"), F.size(F.filter("__marked", lambda m: m["hit"])).cast("long").alias("n_masked"))
