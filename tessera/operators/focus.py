@@ -7,10 +7,12 @@ source, kind, content); the first resolver with any row for a target wins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE, folded, target_matches, trimmed
+from tessera.functions.text import SPACE, folded, like, target_matches, trimmed
 
 # Directories that are never searched, prose kinds and extensions, and the patterns of headings, dates and tables.
 EXCLUDED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "__pycache__", ".venv", "venv", ".idea", ".vscode")
@@ -19,6 +21,7 @@ PROSE_EXTENSIONS = ("md", "markdown", "txt", "rst")
 MARKDOWN_HEADING = "(?i)^\\s*#{1,6}\\s+.*$"
 LEGAL_HEADING = "(?iu)^\\s*(t[íi]tulo|cap[íi]tulo|secci[óo]n|art[íi]culo|inciso)\\s+\\S.*$"
 DATED_LINE = "^\\s*\\**\\[?(\\d{4}-\\d{2}-\\d{2}|\\d{2}/\\d{2}/\\d{4})\\]?\\**"
+KEYWORD = "func|def|class|interface|type|public|private|protected|static|export|async"
 WINDOW_BEFORE, WINDOW_AFTER = 10, 10
 
 
@@ -35,9 +38,13 @@ def scan_stats(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(first.alias("excluded_dir"), path).groupBy("excluded_dir").agg(F.count_distinct(path).alias("files"))
 
 
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1))
+
+
 def is_prose(kind: Column, path: Column) -> Column:
     """Sections and excerpts are prose, and files by their extension, whatever its case; the extension says nothing of other kinds."""
-    return kind.isin(*PROSE_KINDS) | ((kind == "file") & F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1)).isin(*PROSE_EXTENSIONS))
+    return kind.isin(*PROSE_KINDS) | ((kind == "file") & extension(path).isin(*PROSE_EXTENSIONS))
 
 
 def sections(files: DataFrame, heading: str, key: str = "path", text: str = "content") -> DataFrame:
@@ -79,20 +86,42 @@ def table_definitions(files: DataFrame, targets: DataFrame, key: str = "path", t
     return hit.groupBy("target").agg(F.min_by(F.struct(F.col(key).alias("source"), "content"), key).alias("f")).select("target", "f.source", F.lit("sql").alias("kind"), "f.content")
 
 
+def stripped(target: Column) -> Column:
+    """A target without the sign of exactness and the brackets of a call."""
+    return F.regexp_replace(F.regexp_replace(target, "^=", ""), "\\(\\)$", "")
+
+
+def first_hits(files: DataFrame, targets: DataFrame, may: Callable[[Column, Column], Column], passes: list[Callable[[Column, Column], Column]], key: str, text: str) -> DataFrame:
+    """target, source, at, __lines: the first line that a pass accepts, in the first file (by key) that has one; a later pass counts only where no file has a hit of an earlier one.
+
+    may (content, target) is a cheap test that all passes imply. Lines are
+    searched inside the file's row; only a file's own best hit leaves it.
+    """
+    wanted = F.broadcast(targets.select("target").distinct())
+    met = files.select(F.col(key).alias("source"), F.col(text).alias("__text")).join(wanted, may(F.col("__text"), F.col("target")))
+    met = met.withColumn("__lines", F.split("__text", "\n", -1))
+    places = [F.nullif(F.array_position(F.transform("__lines", lambda s: p(s, F.col("target"))), True), F.lit(0)) for p in passes]
+    found = met.select("target", "source", "__lines", F.inline(F.array(F.struct(F.array(*places).alias("__places")))))
+    rank = F.coalesce(*[F.when(F.get("__places", F.lit(i)).isNotNull(), i) for i in range(len(passes))])
+    found = found.withColumn("__rank", rank).where("__rank is not null").withColumn("at", (F.get("__places", F.col("__rank")) - 1).cast("int"))
+    best = found.groupBy("target").agg(F.min_by(F.struct("source", "at", "__lines"), F.struct("__rank", "source")).alias("f"))
+    return best.select("target", "f.*")
+
+
 def code_blocks_of(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """Declarations of symbols: from the line that declares a target, to the end of its braces or of its indentation; first file in path order.
 
-    Lines are cut after the declaration. A block with an opening brace in its
-    first lines ends where the running depth is back at zero; any other takes
-    the deeper or blank lines that follow.
+    A declaration has the name, whatever its case, before one of `( < : {`, with
+    nothing but a keyword, names and types before it. Targets that no file
+    declares, and that are not exact (=), take the first line with a keyword at
+    its start that holds them. A block whose first line opens a brace ends where
+    the running depth is back at zero; any other takes the deeper or blank lines
+    that follow.
     """
-    keyword = "(?:func|function|def|class|type|struct|interface|const|let|var|public|private|static|async|export|fn|impl)"
-    held = files.select(key, F.split(text, "\n", -1).alias("__lines"))
-    lines = held.select(key, "__lines", F.posexplode("__lines").alias("at", "line")).where(F.col("line").rlike(f"\\b{keyword}\\b"))
-    words = lines.withColumn("symbol", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1))))
-    hit = words.join(F.broadcast(targets.select("target").distinct()), F.col("symbol") == F.col("target"))
-    first = hit.groupBy("target").agg(F.min(F.struct(key, "at")).alias("f"), F.min_by("__lines", F.struct(key, "at")).alias("__lines"))
-    first = first.select("target", F.col(f"f.{key}").alias("source"), F.col("f.at").alias("at"), "__lines")
+    name = lambda t: F.concat(F.lit("\\Q"), F.replace(stripped(t), F.lit("\\E"), F.lit("")), F.lit("\\E"))
+    declares = lambda s, t: F.rlike(s, F.concat(F.lit(f"(?i)^\\s*(?:{KEYWORD})?[\\s\\w<>\\[\\],.*]*\\b"), name(t), F.lit("\\b\\s*[(<:{]")))
+    holds = lambda s, t: s.rlike(f"(?i)^\\s*(?:{KEYWORD})\\b") & like(s, stripped(t)) & ~t.startswith("=") & (trimmed(stripped(t)) != "")
+    first = first_hits(files, targets, lambda c, t: like(c, stripped(t)), [declares, holds], key, text)
     rest = first.withColumn("__rest", F.slice("__lines", F.col("at") + 1, F.size("__lines")))
     depth = lambda s: F.regexp_count(s, F.lit("\\{")) - F.regexp_count(s, F.lit("\\}"))
     step = lambda a, s: F.struct((a["d"] + depth(s)).alias("d"), (a["open"] | F.contains(s, F.lit("{"))).alias("open"), (a["n"] + F.when(a["end"], 0).otherwise(1)).alias("n"), (a["end"] | ((a["open"] | F.contains(s, F.lit("{"))) & (a["d"] + depth(s) <= 0))).alias("end"))
@@ -102,21 +131,25 @@ def code_blocks_of(files: DataFrame, targets: DataFrame, key: str = "path", text
     base = indent(F.get(F.col("__rest"), F.lit(0)))
     stop = F.get(F.filter(F.sequence(F.lit(1), F.size("__rest")), lambda i: F.coalesce((trimmed(F.get(F.col("__rest"), i)) != "") & (indent(F.get(F.col("__rest"), i)) <= base), F.lit(True))), F.lit(0))
     head = F.get(F.col("__rest"), F.lit(0))
-    n = F.when(head.rlike("\\{\\s*$") | F.get(F.col("__rest"), F.lit(1)).rlike("^\\s*\\{"), F.coalesce("__brace", F.size("__rest"))).otherwise(stop)
-    return rest.select("target", "source", F.lit("code").alias("kind"), F.array_join(F.slice("__rest", F.lit(1), n), "\n").alias("content"))
+    opens = F.contains(head, F.lit("{")) | F.get(F.col("__rest"), F.lit(1)).rlike("^\\s*\\{")
+    n = F.when(opens, F.coalesce("__brace", F.size("__rest"))).otherwise(stop)
+    return rest.select("target", "source", F.lit("code-symbol").alias("kind"), F.array_join(F.slice("__rest", F.lit(1), n), "\n").alias("content"))
 
 
 def excerpts(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """The lines around the first that matches a target (ten before, nine after), of the first file that has one."""
-    held = files.select(key, F.split(text, "\n", -1).alias("__lines"))
-    wanted = F.broadcast(targets.select("target").distinct())
-    lines = held.select(key, "__lines", F.posexplode("__lines").alias("at", "line"))
-    hit = lines.join(wanted, target_matches(F.col("line"), F.col("target")))
-    first = hit.groupBy("target").agg(F.min_by(F.struct(F.col(key).alias("source"), "at", "__lines"), F.struct(key, "at")).alias("f")).select("target", "f.*")
+    """The lines around the first that matches a target (ten before, nine after), of the first file that has one; for targets that no line matches and that are not exact, around the first line that holds all their words."""
+    words = lambda s, t: word_match(s, t) & ~t.startswith("=")
+    first = first_hits(files, targets, lambda c, t: target_matches(c, t) | words(c, t), [target_matches, words], key, text)
     start = F.greatest(F.col("at") - WINDOW_BEFORE, F.lit(0))
     return first.select("target", "source", F.lit("bounded-excerpt").alias("kind"), F.array_join(F.slice("__lines", start + 1, F.col("at") + WINDOW_AFTER - start), "\n").alias("content"))
 
 
+def word_match(line: Column, target: Column) -> Column:
+    """All of the target's words stand in line, in any order; a target without words matches nothing."""
+    words = F.filter(F.split(folded(target), SPACE + "+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.contains(folded(line), w))
+
+
 def json_node(document: Column, path: str) -> Column:
     """The node at a dotted path of object keys, as JSON text; arrays have no keys."""
     return F.get_json_object(document, "$." + path)
@@ -133,6 +166,40 @@ def by_path(files: DataFrame, targets: DataFrame, key: str = "path", text: str =
     return best.select("target", "f.source", F.lit("file").alias("kind"), "f.content", "n_matches")
 
 
+def json_targets(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """Targets `file#a.b`: the node at the object keys a, b of the file, found as by by_path(). Strings as they are, other nodes as JSON; arrays have no keys. A file that is no JSON has no nodes."""
+    asked = targets.select("target").distinct().where("contains(target, '#')").select("target", F.substring_index("target", "#", 1).alias("__file"), F.regexp_replace("target", "^[^#]*#", "").alias("__path"))
+    held = by_path(files, asked.select(F.col("__file").alias("target")), key, text).select(F.col("target").alias("__file"), "source", "content")
+    quoted = lambda k: F.concat(F.lit("$['"), k, F.lit("']"))
+    node = F.aggregate(F.split("__path", "\\.", -1), F.col("content"), lambda a, k: F.call_function("get_json_object", a, quoted(k)))
+    found = held.join(F.broadcast(asked), "__file").withColumn("__node", node).where("__node is not null")
+    return found.select("target", F.concat("source", F.lit("#"), "__path").alias("source"), F.lit("json-node").alias("kind"), F.col("__node").alias("content"))
+
+
+def glob_pattern(target: Column) -> Column:
+    """Regex of a glob: *, ? and [..]; of `**/x`, only x counts."""
+    name = F.regexp_replace(target, "^.*\\*\\*/", "")
+    escaped = F.regexp_replace(name, "([\\\\.^$|()+{}])", "\\\\$1")
+    return F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
+
+
+def by_glob(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """All files that a target with * or ? matches: by their whole path if it has a directory (not **), else by their names."""
+    wanted = targets.select("target").distinct().where("target rlike '[*?]'").withColumn("__glob", glob_pattern(F.col("target"))).withColumn("__whole", F.contains(F.regexp_replace("target", "\\*\\*/", ""), F.lit("/")))
+    name = F.when(F.col("__whole"), F.col(key)).otherwise(F.regexp_extract(key, "[^/]*$", 0))
+    return files.select(key, text).join(F.broadcast(wanted), F.rlike(name, F.col("__glob"))).select("target", F.col(key).alias("source"), F.lit("file").alias("kind"), F.col(text).alias("content"))
+
+
+def directories(files: DataFrame, targets: DataFrame, key: str = "path") -> DataFrame:
+    """Listings of directories by their path, with or without a slash at the end, or for bare names the first of that name in path order."""
+    wanted = targets.select("target").distinct().withColumn("__dir", F.regexp_replace("target", "/+$", ""))
+    index = directory_index(files, key).withColumn("__name", F.regexp_extract("dir", "[^/]*$", 0))
+    exact = index.join(F.broadcast(wanted), F.col("dir") == F.col("__dir")).withColumn("rank", F.lit(0))
+    bare = index.join(F.broadcast(wanted.where("not contains(__dir, '/')")), F.col("__name") == F.col("__dir")).withColumn("rank", F.lit(1))
+    best = exact.unionByName(bare).groupBy("target").agg(F.min_by(F.struct(F.col("dir").alias("source"), F.col("listing").alias("content")), F.struct("rank", "dir")).alias("f"))
+    return best.select("target", "f.source", F.lit("dir-index").alias("kind"), "f.content")
+
+
 def directory_index(files: DataFrame, key: str = "path") -> DataFrame:
     """dir, listing: `dir(n): a, b/, c`, one level, sorted."""
     parts = files.select(F.split(key, "/").alias("p"))
@@ -152,11 +219,27 @@ def cascade(resolved: list[DataFrame]) -> DataFrame:
     return rows.join(best, ["target", "prio"])
 
 
+def resolved(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """target, source, kind, content, prio of every target by the first of all resolvers that finds it: files, directories, JSON nodes, tables, code, sections, legal sections, dated entries, globs, excerpts."""
+    dated = dated_entries(files, targets, key, text)
+    return cascade([
+        by_path(files, targets, key, text), directories(files, targets, key), json_targets(files, targets, key, text),
+        table_definitions(files, targets, key, text), code_blocks_of(files, targets, key, text),
+        matching_sections(files.where(extension(F.col(key)).isin(*PROSE_EXTENSIONS)), targets, MARKDOWN_HEADING, "doc-section", key, text),
+        matching_sections(files, targets, LEGAL_HEADING, "legal-article", key, text), dated, by_glob(files, targets, key, text), excerpts(files, targets, key, text),
+    ])
+
+
+def rendered_by_kind(targets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """target, text, n_sources: the FOCUS header, and each block as its kind has it: files bare, listings indented, others below their source; blank lines between. n_sources: different sources."""
+    body = F.when(F.col("kind") == "file", F.col("content")).when(F.col("kind") == "dir-index", F.concat(F.lit("  "), "content")).otherwise(F.concat(F.lit("  ("), "source", F.lit(")\n"), "content"))
+    per = blocks.groupBy("target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", body.alias("body")))), lambda b: b["body"]), "\n\n").alias("body"), F.count_distinct("source").alias("n_sources"))
+    out = targets.select("target").distinct().join(per, "target", "left")
+    return out.select("target", F.concat(F.lit("FOCUS:"), "target", F.lit("\n"), F.coalesce("body", F.concat(F.lit("  not found: "), "target")), F.lit("\n")).alias("text"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+
+
 def rendered(targets: DataFrame, blocks: DataFrame) -> DataFrame:
     """target, text: a FOCUS header and the blocks in order of source, or a note that nothing was found."""
     body = blocks.groupBy("target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source", "content"))), lambda b: F.concat(F.lit("FILE:"), b["source"], F.lit("\n"), b["content"])), "\n").alias("body"))
     return targets.select("target").distinct().join(body, "target", "left").select("target", F.concat(F.lit("FOCUS:"), "target", F.lit("\n"), F.coalesce("body", F.concat(F.lit("  not found: "), "target"))).alias("text"))
 
-
-def word_match(line: Column, target: Column) -> Column:
-    return F.forall(F.filter(F.split(folded(target), SPACE + "+"), lambda w: w != ""), lambda w: F.contains(folded(line), w))

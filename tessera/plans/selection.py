@@ -12,7 +12,7 @@ _FOLD = "translate(lower({c}), 'áàäâéèëêíìïîóòöôúùüûñç', '
 
 
 def like_search(spark, sf_dir):
-    """Documents that hold `relation` or `eté`, blind to case and accents, and how they match as they stand."""
+    """Documents that hold `vieux` or `été`, blind to case and accents, and how they match as they stand."""
     docs = table(spark, sf_dir, "documents")
     return docs.where(tx.like(F.col("text"), F.lit("Vieux")) | tx.like(F.col("text"), F.lit("été"))).select("doc_id", tx.like(F.col("text"), F.lit("Vieux")).alias("first"), tx.target_matches(F.col("text"), F.lit("=été")).alias("exact"))
 
@@ -51,7 +51,7 @@ SELECT doc_id, round(0 + c / (c + 5) * 0.4::DOUBLE, 9) AS score, substr(text, gr
 
 
 def text_matches(spark, sf_dir):
-    """Every hit of `ana` in the lines of the benchmark items, overlapping ones too."""
+    """Every hit of `ana` in the lines of the documents, overlapping ones too."""
     return search.matches_in_text(table(spark, sf_dir, "documents"), "ana", "doc_id").select("doc_id", "row", F.col("col").cast("long").alias("col"))
 
 
@@ -163,6 +163,57 @@ FROM (VALUES ('src1/000000001.md'), ('000000007.md'), ('worthless'), ('no such t
 """
 
 
+def code_symbols(spark, sf_dir):
+    """Documents as files with a function each: two named exactly, one in another case, one by a part of its name, one not at all."""
+    docs = table(spark, sf_dir, "documents")
+    code = F.concat(F.lit("\nimport fn_"), "doc_id", F.lit(" as it\n  def fn_"), "doc_id", F.lit("(x):\n    one "), "doc_id", F.lit("\n\n    two\n  end\ntype T"), "doc_id", F.lit(" struct {\n  a { b }\n}\nrest"))
+    files = docs.select(F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".py")).alias("path"), F.concat("text", code).alias("content"))
+    targets = spark.createDataFrame([("fn_7",), ("FN_12()",), ("t3",), ("n_1",), ("=n_2",)], "target string")
+    return focus.code_blocks_of(files, targets).drop("kind")
+
+
+_SYMBOLS = """
+WITH f AS (SELECT doc_id, lpad(doc_id::VARCHAR, 9, '0') || '.py' AS source, '  def fn_' || doc_id || '(x):' || chr(10) || '    one ' || doc_id || chr(10) || chr(10) || '    two' AS def, 'type T' || doc_id || ' struct {' || chr(10) || '  a { b }' || chr(10) || '}' AS typ FROM documents)
+SELECT 'fn_7' AS target, source, def AS content FROM f WHERE doc_id = 7 UNION ALL SELECT 'FN_12()', source, def FROM f WHERE doc_id = 12 UNION ALL SELECT 't3', source, typ FROM f WHERE doc_id = 3
+UNION ALL (SELECT 'n_1', source, def FROM f WHERE starts_with(doc_id::VARCHAR, '1') ORDER BY source LIMIT 1)
+"""
+
+
+def focus_resolvers(spark, sf_dir):
+    """Documents and events as files; targets through all resolvers: a JSON node, a directory, a glob, and one that is not there."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("ev/"), "event_id", F.lit(".json")).alias("path"), F.col("props").alias("content"))
+    targets = spark.createDataFrame([("ev/5.json#k",), ("src1/",), ("00000001?.md",), ("no such thing 42",)], "target string")
+    found = focus.resolved(docs.union(events), targets)
+    return focus.rendered_by_kind(targets, found).select("target", F.sha2("text", 256).alias("text_sha256"), "n_sources")
+
+
+_RESOLVERS = """
+WITH d AS (SELECT doc_id, source, lpad(doc_id::VARCHAR, 9, '0') || '.md' AS name, text FROM documents
+), b AS (SELECT 'ev/5.json#k' AS target, '  (ev/5.json#k)' || chr(10) || json_extract_string(props, '$.k') AS body, 1 AS n FROM events WHERE event_id = 5
+  UNION ALL SELECT 'src1/', '  src1(' || count(*) || '): ' || string_agg(name, ', ' ORDER BY name), 1 FROM d WHERE source = 'src1' HAVING count(*) > 0
+  UNION ALL SELECT '00000001?.md', string_agg(text, chr(10) || chr(10) ORDER BY source || '/' || name), count(*) FROM d WHERE doc_id BETWEEN 10 AND 19 HAVING count(*) > 0)
+SELECT t.target, sha256('FOCUS:' || t.target || chr(10) || coalesce(body, '  not found: ' || t.target) || chr(10)) AS text_sha256, coalesce(n, 0)::BIGINT AS n_sources
+FROM (VALUES ('ev/5.json#k'), ('src1/'), ('00000001?.md'), ('no such thing 42')) t(target) LEFT JOIN b ON b.target = t.target
+"""
+
+
+def legal_sections(spark, sf_dir):
+    """Legal sections: every fourth line of a document is an article's heading, which names its line."""
+    mark = lambda s, i: F.when(i % 4 == 1, F.concat(F.lit("Artículo "), i.cast("string"), F.lit(". "), s)).otherwise(s)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("content"))
+    targets = spark.createDataFrame([("articulo 5.",), ("=Artículo 9.",)], "target string")
+    out = focus.matching_sections(files, targets, focus.LEGAL_HEADING, "legal-article")
+    return out.select("target", F.col("source").alias("doc_id"), F.sha2("content", 256).alias("content_sha256"))
+
+
+_LEGAL = """
+WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), s AS (SELECT doc_id, unnest([5, 9]) AS i, ls FROM f)
+SELECT CASE i WHEN 5 THEN 'articulo 5.' ELSE '=Artículo 9.' END AS target, doc_id, sha256('Artículo ' || i || '. ' || array_to_string(ls[i + 1:i + 4], chr(10))) AS content_sha256 FROM s WHERE len(ls) > i
+"""
+
+
 def directory_index(spark, sf_dir):
     """The pages' addresses as a tree: what each folder holds."""
     pages = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
@@ -192,6 +243,9 @@ QUERIES = {
     "section_extract": (section_extract, _SECTION),
     "dated_entries": (dated_entries, _DATED),
     "focus_cascade": (focus_cascade, _CASCADE),
+    "code_symbols": (code_symbols, _SYMBOLS),
+    "focus_resolvers": (focus_resolvers, _RESOLVERS),
+    "legal_sections": (legal_sections, _LEGAL),
     "directory_index": (directory_index, _INDEX),
     "json_node": (json_node, "SELECT event_id, json_extract_string(props, '$.k') AS node FROM events"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import trimmed
-from tessera.operators.focus import included
+from tessera.operators.focus import extension, included
 
 # Extensions that text may be written to.
 TEXT_EXTENSIONS = ("txt", "md", "json", "yml", "yaml", "xml", "csv", "toml", "ini", "env", "log", "js", "ts", "py", "go", "cs", "java", "php", "rb", "rs", "c", "cpp", "h", "kt", "swift", "sh", "html", "css", "sql")
@@ -40,10 +40,6 @@ def enabled(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(True))
 
 
-def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1))
-
-
 def writable(path: Column) -> Column:
     return extension(path).isin(*TEXT_EXTENSIONS)
 

@@ -2,7 +2,7 @@ import random
 from functools import cache
 
 from pyspark.sql import functions as F
-from tessera.operators import budget, diff, gate, intents
+from tessera.operators import budget, diff, focus, gate, intents
 
 
 def one(spark, expr, *values):
@@ -121,3 +121,25 @@ def test_paths_and_labels(spark):
     assert one(spark, intents.allowed_tools(F.array().cast("array<string>"), built)) == ["read", "write"]
     line = one(spark, intents.markdown_line(F.lit("## a **b** c")))
     assert line["level"] == 2 and [tuple(r) for r in line["runs"]] == [("a ", False), ("b", True), (" c", False)]
+
+
+def test_all_resolvers(spark):
+    repo = spark.createDataFrame([
+        ("a/x.go", "package x\n// the return of type Total is odd\n"), ("b/y.go", "func (r *R) Total() int {\n\treturn 1\n}\n"), ("c/z.py", "def areas(r):\n    return r\nend"),
+        ("conf.json", '{"a": {"b.c": 1, "d": [7, {"e": 2}]}, "s": "x"}'), ("db/t.sql", "create table users (\n id int\n);"),
+        ("doc/m.md", "# Intro\none\ntwo blue words here"), ("law.txt", "Artículo 3 Bis\ntext"), ("log.md", "2024-01-02 alpha\nmore"), ("bad.json", "{"),
+    ], "path string, content string")
+    want = {
+        "m.md": "file", "db/": "dir-index", "conf.json#a.d": "json-node", "users": "sql", "Total": "code-symbol", "rea": "code-symbol", "intro": "doc-section",
+        "articulo 3": "legal-article", "alpha": "chronological", "*.sql": "file", "words two": "bounded-excerpt",
+    }
+    missing = ["=REA", "conf.json#a.d.0", "conf.json#a.b", "bad.json#a", "=words two"]
+    targets = spark.createDataFrame([(t,) for t in (*want, *missing)], "target string")
+    found = focus.resolved(repo, targets)
+    rows = {r["target"]: r for r in found.collect()}
+    assert {t: r["kind"] for t, r in rows.items()} == want
+    assert rows["Total"]["source"] == "b/y.go" and rows["rea"]["content"] == "def areas(r):\n    return r"
+    assert rows["conf.json#a.d"]["content"] == '[7,{"e":2}]'
+    text = {r["target"]: (r["text"], r["n_sources"]) for r in focus.rendered_by_kind(targets, found).collect()}
+    assert text["m.md"] == ("FOCUS:m.md\n# Intro\none\ntwo blue words here\n", 1) and text["db/"][0] == "FOCUS:db/\n  db(1): t.sql\n"
+    assert text["=REA"] == ("FOCUS:=REA\n  not found: =REA\n", 0)
