@@ -62,6 +62,13 @@ def archive_split(log: DataFrame, now: Column, days: int, date: str = "entry_dat
     return log.withColumn("archived", old).withColumn("archive_month", F.when(old, F.date_format(date, "yyyy-MM")))
 
 
+def read_all(log: DataFrame, key: str) -> DataFrame:
+    """key, text: the entries of archive_split() as one text: active ones first, then the archives, newest month first; within each in their order."""
+    month = F.coalesce(F.replace("archive_month", F.lit("-"), F.lit("")).try_cast("int"), F.lit(0))
+    row = F.struct("archived", (-month).alias("month"), "entry_ord", "entry")
+    return log.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda e: e["entry"]), ENTRY_BREAK).alias("text"))
+
+
 def deleted(date: Column, archived: Column, all_: bool = False, on: str | None = None, since: str | None = None, until: str | None = None, archived_only: bool = False, keep_active: bool = False) -> Column:
     """Whether a memory entry falls under a delete request; undated entries only under `all`."""
     hit = F.lit(all_)

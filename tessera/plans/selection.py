@@ -74,11 +74,15 @@ def memory_log(spark, sf_dir):
 _DAYS = "SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2"
 
 
-def memory_archive(spark, sf_dir):
-    """Entries of the logs older than ten days before the last event's day go to archives by month."""
+def archived_logs(spark, sf_dir):
+    """Entries of the logs, those older than ten days before the last event's day marked for archives by month."""
     entries = search.entries(memory_log(spark, sf_dir), "event_type")
-    last = table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("d")).first()["d"]
-    return search.archive_split(entries, F.lit(last), 10).select("event_type", F.col("entry_ord").cast("long").alias("entry_ord"), "entry", "archived", "archive_month")
+    last = table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("last_day"))
+    return search.archive_split(entries.join(F.broadcast(last), how="cross"), F.col("last_day"), 10)
+
+
+def memory_archive(spark, sf_dir):
+    return archived_logs(spark, sf_dir).select("event_type", F.col("entry_ord").cast("long").alias("entry_ord"), "entry", "archived", "archive_month")
 
 
 _ARCHIVE = f"""
@@ -88,6 +92,32 @@ UNION ALL SELECT DISTINCT event_type, 0, 'an undated note', false, NULL FROM eve
 """
 
 
+def memory_read_all(spark, sf_dir):
+    """The logs as they are read with their archives."""
+    return search.read_all(archived_logs(spark, sf_dir), "event_type").select("event_type", F.sha2("text", 256).alias("text_sha256"))
+
+
+_READ_ALL = f"WITH a AS ({_ARCHIVE}) SELECT event_type, sha256(string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY archived, archive_month DESC NULLS LAST, entry_ord)) AS text_sha256 FROM a GROUP BY 1"
+
+
+def like_top(spark, sf_dir):
+    """The first twenty documents, by name, that hold `the` in name or text."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"), "text")
+    return search.like_top(docs, "The", "name", "text").select("name", "score")
+
+
+_LIKE_TOP = "SELECT source || '/' || lpad(doc_id::VARCHAR, 9, '0') AS name, 0.5::DOUBLE AS score FROM documents WHERE contains(lower(text), 'the') OR contains(lower(source), 'the') ORDER BY 1 LIMIT 20"
+
+
+def excluded_scan(spark, sf_dir):
+    """Documents in folders by id, some of which a scan leaves out: files per excluded folder."""
+    folder = F.get(F.array(*[F.lit(d) for d in ("src", "vendor", "lib/build", "docs", ".git/dist")]), (F.col("doc_id") % 5).cast("int"))
+    return focus.scan_stats(table(spark, sf_dir, "documents").select(F.concat(folder, F.lit("/"), "source", F.lit("/"), "doc_id").alias("path")))
+
+
+_EXCLUDED = "SELECT [NULL, 'vendor', 'build', NULL, '.git'][(doc_id % 5 + 1)::INT] AS excluded_dir, count(*)::BIGINT AS files FROM documents GROUP BY 1"
+
+
 def memory_delete_range(spark, sf_dir):
     """What a request deletes from the logs: a range of days of each, told by counts."""
     entries = search.entries(memory_log(spark, sf_dir), "event_type")
@@ -239,6 +269,9 @@ QUERIES = {
     "keyword_search": (keyword_search, _SEARCH),
     "text_matches": (text_matches, _MATCHES),
     "memory_archive": (memory_archive, _ARCHIVE),
+    "memory_read_all": (memory_read_all, _READ_ALL),
+    "like_top": (like_top, _LIKE_TOP),
+    "excluded_scan": (excluded_scan, _EXCLUDED),
     "memory_delete_range": (memory_delete_range, _DELETE),
     "section_extract": (section_extract, _SECTION),
     "dated_entries": (dated_entries, _DATED),
