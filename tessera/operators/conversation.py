@@ -123,6 +123,29 @@ def language(code: Column) -> Column:
     return F.when((trimmed(code) == "") | (best["score"] == 0), F.lit("")).otherwise(best["name"])
 
 
+def tagged_fences(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the language of their code on fences that open without a tag, where it can be told; all else stays. A bare fence closes a block; what is never closed stays as it is."""
+    held = df.withColumn("__lines", F.split(F.col(text), "\n", -1))
+    opens = lambda s: s.rlike("^```[A-Za-z0-9_+#.-]*[\\t\\n\\f\\r ]*$")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(state: Column, i: Column) -> Column:
+        line, inside = F.get("__lines", i), state["open"] >= 0
+        closed = inside & (trimmed(line) == "```")
+        start = F.when(closed, -1).when(~inside & opens(line), i).otherwise(state["open"])
+        pair = F.struct(state["open"].alias("a"), i.alias("b"))
+        return F.struct(start.cast("int").alias("open"), F.when(closed, F.concat(state["pairs"], F.array(pair))).otherwise(state["pairs"]).alias("pairs"))
+
+    pairs = F.aggregate(F.sequence(F.lit(0), F.size("__lines") - 1), F.struct(F.lit(-1).alias("open"), none.alias("pairs")), step, lambda x: x["pairs"])
+    held = held.withColumn("__pairs", F.filter(pairs, lambda p: trimmed(F.get("__lines", p["a"])) == "```"))
+    code = lambda p: F.array_join(F.slice("__lines", p["a"] + 2, p["b"] - p["a"] - 1), "\n")
+    tags = F.map_from_arrays(F.transform("__pairs", lambda p: p["a"]), F.transform("__pairs", lambda p: language(code(p))))
+    held = held.withColumn("__tags", tags)
+    tag = lambda i: F.coalesce(F.try_element_at("__tags", i), F.lit(""))
+    out = F.array_join(F.transform("__lines", lambda s, i: F.when(tag(i) != "", F.concat(F.lit("```"), tag(i))).otherwise(s)), "\n")
+    return held.withColumn(text, out).drop("__lines", "__pairs", "__tags")
+
+
 def range_token(token: Column) -> Column:
     """struct<first, last> of `a-b` or `n`; (1, 0), which selects nothing, for anything else."""
     first = F.regexp_extract(token, "^\\s*(\\d{1,9})\\s*(?:-\\s*(\\d{1,9})\\s*)?$", 1).try_cast("int")

@@ -2,7 +2,7 @@ import random
 from functools import cache
 
 from pyspark.sql import functions as F
-from tessera.operators import budget, diff, focus, gate, intents
+from tessera.operators import budget, conversation, diff, focus, gate, intents
 
 
 def one(spark, expr, *values):
@@ -143,3 +143,14 @@ def test_all_resolvers(spark):
     text = {r["target"]: (r["text"], r["n_sources"]) for r in focus.rendered_by_kind(targets, found).collect()}
     assert text["m.md"] == ("FOCUS:m.md\n# Intro\none\ntwo blue words here\n", 1) and text["db/"][0] == "FOCUS:db/\n  db(1): t.sql\n"
     assert text["=REA"] == ("FOCUS:=REA\n  not found: =REA\n", 0)
+
+
+def test_fences_without_a_tag_get_one(spark):
+    go, py = "package main\nfunc main() {\n\tfmt.Println(1)\n}", "def f(self):\n    import os\n    print(1)"
+    text = f"a\n```\n{go}\n```\nb\n```text\n{py}\n```\n```  \n{py}\n ``` \n```\n\n```\n```\n{go}"
+    tag = lambda code: one(spark, conversation.language(F.lit(code)))
+    assert tag(go) and tag(py) and tag(go) != tag(py)
+    want = f"a\n```{tag(go)}\n{go}\n```\nb\n```text\n{py}\n```\n```{tag(py)}\n{py}\n ``` \n```\n\n```\n```\n{go}"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no fence")], "id long, text string")
+    got = {r["id"]: r["text"] for r in conversation.tagged_fences(df).collect()}
+    assert got == {1: want, 2: None, 3: "", 4: "no fence"}
