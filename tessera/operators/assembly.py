@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sanitize import dedupe_paragraphs
+
 SECTIONS = ("header", "agents", "skills", "prompt", "focus", "memory", "instruction")
+#: Sections whose paragraphs are told once over all of them; the header and the instruction stay as they are.
+SHARED = SECTIONS[1:-1]
 
 
 def resolved_task(explicit: Column, default: Column, tasks: Column) -> Column:
@@ -31,10 +35,37 @@ def undeclared(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("\\{\\{([A-Z0-9_]+)\\}\\}"), 1))
 
 
+def section_place() -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
+
+
+def core_once(parts: DataFrame, by: list[str]) -> DataFrame:
+    """parts (section, ord, name, core, text): a core file stays only in the first section that loads it and has text, ahead of the files of that section (ord -1).
+
+    Other parts of the name of a core file of their own section are left out.
+    """
+    core = parts.where("core and trim(text) <> ''")
+    first = core.groupBy(*by, "name").agg(F.min_by(F.struct(*[F.col(c) for c in parts.columns if c not in (*by, "name")]), F.struct(section_place(), "ord")).alias("p"))
+    first = first.select(*by, "name", "p.*").withColumn("ord", F.lit(-1).cast(parts.schema["ord"].dataType))
+    named = parts.where("core").select(*by, "section", "name").distinct()
+    rest = parts.where("not core").join(named, [*by, "section", "name"], "left_anti")
+    return first.select(*parts.columns).unionByName(rest.select(*parts.columns))
+
+
+def told_once(parts: DataFrame, by: list[str]) -> DataFrame:
+    """parts (by, section, ord, text) without the paragraphs that an earlier part of the same context has, whatever its section; with paragraphs_removed and bytes_removed.
+
+    section and ord have to tell the parts of a context apart. Header and instruction take no part.
+    """
+    shared = F.col("section").isin(*SHARED)
+    cut = dedupe_paragraphs(parts.where(shared).withColumn("__s", section_place()), by, ["__s", "ord"]).drop("__s")
+    rest = parts.where(~shared).withColumns({"paragraphs_removed": F.lit(0).cast("long"), "bytes_removed": F.lit(0).cast("long")})
+    return cut.select(*parts.columns, "paragraphs_removed", "bytes_removed").unionByName(rest)
+
+
 def assembled(parts: DataFrame, by: list[str]) -> DataFrame:
     """by, context: the parts (section, ord, text) joined in order of section and place; blank ones are left out."""
-    order = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    rows = parts.where("trim(text) <> ''").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order.alias("s"), "ord", "text"))).alias("parts"))
+    rows = parts.where("trim(text) <> ''").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(section_place().alias("s"), "ord", "text"))).alias("parts"))
     return rows.select(*by, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"))
 
 

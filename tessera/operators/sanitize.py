@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines, trimmed, with_runs
+from tessera.shipping import materialize
 
 # The time stamp that is left out of comparisons, and the marks that stand for what was removed.
 TIMESTAMP = "^\\d{4}-\\d{2}-\\d{2}[ T]\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z?[\\t\\n\\f\\r ]*"
@@ -88,36 +89,39 @@ def dedupe_headers(files: DataFrame, scope: str, order: str, name: str, text: st
     return out.select(*files.columns, "header_removed")
 
 
-def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per paragraph: df without text, par_ord, paragraph (trimmed), key (white space collapsed), n_bytes (untrimmed). Blank ones are left out."""
-    parts = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n[\\t\\n\\f\\r ]*\n+", -1)
-    rows = df.select(*[c for c in df.columns if c != text], F.posexplode(parts).alias("par_ord", "raw"))
-    rows = rows.withColumn("paragraph", trimmed(F.col("raw"))).where("paragraph <> ''")
-    key = F.regexp_replace("paragraph", "[\\s\\u0085\\p{Z}]+", " ")
-    return rows.select(*[c for c in rows.columns if c not in ("raw", "paragraph")], "paragraph", key.alias("key"), F.octet_length("raw").cast("long").alias("n_bytes"))
+def paragraphs(text: Column) -> Column:
+    """array<struct<paragraph, h1, h2, n_bytes>>: the paragraphs of a text that are not blank; paragraph is trimmed, n_bytes is not.
+
+    h1 and h2 are 64 bits each of the paragraph with its white space collapsed: 128 bits tell paragraphs apart.
+    """
+    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n[\\t\\n\\f\\r ]*\n+", -1)
+    cut = F.transform(parts, lambda r: F.struct(trimmed(r).alias("paragraph"), F.octet_length(r).cast("long").alias("n_bytes")))
+    key = lambda p: F.regexp_replace(p["paragraph"], "[\\s\\u0085\\p{Z}]+", " ")
+    filled = F.filter(cut, lambda p: p["paragraph"] != "")
+    return F.transform(filled, lambda p: F.struct(p["paragraph"].alias("paragraph"), F.xxhash64(key(p)).alias("h1"), F.xxhash64(F.lit(1), key(p)).alias("h2"), p["n_bytes"].alias("n_bytes")))
 
 
 def dedupe_paragraphs(df: DataFrame, scope: list[str], order: list[str], text: str = "text") -> DataFrame:
     """Each paragraph of a scope stays where it comes first, by order and its place; documents lose the others.
 
     Returns df's columns with text put together again (blank line between), paragraphs_removed and bytes_removed.
-    order has to tell a scope's documents apart. The first places are found by a
-    grouped minimum that combines before the shuffle, so a paragraph that a third
-    of all documents share is no burden.
+    order has to tell a scope's documents apart, and neither may be null. Only hashes and places are shuffled
+    to find what repeats, and first places of paragraphs that stand once are dropped before they are joined.
+    They are written to the shared folder first, so that both sides of the join are plain shuffles, which
+    adaptive execution can split where one paragraph is in a third of all documents.
     """
-    rows = paragraphs(df.select(*dict.fromkeys([*scope, *order]), text), text)
-    rows = rows.withColumn("__hash", F.xxhash64("key")).withColumn("__at", F.struct(*order, "par_ord"))
-    first = rows.groupBy(*scope, "__hash", "key").agg(F.min("__at").alias("__first"))
-    marked = rows.join(first, [*scope, "__hash", "key"]).withColumn("__keep", F.col("__at") == F.col("__first"))
     mine = list(dict.fromkeys([*scope, *order]))
-    kept = F.collect_list(F.when(F.col("__keep"), F.struct("par_ord", "paragraph")))
-    per = marked.groupBy(*mine).agg(
-        F.array_join(F.transform(F.sort_array(kept), lambda p: p["paragraph"]), "\n\n").alias("__text"),
-        F.count_if(~F.col("__keep")).alias("paragraphs_removed"),
-        F.coalesce(F.sum(F.when(~F.col("__keep"), F.col("n_bytes"))), F.lit(0)).alias("bytes_removed"),
-    )
-    out = df.join(per, mine, "left")
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.coalesce("__text", F.lit("")))).drop("__text").na.fill(0, ["paragraphs_removed", "bytes_removed"])
+    places = df.select(*mine, F.posexplode(F.transform(paragraphs(F.col(text)), lambda p: F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), p["n_bytes"].alias("n_bytes")))).alias("par_ord", "p"))
+    places = places.select(*mine, "par_ord", F.col("p.h1").alias("__h1"), F.col("p.h2").alias("__h2"), F.col("p.n_bytes").alias("__bytes")).withColumn("__at", F.struct(*order, "par_ord"))
+    keys = [*scope, "__h1", "__h2"]
+    first = places.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    first = materialize(first, "first-paragraphs")
+    later = places.join(first, keys).where(F.col("__at") != F.col("__first"))
+    gone = later.groupBy(*mine).agg(F.collect_set("par_ord").alias("__gone"), F.count("*").alias("paragraphs_removed"), F.sum("__bytes").alias("bytes_removed"))
+    out = df.join(gone, mine, "left")
+    stays = F.filter(F.transform(paragraphs(F.col(text)), lambda p, i: F.when(F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i), F.lit(None)).otherwise(p["paragraph"])), lambda p: p.isNotNull())
+    out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(stays, "\n\n"))).drop("__gone")
+    return out.na.fill(0, ["paragraphs_removed", "bytes_removed"])
 
 
 def dedupe_names(names: Column) -> Column:

@@ -122,20 +122,20 @@ SELECT m.*, round((prompt_tokens * input + completion_tokens * output) / 1000.0:
 
 
 def prefix_fingerprint(spark, sf_dir):
-    """System turns as the static part of a conversation's context; stable if it equals that of the conversation before."""
+    """System turns as the static part of a conversation's context; stable if it equals that of the conversation before in its project, a hundred conversations."""
     turns = table(spark, sf_dir, "conversations")
     order = lambda cond: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda t: t["text"]), "\n")
     ctx = turns.groupBy("conv_id").agg(order(F.col("role") == "system").alias("static"), order(F.col("role") != "system").alias("dynamic"))
     laid = budget.cache_layout(ctx, ["static"], ["dynamic"])
-    runs = budget.stable_prefix(laid.withColumn("project", F.col("conv_id") % 5), "project", "conv_id")
-    return runs.select("conv_id", "boundary", "prefix_tokens", "prefix_hash", "reusable_tokens", F.sha2("full", 256).alias("full_sha256"), "stable")
+    slim = laid.select("conv_id", F.floor(F.col("conv_id") / 100).alias("project"), "boundary", "prefix_tokens", "prefix_hash", "reusable_tokens", F.sha2("full", 256).alias("full_sha256"))
+    return budget.stable_prefix(slim, "project", "conv_id").drop("project")
 
 
 _PREFIX = """
 WITH c AS (SELECT conv_id, coalesce(string_agg(CASE WHEN role = 'system' THEN text END, chr(10) ORDER BY turn), '') AS s, coalesce(string_agg(CASE WHEN role <> 'system' THEN text END, chr(10) ORDER BY turn), '') AS d FROM conversations GROUP BY 1
 ), h AS (SELECT *, CASE WHEN s <> '' THEN left(sha256(s), 16) END AS hash FROM c)
 SELECT conv_id, strlen(s)::BIGINT AS boundary, (strlen(s) // 4)::BIGINT AS prefix_tokens, hash AS prefix_hash, (CASE WHEN strlen(s) // 4 >= 1024 THEN floor((strlen(s) // 4) * 0.9) ELSE 0 END)::BIGINT AS reusable_tokens,
-  sha256(s || d) AS full_sha256, coalesce(hash = lag(hash) OVER (PARTITION BY conv_id % 5 ORDER BY conv_id), false) AS stable FROM h
+  sha256(s || d) AS full_sha256, coalesce(hash = lag(hash) OVER (PARTITION BY conv_id // 100 ORDER BY conv_id), false) AS stable FROM h
 """
 
 

@@ -21,8 +21,8 @@ _PATCH = "SELECT doc_id, ((length(text) - length(replace(text, 'with', ''))) //
 def sheet_cells(spark, sf_dir):
     """Parts as a sheet per brand: how many cells of each column are numbers."""
     part = table(spark, sf_dir, "part")
-    rows = part.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), "p_type").alias("line")))).alias("r"))
-    sheets = rows.select("p_brand", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), "p_type")
+    sheets = part.select("p_brand", line.alias("text"))  # a line is a row of its own: a brand may have any number of parts
     return files.typed_cells(sheets, "p_brand", "text").groupBy("p_brand", "col", "type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("type") == "number", F.col("value").cast("double"))).cast("long").alias("total")).withColumn("col", F.col("col").cast("long"))
 
 

@@ -80,14 +80,24 @@ FROM g GROUP BY doc_id
 
 
 def sanitize_documents(spark, sf_dir):
-    out = sanitize.sanitize(table(spark, sf_dir, "documents").select("doc_id", "text"), comments=True)
-    return out.select("doc_id", "lines_collapsed", "blank_runs", "comment_lines", "chars_removed")
+    """Documents with every other seven lines as comments, the ninth of every ten thrice, and five newlines after every eleventh."""
+    mark = lambda s, i: F.concat(F.when(F.floor(i / 7) % 2 == 0, F.concat(F.lit("// "), s)).otherwise(s), F.when(i % 10 == 8, F.lit("\nagain\nagain\nagain")).otherwise(""), F.when(i % 11 == 10, F.lit("\n\n\n\n")).otherwise(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n").alias("text"))
+    out = sanitize.sanitize(docs, comments=True)
+    return out.select("doc_id", "lines_collapsed", "blank_runs", "comment_lines", "chars_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+_MARKED = r"""
+SELECT doc_id, string_agg(CASE WHEN (i // 7) % 2 = 0 THEN '// ' ELSE '' END || line || CASE WHEN i % 10 = 8 THEN repeat(chr(10) || 'again', 3) ELSE '' END || CASE WHEN i % 11 = 10 THEN repeat(chr(10), 4) ELSE '' END, chr(10) ORDER BY i) AS text
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id
+"""
 _SANITIZE = (
-    "WITH q AS (" + _RUNS.replace("sha256(string_agg(CASE", "(string_agg(CASE").format(key="doc_id", text="text", source="SELECT doc_id, text FROM documents") + r""")
-SELECT q.doc_id, lines_collapsed, 0::BIGINT AS blank_runs, 0::BIGINT AS comment_lines, (strlen(d.text) - strlen(text_sha256))::BIGINT AS chars_removed
-FROM q JOIN documents d USING (doc_id)"""
+    f"WITH source AS ({_MARKED}), collapsed AS (" + _RUNS.replace("sha256(string_agg(CASE", "(string_agg(CASE").format(key="doc_id", text="text", source="SELECT doc_id, text FROM source") + r"""
+), blank AS (SELECT doc_id, lines_collapsed, len(regexp_extract_all(text_sha256, '\n{4,}'))::BIGINT AS blank_runs, regexp_replace(text_sha256, '\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS text FROM collapsed
+), stripped AS (""" + _COMMENT.replace("FROM documents\n), m AS (SELECT doc_id, pos, CASE WHEN (pos // 7) % 2 = 0 THEN '// ' || line ELSE line END AS line FROM l", "FROM blank\n), m AS (SELECT doc_id, pos, line FROM l").replace("sha256(string_agg(CASE", "(string_agg(CASE") + r"""
+)
+SELECT doc_id, lines_collapsed, blank_runs, comment_lines, (strlen(s.text) - strlen(text_sha256))::BIGINT AS chars_removed, sha256(text_sha256) AS text_sha256
+FROM source s JOIN blank USING (doc_id) JOIN stripped USING (doc_id)"""
 )
 
 

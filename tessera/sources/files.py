@@ -45,10 +45,14 @@ def writable(path: Column) -> Column:
 
 
 def valid_content(path: Column, content: Column) -> Column:
-    """JSON has to parse, CSV to have as many fields on each line; other text is valid."""
+    """JSON has to parse, CSV to have as many fields on each line; other text is valid.
+
+    The parser stops after the first value, so what follows is told by wrapping: nothing but one whole value fits both a list and an object.
+    """
+    json = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"k":'), content, F.lit("}"))).isNotNull()
     rows = F.filter(F.split(content, "\n", -1), lambda s: trimmed(s) != "")
     arity = F.array_distinct(F.transform(rows, lambda s: F.size(F.split(F.regexp_replace(s, '"[^"]*"', ""), ",", -1))))
-    return F.when(extension(path) == "json", F.try_parse_json(content).isNotNull()).when(extension(path) == "csv", F.size(arity) <= 1).otherwise(F.lit(True))
+    return F.when(extension(path) == "json", json).when(extension(path) == "csv", F.size(arity) <= 1).otherwise(F.lit(True))
 
 
 def occurrences(text: Column, needle: Column) -> Column:
