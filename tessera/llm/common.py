@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.shipping import ship
+from tessera.shipping import materialize, ship
+
+__all__ = ["ascii_lower", "hot_keys", "materialize", "salted_join", "small_batches", "spark_of", "split_words", "table"]
 
 #: ASCII white space as the contracts define words: space, tab, LF, VT, FF, CR.
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -21,23 +20,6 @@ def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut in the lineage that survives lost executors."""
-    spark = spark_of(df)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(sizes: DataFrame, keys: list[str], rows: str) -> DataFrame:
     """keys, salts: the keys of sizes that hold over a two-thousandth of all its rows (HOT_ROWS at least), and over how many salts to spread each.
 
