@@ -357,75 +357,114 @@ def nearest_first(a: np.ndarray, b: np.ndarray, bits: np.ndarray, n: int) -> np.
     return np.unique(np.concatenate(kept)) if kept else places
 
 
-def candidates(frames: Iterator[pd.DataFrame], radius: int, every: bool) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of sets of different components in tile pairs of rows (h, lo, hi, side, set_id, size, f1, f2, root) whose sizes allow a similarity of 4/5 and whose bits are in reach: all of them, or those of a forest of near ones."""
+def fitting(block: pd.DataFrame, no: np.ndarray, radius: int, least: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(u, v, differing bits, tile): places of pairs of sets of different components in tile pairs of rows (h, lo, hi, side, set_id, size, f1, f2, root) whose sizes allow a similarity of 4/5 and whose bits are in reach, strip by strip; those of all buckets of up to `least` rows have tile -1."""
+    size, root, side = (block[c].to_numpy() for c in ("size", "root", "side"))
+    bits = block[["f1", "f2"]].to_numpy().view(np.uint64)
+    cross = np.maximum.reduceat(block["hi"].to_numpy() - block["lo"].to_numpy(), np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))) > 0
+
+    def fit(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return (root[u] != root[v]) & (5 * size[u] >= 4 * size[v]) & (5 * size[v] >= 4 * size[u])
+
+    alone = np.flatnonzero(~cross[no])
+    for i, d in neighbours(no[alone], least):
+        u, v = alone[i], alone[i + d]
+        ok = fit(u, v)
+        u, v = u[ok], v[ok]
+        apart = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1)
+        ok = apart <= radius
+        yield u[ok], v[ok], apart[ok], -1
+    for lo, hi in pieces(no, 0):
+        if cross[no[lo]] or hi - lo > least:
+            x, y = (lo + np.flatnonzero(side[lo:hi] == z) for z in (0, 1))
+            y = y if cross[no[lo]] else x
+            for u, v, apart in in_reach(bits[x], bits[y], radius):
+                u, v = x[u], y[v]
+                ok = fit(u, v) & (u < v)
+                yield u[ok], v[ok], apart[ok], lo
+
+
+def candidates(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of sets of the fitting ones in tile pairs: those of a forest of near ones in each."""
     for block, no in whole_tiles(frames, ["h"]):
-        ids, size, root, side = (block[c].to_numpy() for c in ("set_id", "size", "root", "side"))
-        bits = block[["f1", "f2"]].to_numpy().view(np.uint64)
-        cross = np.maximum.reduceat(block["hi"].to_numpy() - block["lo"].to_numpy(), np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))) > 0
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fit(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-            return (root[u] != root[v]) & (5 * size[u] >= 4 * size[v]) & (5 * size[v] >= 4 * size[u])
-
-        alone = np.flatnonzero(~cross[no])
-        for i, d in neighbours(no[alone], 8):
-            u, v = alone[i], alone[i + d]
-            ok = fit(u, v)
-            u, v = u[ok], v[ok]
-            ok = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1) <= radius
-            found.append((u[ok], v[ok]))
-        for lo, hi in pieces(no, 0):
-            if cross[no[lo]] or hi - lo > 8:
-                x, y = (lo + np.flatnonzero(side[lo:hi] == z) for z in (0, 1))
-                y = y if cross[no[lo]] else x
-                edges = []
-                for u, v, apart in in_reach(bits[x], bits[y], radius):
-                    u, v = x[u], y[v]
-                    ok = fit(u, v) & (u < v)
-                    u, v, apart = u[ok], v[ok], apart[ok]
-                    if not every:
-                        ok = nearest_first(u - lo, v - lo, apart, hi - lo)
-                        u, v, apart = u[ok], v[ok], apart[ok]
-                    edges.append((u, v, apart))
-                if edges:
-                    u, v, apart = (np.concatenate(e) for e in zip(*edges, strict=True))
-                    if not every:
-                        ok = nearest_first(u - lo, v - lo, apart, hi - lo)
-                        u, v = u[ok], v[ok]
-                    found.append((u, v))
+        ids = block["set_id"].to_numpy()
+        kept: dict[int, tuple[np.ndarray, ...]] = {}
+        small: list[tuple[np.ndarray, np.ndarray]] = []
+        for u, v, apart, at in fitting(block, no, radius):
+            if at < 0:
+                small.append((u, v))
+                continue
+            u, v, apart = (np.concatenate(e) for e in zip(kept[at], (u, v, apart), strict=True)) if at in kept else (u, v, apart)
+            ok = nearest_first(u - at, v - at, apart, len(ids) - at)
+            kept[at] = (u[ok], v[ok], apart[ok])
+        found = small + [(u, v) for u, v, _ in kept.values()]
         if found:
             u, v = (ids[np.concatenate(e)] for e in zip(*found, strict=True))
             yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
 
 
+def involved(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Those rows of tile pairs that are in a fitting pair: at most as many as come in."""
+    for block, no in whole_tiles(frames, ["h"]):
+        met = np.zeros(len(block), dtype=bool)
+        for u, v, _, _ in fitting(block, no, radius):
+            met[u] = met[v] = True
+        yield block[met]
+
+
+def alike(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """A spanning forest (a, b) of the links of a similarity of 4/5 or more in tile pairs of rows with hashes and sketch: never more than the rows."""
+    for block, no in whole_tiles(frames, ["h"], 4_000):
+        ids, size = block["set_id"].to_numpy(), block["size"].to_numpy()
+        own = block["hashes"].to_numpy()
+        flat = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(-1, 256).astype(np.int16)
+        a, b = [ids[:0]], [ids[:0]]
+        for u, v, _, _ in fitting(block, no, radius):
+            for i in range(0, len(u), 8192):
+                x, y = u[i : i + 8192], v[i : i + 8192]
+                ok = 9 * np.abs(flat[x] - flat[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
+                x, y = x[ok], y[ok]
+                both = np.array([len(np.intersect1d(own[p], own[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], dtype=np.int64)
+                ok = 9 * both >= 4 * (size[x] + size[y]).astype(np.int64)
+                a.append(ids[x[ok]])
+                b.append(ids[y[ok]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = forest(a, b) if len(a) else (a, b)
+        yield pd.DataFrame({"a": a, "b": b})
+
+
 def sketch(own: np.ndarray) -> bytes:
     """Counts of the shingles by their first byte, up to 255: two sets differ in at least as many shingles as their sketches."""
     return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
-def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more. sets: set_id, k1, k2 of a text that has the set; texts: k1, k2, text.
-
-    Such sets differ in a ninth of their sizes at most; pairs whose sketches
-    differ in more go before whole sets are sent to their pairs.
-    """
+def whole_sets(named: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """set_id, size, hashes, sketch of the sets of named (set_id), from one text each. sets: set_id, size, k1, k2 of a text that has the set; texts: k1, k2, text."""
 
     @F.pandas_udf("hashes array<long>, sketch binary")
     def shingles(s: pd.Series) -> pd.DataFrame:
         own = [shingle_set(t, size) for t in s]
         return pd.DataFrame({"hashes": [x.view(np.int64) for x in own], "sketch": [sketch(x) for x in own]})
 
+    keys = sets.join(named.distinct(), "set_id", "left_semi").select("set_id", "size", "k1", "k2")
+    own = texts.join(keys, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", "size", shingles("text").alias("own"))
+    return materialize(own.select("set_id", "size", "own.*"), "simhash-sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more.
+
+    Such sets differ in a ninth of their sizes at most; pairs whose sketches
+    differ in more go before whole sets are sent to their pairs.
+    """
+
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         u, v = (np.frombuffer(b"".join(z), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for z in (x, y))
         return pd.Series(np.abs(u - v).sum(axis=1, dtype=np.int64))
 
     pairs = materialize(pairs.distinct(), "simhash-pairs")
-    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    keys = sets.join(named, "set_id", "left_semi").select("set_id", "size", "k1", "k2")
-    own = texts.join(keys, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", "size", shingles("text").alias("own"))
-    own = materialize(own.select("set_id", "size", "own.*"), "simhash-sets")
+    own = whole_sets(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")), sets, texts, size)
     a, b = (own.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     near = pairs.join(a, "a").join(b, "b").where(9 * apart("sa", "sb") <= F.col("na") + F.col("nb"))
     near = materialize(near.select("a", "b"), "simhash-near")
@@ -441,7 +480,10 @@ def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int
 
     sets: set_id, size, f1, f2, k1, k2; prefixes: set_id, h. Buckets with equal
     members are one. First every bucket gives a forest of the pairs nearest to
-    each other; of what these leave apart, all pairs in reach are verified.
+    each other. Of what these leave apart, sets in reach of another go back to
+    their tiles with all their shingles; there all pairs in reach are verified,
+    and only a forest of the true links leaves a tile. So rows grow with the
+    sets, though the comparisons of a crowded bucket are as many as its pairs.
     """
     shared = prefixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(shared, "simhash-shared")
@@ -455,17 +497,23 @@ def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int
     held = materialize(held.join(sets.select("set_id", "size", "f1", "f2"), "set_id"), "simhash-held")
     ones = F.bit_count("f1") + F.bit_count("f2")
 
-    def verified(rows: DataFrame, every: bool) -> DataFrame:
-        placed = cut_in_tiles(rows, ["h"], ones, spread, radius, tile)
-        return similar(placed.mapInPandas(lambda it: candidates(it, radius, every), "a long, b long"), sets, texts, size)
+    def placed(rows: DataFrame) -> DataFrame:
+        return cut_in_tiles(rows, ["h"], ones, spread, radius, tile)
 
-    first = verified(held.withColumn("root", F.col("set_id")), False)
+    near = placed(held.withColumn("root", F.col("set_id"))).mapInPandas(lambda it: candidates(it, radius), "a long, b long")
+    first = similar(near, sets, texts, size)
     linked = components(first)
     rooted = held.join(linked, held["set_id"] == linked["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set_id"))
     open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("h", "n")
     open_ = materialize(open_, "simhash-open")
     rest = salted_join(rooted, open_.select("h"), ["h"], hot_keys(open_, ["h"], "n"), spread)
-    return first.union(verified(rest, True))
+    rest = placed(rest)
+    rest = materialize(rest.mapInPandas(lambda it: involved(it, radius), rest.schema), "simhash-involved")
+    own = whole_sets(rest.select("set_id"), sets, texts, size).drop("size")
+    order = ["h", "lo", "hi", "side", "__ones"]
+    whole = rest.join(own, "set_id").repartition("h", "lo", "hi").sortWithinPartitions(*order)
+    last = materialize(whole.mapInPandas(lambda it: alike(it, radius), "a long, b long"), "simhash-links")
+    return first.union(last)
 
 
 def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
