@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, language_model, license_scan, mixing, quality, simhash, suffix_dedup, token_count, toxicity
+from tessera.llm import chat_format, conversation_repair, decontaminate, language_model, license_scan, mixing, quality, simhash, suffix_dedup, token_count, toxicity
 from tessera.llm.common import table
 
 
@@ -66,5 +66,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with planted faults; conversations of which no row is left stay in the report."""
+    turns = table(spark, sf_dir, "conversations")
+    _, report = conversation_repair.repair(conversation_repair.damage(turns))
+    gone = turns.select("conv_id").distinct()
+    zero = [F.lit(0).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = gone.select("conv_id", *zero, F.lit("").alias("audit"), F.sha2(F.lit(""), 256).alias("repaired_sha256"))
+    missing = empty.join(report.select(F.col("conv_id").alias("id")), F.col("conv_id").eqNullSafe(F.col("id")), "left_anti")
+    return report.unionByName(missing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_token_counts, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_license_scan, op8_quality_rules, op9_language_model, op10_simhash)}
+    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_token_counts, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_license_scan, op8_quality_rules, op9_language_model, op10_simhash, op13_conversation_repair)}
