@@ -451,8 +451,8 @@ def whole_sets(named: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -
     return materialize(own.select("set_id", "size", "own.*"), "simhash-sets")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more.
+def similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a similarity of 4/5 or more; own: the whole_sets() of them.
 
     Such sets differ in a ninth of their sizes at most; pairs whose sketches
     differ in more go before whole sets are sent to their pairs.
@@ -463,8 +463,6 @@ def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> D
         u, v = (np.frombuffer(b"".join(z), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for z in (x, y))
         return pd.Series(np.abs(u - v).sum(axis=1, dtype=np.int64))
 
-    pairs = materialize(pairs.distinct(), "simhash-pairs")
-    own = whole_sets(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")), sets, texts, size)
     a, b = (own.select(F.col("set_id").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     near = pairs.join(a, "a").join(b, "b").where(9 * apart("sa", "sb") <= F.col("na") + F.col("nb"))
     near = materialize(near.select("a", "b"), "simhash-near")
@@ -478,8 +476,8 @@ def similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int) -> D
 def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int, radius: int = COPY_RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links of set_ids that span the components of similar sets.
 
-    sets: set_id, size, f1, f2, k1, k2; prefixes: set_id, h. Buckets with equal
-    members are one. First every bucket gives a forest of the pairs nearest to
+    sets: set_id, size, f1, f2, k1, k2; prefixes: set_id, h, which may repeat
+    each other. Buckets with equal members are one. First every bucket gives a forest of the pairs nearest to
     each other. Of what these leave apart, sets in reach of another go back to
     their tiles with all their shingles; there all pairs in reach are verified,
     and only a forest of the true links leaves a tile. So rows grow with the
@@ -488,9 +486,9 @@ def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int
     shared = prefixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(shared, "simhash-shared")
     spread = F.xxhash64("set_id")
-    held = materialize(salted_join(prefixes, shared.select("h"), ["h"], hot_keys(shared, ["h"], "n"), spread), "simhash-held")
+    held = materialize(salted_join(prefixes, shared.select("h"), ["h"], hot_keys(shared, ["h"], "n"), spread).distinct(), "simhash-held")
     members = held.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(spread).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("s2"))
-    members = materialize(members, "simhash-members")
+    members = materialize(members.where("n > 1"), "simhash-members")
     kept = members.groupBy("n", "s1", "s2").agg(F.min("h").alias("h")).select("h", "n")
     kept = materialize(kept, "simhash-kept")
     held = salted_join(held, kept.select("h"), ["h"], hot_keys(kept, ["h"], "n"), spread)
@@ -501,7 +499,10 @@ def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int
         return cut_in_tiles(rows, ["h"], ones, spread, radius, tile)
 
     near = placed(held.withColumn("root", F.col("set_id"))).mapInPandas(lambda it: candidates(it, radius), "a long, b long")
-    first = similar(near, sets, texts, size)
+    near = materialize(near.distinct(), "simhash-pairs")
+    # the forests reach every set that is in reach of another, so no other set is needed below
+    own = whole_sets(near.select(F.col("a").alias("set_id")).union(near.select("b")), sets, texts, size)
+    first = similar(near, own)
     linked = components(first)
     rooted = held.join(linked, held["set_id"] == linked["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set_id"))
     open_ = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("h", "n")
@@ -509,9 +510,8 @@ def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int
     rest = salted_join(rooted, open_.select("h"), ["h"], hot_keys(open_, ["h"], "n"), spread)
     rest = placed(rest)
     rest = materialize(rest.mapInPandas(lambda it: involved(it, radius), rest.schema), "simhash-involved")
-    own = whole_sets(rest.select("set_id"), sets, texts, size).drop("size")
     order = ["h", "lo", "hi", "side", "__ones"]
-    whole = rest.join(own, "set_id").repartition("h", "lo", "hi").sortWithinPartitions(*order)
+    whole = rest.join(own.drop("size"), "set_id").repartition("h", "lo", "hi").sortWithinPartitions(*order)
     last = materialize(whole.mapInPandas(lambda it: alike(it, radius), "a long, b long"), "simhash-links")
     return first.union(last)
 
@@ -531,9 +531,9 @@ def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, id_col: str = "doc_id
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     rows = materialize(shingled(texts, size), "simhash-rows")
-    one = rows.groupBy("set_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("prefix").alias("prefix"))
-    one = materialize(one.select("set_id", "k.k1", "k.k2", "size", "f1", "f2", "prefix"), "simhash-one")
-    links = copy_links(one.drop("prefix"), one.select("set_id", F.explode("prefix").alias("h")), texts.select("k1", "k2", "text"), size, tile=tile)
+    one = rows.groupBy("set_id").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("size").alias("size"), F.first("f1").alias("f1"), F.first("f2").alias("f2"))
+    one = materialize(one.select("set_id", "k.k1", "k.k2", "size", "f1", "f2"), "simhash-one")
+    links = copy_links(one, rows.select("set_id", F.explode("prefix").alias("h")), texts.select("k1", "k2", "text"), size, tile=tile)
     linked = components(links)
     ids = rows.select("id", "k1", "k2", "set_id")
     return ids.join(linked, ids["set_id"] == linked["node"], "left").select("id", "k1", "k2", "set_id", F.coalesce("root", "set_id").alias("root"))
