@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, conversation_repair, decontaminate, language_model, license_scan, mixing, quality, simhash, spelling, suffix_dedup, token_count, toxicity
+from tessera.llm import chat_format, conversation_repair, decontaminate, language_model, license_scan, mixing, quality, recompression, simhash, spelling, suffix_dedup, token_count, toxicity
 from tessera.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents"), typo_every=31)
     return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
@@ -83,4 +88,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_token_counts, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_license_scan, op8_quality_rules, op9_language_model, op10_simhash, op12_spelling_variants, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_chat_format, op2_suffix_dedup, op3_token_counts, op4_toxicity, op5_decontaminate, op6_mix_sources, op7_license_scan, op8_quality_rules, op9_language_model, op10_simhash, op11_recompression, op12_spelling_variants, op13_conversation_repair)}
