@@ -412,18 +412,42 @@ def involved(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFra
         yield block[met]
 
 
+def sketches_of(block: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(-1, 256).astype(np.int16)
+
+
+def close_sketches(flat: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which pairs u, v have sketches that allow a similarity of 4/5: the sets differ in a ninth of their sizes at most."""
+    ok = np.empty(len(u), dtype=bool)
+    for i in range(0, len(u), 8192):
+        x, y = u[i : i + 8192], v[i : i + 8192]
+        ok[i : i + 8192] = 9 * np.abs(flat[x] - flat[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
+    return ok
+
+
+def sketched(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Those rows of tile pairs (with sketch) that are in a fitting pair whose sketches are close; without sketch."""
+    for block, no in whole_tiles(frames, ["h"]):
+        flat, size = sketches_of(block), block["size"].to_numpy().astype(np.int64)
+        met = np.zeros(len(block), dtype=bool)
+        for u, v, _, _ in fitting(block, no, radius):
+            ok = close_sketches(flat, size, u, v)
+            met[u[ok]] = met[v[ok]] = True
+        yield block[met].drop(columns="sketch")
+
+
 def alike(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """A spanning forest (a, b) of the links of a similarity of 4/5 or more in tile pairs of rows with hashes and sketch: never more than the rows."""
     for block, no in whole_tiles(frames, ["h"], 4_000):
         ids, size = block["set_id"].to_numpy(), block["size"].to_numpy()
         own = block["hashes"].to_numpy()
-        flat = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(-1, 256).astype(np.int16)
+        flat = sketches_of(block)
         a, b = [ids[:0]], [ids[:0]]
         for u, v, _, _ in fitting(block, no, radius):
+            ok = close_sketches(flat, size.astype(np.int64), u, v)
+            u, v = u[ok], v[ok]
             for i in range(0, len(u), 8192):
                 x, y = u[i : i + 8192], v[i : i + 8192]
-                ok = 9 * np.abs(flat[x] - flat[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
-                x, y = x[ok], y[ok]
                 both = np.array([len(np.intersect1d(own[p], own[q], assume_unique=True)) for p, q in zip(x.tolist(), y.tolist(), strict=True)], dtype=np.int64)
                 ok = 9 * both >= 4 * (size[x] + size[y]).astype(np.int64)
                 a.append(ids[x[ok]])
@@ -473,6 +497,14 @@ def similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return materialize(found, "simhash-links")
 
 
+def different_tiles(rows: DataFrame) -> DataFrame:
+    """rows (h, lo, hi, side, set_id) of tile pairs, of those with equal members only one."""
+    told = [F.bit_xor(F.xxhash64(*seed, "side", "set_id")).alias(s) for s, seed in (("s1", []), ("s2", [F.lit(1)]))]
+    members = rows.groupBy("h", "lo", "hi").agg(F.count("*").alias("n"), *told)
+    one = members.groupBy("n", "s1", "s2").agg(F.min(F.struct("h", "lo", "hi")).alias("t")).select("t.*")
+    return rows.join(one.hint("merge"), ["h", "lo", "hi"], "left_semi").select(rows.columns)
+
+
 def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int, radius: int = COPY_RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links of set_ids that span the components of similar sets.
 
@@ -511,7 +543,13 @@ def copy_links(sets: DataFrame, prefixes: DataFrame, texts: DataFrame, size: int
     rest = placed(rest)
     rest = materialize(rest.mapInPandas(lambda it: involved(it, radius), rest.schema), "simhash-involved")
     order = ["h", "lo", "hi", "side", "__ones"]
-    whole = rest.join(own.drop("size"), "set_id").repartition("h", "lo", "hi").sortWithinPartitions(*order)
+
+    def sent(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(own.select("set_id", *columns), "set_id").repartition("h", "lo", "hi").sortWithinPartitions(*order)
+
+    # sets that meet in many tiles meet once, and only those with close sketches are sent whole
+    rest = materialize(sent(different_tiles(rest), "sketch").mapInPandas(lambda it: sketched(it, radius), rest.schema), "simhash-sketched")
+    whole = sent(different_tiles(rest), "hashes", "sketch")
     last = materialize(whole.mapInPandas(lambda it: alike(it, radius), "a long, b long"), "simhash-links")
     return first.union(last)
 
