@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The bounds of the five fields, the levels in order, and rotation intervals in days.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
 LEVELS = ("debug", "info", "warn", "error")
-ROTATIONS = {"daily": 1, "weekly": 7, "monthly": 30}
+ROTATIONS = {"daily": 1, "weekly": 7, "monthly": 30, "yearly": 365}
 WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
