@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import glob_matches
 from tessera.operators.search import ENTRY_BREAK
-from tessera.sources.files import valid_content, writable
+from tessera.sources.files import occurrences, valid_content, writable
 
 
 def saved(files: DataFrame, requests: DataFrame) -> DataFrame:
@@ -32,11 +32,63 @@ def saved(files: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def after(files: DataFrame, outcome: DataFrame) -> DataFrame:
-    """files (path, content) as they are once the written ones of saved() are in place: the table to write next."""
-    done = outcome.where("status = 'written'").select("path", "content")
+    """files (path, content) as they are once the written ones of saved() are in place: the table to write next.
+
+    saved() knows one request for a path; if several were written, this fails, since one of them would be lost. edited() takes them in order.
+    """
+    several = F.raise_error(F.concat(F.lit("several saves of "), "path", F.lit(": their order is for edited()")))
+    done = outcome.where("status = 'written'").groupBy("path").agg(F.when(F.count("*") > 1, several).otherwise(F.first("content")).alias("content"))
     return files.select("path", "content").join(done.select("path"), "path", "left_anti").unionByName(done)
 
 
+def edited(files: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, seq, status of every request; files (path, content) after all of them).
+
+    requests: path, seq, mode, content, old. The requests of a path are applied
+    in order of seq, ties by mode and content, each to what the ones before it
+    left: `create`, `overwrite`, `append` and `prepend` as in saved(), and
+    `patch`, which puts content in the place of `old`. status: `unsupported`,
+    `exists` (a file is there, or was written by a request before), `unmatched`
+    or `ambiguous` (a patch whose old text stands nowhere, or more than once),
+    `invalid`, `unknown` (any other mode), or `written`; only the last changes
+    the file. Each path keeps one row. Requests without a path are unsupported.
+    A file and the requests for it meet in one row, as its content does.
+    """
+    kind = "array<struct<seq:bigint,status:string>>"
+    request = F.struct(F.col("seq").cast("long").alias("seq"), "mode", "content", "old")
+    asked = requests.groupBy("path").agg(F.sort_array(F.collect_list(request)).alias("asked"))
+    both = asked.join(files.select("path", F.col("content").alias("now"), F.lit(True).alias("there")), "path", "left")
+
+    def step(acc, r):
+        kept = F.coalesce(acc["now"], F.lit(""))
+        stands = F.when(r["old"] == "", 0).otherwise(occurrences(kept, r["old"]))
+        new = (
+            F.when(r["mode"] == "append", F.concat(kept, r["content"]))
+            .when(r["mode"] == "prepend", F.concat(F.trim(r["content"]), F.lit(ENTRY_BREAK), kept))
+            .when(r["mode"] == "patch", F.replace(kept, r["old"], r["content"]))
+            .otherwise(r["content"])
+        )
+        status = (
+            F.when(~F.coalesce(writable(F.col("path")), F.lit(False)), "unsupported")
+            .when(~F.coalesce(r["mode"].isin("create", "overwrite", "append", "prepend", "patch"), F.lit(False)), "unknown")
+            .when((r["mode"] == "create") & acc["there"], "exists")
+            .when((r["mode"] == "patch") & F.coalesce(stands == 0, F.lit(True)), "unmatched")
+            .when((r["mode"] == "patch") & (stands > 1), "ambiguous")
+            .when(r["content"].isNull() | ~F.coalesce(valid_content(F.col("path"), new), F.lit(False)), "invalid")
+            .otherwise("written")
+        )
+        # the outcome is bound once, then used for the content
+        told = F.transform(F.array(F.struct(new.alias("new"), status.alias("status"))), lambda o: F.struct(F.when(o["status"] == "written", o["new"]).otherwise(acc["now"]).alias("now"), (acc["there"] | (o["status"] == "written")).alias("there"), F.array_append(acc["told"], F.struct(r["seq"].alias("seq"), o["status"].alias("status"))).alias("told")))
+        return told[0]
+
+    start = F.struct(F.col("now").alias("now"), F.coalesce("there", F.lit(False)).alias("there"), F.array().cast(kind).alias("told"))
+    done = both.select("path", F.aggregate("asked", start, step).alias("acc"))
+    outcome = done.select("path", F.inline("acc.told"))
+    touched = done.where(F.exists("acc.told", lambda t: t["status"] == "written")).select("path", F.col("acc.now").alias("content"))
+    rest = files.select("path", "content").join(touched.select("path"), "path", "left_anti")
+    return outcome, rest.unionByName(touched)
+
+
 def glob_deletes(files: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files (path) that a delete request's patterns name, each once, and the patterns (pattern, files) with how many files each names, none too.
 

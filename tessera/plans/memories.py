@@ -115,6 +115,36 @@ SELECT path, status, CASE WHEN status = 'written' THEN sha256(new) WHEN there TH
 """
 
 
+def ordered_edits(spark, sf_dir):
+    """Ten requests for each path, in the order of the documents' ids; every third path has a file before. The outcomes, and the content after all."""
+    docs = table(spark, sf_dir, "documents")
+    pick = lambda by, *values: F.get(F.array(*[F.lit(v) for v in values]), (by % len(values)).cast("int"))
+    number = F.floor(F.col("doc_id") / 10)
+    path = F.concat(F.lit("p"), number, F.lit("."), pick(number, "md", "json", "txt", "exe"))
+    files = docs.where("doc_id % 30 = 0").select(path.alias("path"), F.lit("old text\n").alias("content"))
+    text = F.when(number % 4 == 1, F.concat(F.lit('{"n": '), F.col("doc_id") % 3, F.lit("}"))).otherwise(F.col("text"))
+    asked = docs.select(path.alias("path"), F.col("doc_id").alias("seq"), pick(F.floor(F.col("doc_id") * 7 / 3), "append", "create", "patch", "prepend", "overwrite").alias("mode"), text.alias("content"), pick(F.col("doc_id"), "old", "e", ": 1", "xyz").alias("old"))
+    outcome, now = writes.edited(files, asked)
+    return outcome.join(now.select("path", F.sha2("content", 256).alias("content_sha256")), "path", "left")
+
+
+_EDITS = """
+WITH RECURSIVE r AS (SELECT doc_id AS seq, doc_id // 10 AS number, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS k, 'p' || (doc_id // 10) || '.' || ['md', 'json', 'txt', 'exe'][(doc_id // 10 % 4 + 1)::INT] AS path,
+  ['append', 'create', 'patch', 'prepend', 'overwrite'][((doc_id * 7 // 3) % 5 + 1)::INT] AS mode, CASE WHEN doc_id // 10 % 4 = 1 THEN '{"n": ' || (doc_id % 3) || '}' ELSE text END AS content, ['old', 'e', ': 1', 'xyz'][(doc_id % 4 + 1)::INT] AS old FROM documents
+), f AS (SELECT DISTINCT path, number % 3 = 0 AS there FROM r
+), s AS (
+  SELECT path, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS status, CASE WHEN there THEN 'old text' || chr(10) END AS now, there FROM f
+  UNION ALL
+  SELECT path, k, seq, status, CASE WHEN status = 'written' THEN new ELSE now END, there OR status = 'written' FROM (
+    SELECT *, CASE WHEN path LIKE '%.exe' THEN 'unsupported' WHEN mode = 'create' AND there THEN 'exists' WHEN mode = 'patch' AND stands = 0 THEN 'unmatched' WHEN mode = 'patch' AND stands > 1 THEN 'ambiguous'
+      WHEN content IS NULL OR (path LIKE '%.json' AND NOT json_valid(new)) THEN 'invalid' ELSE 'written' END AS status FROM (
+      SELECT r.path, r.k, r.seq, r.mode, r.content, s.now, s.there, (length(coalesce(now, '')) - length(replace(coalesce(now, ''), old, ''))) // length(old) AS stands,
+        CASE mode WHEN 'append' THEN coalesce(now, '') || content WHEN 'prepend' THEN trim(content, ' ') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || coalesce(now, '') WHEN 'patch' THEN replace(coalesce(now, ''), old, content) ELSE content END AS new
+      FROM s JOIN r ON r.path = s.path AND r.k = s.k + 1)))
+SELECT path, seq, status, (SELECT CASE WHEN z.now IS NOT NULL THEN sha256(z.now) END FROM s z WHERE z.path = s.path ORDER BY z.k DESC LIMIT 1) AS content_sha256 FROM s WHERE k > 0
+"""
+
+
 def glob_delete(spark, sf_dir):
     """How many files each pattern of a delete names."""
     docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"))
@@ -188,6 +218,7 @@ QUERIES = {
     "project_table": (project_table, _PROJECTS),
     "full_text_search": (full_text_search, _FULL),
     "save_batch": (save_batch, _SAVE),
+    "ordered_edits": (ordered_edits, _EDITS),
     "glob_delete": (glob_delete, _GLOB),
     "job_tasks": (job_tasks, _TASKS),
     "context_told_once": (context_told_once, _ONCE),

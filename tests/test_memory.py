@@ -20,6 +20,35 @@ def test_saves_by_mode(spark):
     assert (now["a.md"], now["b.md"], now["c.md"], now["d.md"], now["e.md"]) == ("one", "x", "threex", "x\n\n---\n\nfour", "new")
 
 
+def test_several_saves_of_a_path_are_not_lost_silently(spark):
+    import pytest
+
+    files = spark.createDataFrame([("a.md", "old")], "path string, content string")
+    asked = spark.createDataFrame([("a.md", "x", "append"), ("a.md", "y", "append")], "path string, content string, mode string")
+    with pytest.raises(Exception, match="several saves of a.md"):
+        writes.after(files, writes.saved(files, asked)).collect()
+
+
+def test_edits_of_a_path_follow_their_order(spark):
+    files = spark.createDataFrame([("a.md", "old"), ("b.json", "[1]"), ("z.md", "as it was"), ("y.md", "same same")], "path string, content string")
+    asked = [
+        ("a.md", 2, "append", "y", None), ("a.md", 1, "append", "x", None), ("a.md", 3, "create", "no", None), ("a.md", 4, "patch", "-", "x"), ("a.md", 5, "patch", "-", "x"),
+        ("n.md", 1, "create", "one", None), ("n.md", 2, "create", "two", None), ("n.md", 3, "prepend", " top ", None), ("n.md", 4, "overwrite", None, None),
+        ("b.json", 1, "append", ",", None), ("b.json", 2, "overwrite", '{"a": 1}', None), ("b.json", 3, "patch", "]", "1"), ("y.md", 1, "patch", "x", "same"), ("y.md", 2, "patch", "x", ""), ("y.md", 3, "patch", "x", None), ("y.md", 4, "melt", "x", None),
+        ("c.exe", 1, "create", "x", None), (None, 1, "create", "x", None),
+    ]
+    outcome, now = writes.edited(files, spark.createDataFrame(asked, "path string, seq int, mode string, content string, old string"))
+    status = {}
+    for r in outcome.orderBy("seq").collect():
+        status.setdefault(r["path"], []).append(r["status"])
+    assert status == {
+        "a.md": ["written", "written", "exists", "written", "unmatched"], "n.md": ["written", "exists", "written", "invalid"], "b.json": ["invalid", "written", "invalid"],
+        "y.md": ["ambiguous", "unmatched", "unmatched", "unknown"], "c.exe": ["unsupported"], None: ["unsupported"],
+    }
+    assert {r["path"]: r["content"] for r in now.collect()} == {"a.md": "old-y", "n.md": "top\n\n---\n\none", "b.json": '{"a": 1}', "z.md": "as it was", "y.md": "same same"}
+    assert now.count() == 5
+
+
 def test_deletes_name_each_file_once_and_report_patterns_without_any(spark):
     files = spark.createDataFrame([("r/a.csv",), ("r/b.csv",), ("s/a.csv",)], "path string")
     gone, report = writes.glob_deletes(files, ["r/*.csv", "r/a.*", "none.md"])
