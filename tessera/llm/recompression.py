@@ -11,9 +11,9 @@ symbol at the left end and a left one at the right end, and so on in each round.
 So each window of WINDOW words has interior symbols that all its occurrences
 share. The longest of the last round that has any is the window's anchor; a
 window without any, say, of two long runs, has its own name for it. Neighbouring
-windows of one anchor form a segment. Only anchors of several documents are
-looked at: equal segments of later documents go as they are, and where segments
-of one anchor differ, their windows are compared by name.
+windows of one anchor form a segment. Segments meet by their anchors, once: equal
+ones of later documents go as they are, and where segments of one anchor differ,
+their windows are compared by name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import hot_keys, materialize, salted_join, small_batches, spark_of
@@ -34,6 +34,11 @@ ROUNDS = 2
 #: Windows that are named at once; windows of a segment at most.
 CHUNK = 1 << 16
 SEGMENT_WINDOWS = 256
+#: Least share of the texts, and least number, whose anchors are counted to find those with more than HOT_SEGMENTS segments and a HOT_ANCHORS-th of all.
+SAMPLE_SHARE = 1 / 16
+SAMPLE_DOCS = 4_000
+HOT_SEGMENTS = 200
+HOT_ANCHORS = 2_000
 #: Different words whose names a task keeps.
 KNOWN_WORDS = 1_000_000
 #: Ids count as this if they are null: none is larger.
@@ -156,24 +161,54 @@ def segments(texts: list[list[bytes]], window: int, names: Names, rounds: int =
 
 
 def _counted(frames: Iterator[pd.DataFrame], window: int, rounds: int) -> Iterator[pd.DataFrame]:
-    """Of each anchor of a batch, least and greatest id and the number of segments."""
+    """The anchors of a batch and how many segments they have."""
     names = Names()
     for frame in frames:
-        anchor, text, *_ = segments([split(t) for t in frame["text"]], window, names, rounds)
-        if len(anchor):
-            order = np.argsort(anchor, kind="stable")
-            anchor, ids = anchor[order], frame["id"].to_numpy()[text[order]]
-            first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-            yield pd.DataFrame({"a": anchor[first].view(np.int64), "low": np.minimum.reduceat(ids, first), "high": np.maximum.reduceat(ids, first), "n": np.diff(np.append(first, len(anchor)))})
+        anchor, *_ = segments([split(t) for t in frame["text"]], window, names, rounds)
+        a, n = np.unique(anchor, return_counts=True)
+        yield pd.DataFrame({"a": a.view(np.int64), "n": n})
 
 
-def _placed(frames: Iterator[pd.DataFrame], window: int, rounds: int) -> Iterator[pd.DataFrame]:
+def hot_anchors(texts: DataFrame, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted anchors that hold a large share of the segments of a sample of texts, HOT_ANCHORS at most, and over how many salts to spread each.
+
+    They decide where segments meet, never what is found.
+    """
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, texts.count())))
+    keys = texts.select("text").sample(share, seed=42).mapInPandas(lambda it: _counted(it, window, rounds), "a long, n long")
+    counts = keys.groupBy("a").agg(F.sum("n").alias("n"))
+    most = max(HOT_SEGMENTS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_ANCHORS)
+    hot = counts.where(F.col("n") > most).select("a", F.ceil(F.col("n") / most).cast("int").alias("salts")).orderBy("a").toPandas()
+    return hot["a"].to_numpy(dtype=np.int64), hot["salts"].to_numpy(dtype=np.int32)
+
+
+def _placed(frames: Iterator[pd.DataFrame], window: int, rounds: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """The segments of texts: place is first window * 512 + number of windows; salt is 0 if the anchor isn't hot.
+
+    Segments that repeat one of a smaller id in their batch are settled: they
+    need to meet no other, so their anchor is replaced by a name of their own.
+    """
     names = Names()
+    anchors_, salts = hot
     for frame in frames:
         anchor, text, at, n, content = segments([split(t) for t in frame["text"]], window, names, rounds)
-        if len(anchor):
-            ids, digests = (frame[c].to_numpy()[text] for c in ("id", "digest"))
-            yield pd.DataFrame({"a": anchor.view(np.int64), "id": ids, "digest": digests, "at": at.astype(np.int32), "n": n.astype(np.int32), "c": content.view(np.int64)})
+        if not len(anchor):
+            continue
+        ids, digests = (frame[c].to_numpy()[text] for c in ("id", "digest"))
+        a, c = anchor.view(np.int64), content.view(np.int64)
+        salt = np.zeros(len(a), dtype=np.int32)
+        if len(anchors_):
+            where = np.minimum(np.searchsorted(anchors_, a), len(anchors_) - 1)
+            spread = np.flatnonzero(anchors_[where] == a)
+            salt[spread] = 1 + (content[spread] % salts[where[spread]].astype(np.uint64)).astype(np.int32)
+        order = np.lexsort((ids, c, a))
+        new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])))
+        least = np.empty(len(a), dtype=np.int64)
+        least[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+        settled = ids > least
+        a = np.where(settled, mixed((ids.astype(np.uint64) << np.uint64(32)) ^ at.astype(np.uint64)).view(np.int64), a)
+        salt[settled] = -1
+        yield pd.DataFrame({"a": a, "salt": salt, "c": c, "id": ids, "digest": digests, "place": at * 512 + n})
 
 
 def _windows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
@@ -202,32 +237,26 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     """id, digest, spans: array of (at, n), the windows (first one, how many) of texts (id, digest, text) that also start in a text of a smaller id."""
     spark = spark_of(texts)
     small_batches(spark, 250)
-    own = texts.select("id", "text")
-    keys = own.mapInPandas(lambda it: _counted(it, window, rounds), "a long, low long, high long, n long")
-    shared = keys.groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high")
-    shared = materialize(shared.select("a", "low", "n"), "recompression-shared")
-    rows = texts.mapInPandas(lambda it: _placed(it, window, rounds), "a long, id long, digest int, at int, n int, c long")
-    spread = F.xxhash64("id", "at")
-    members = salted_join(rows, shared.select("a", "low"), ["a"], hot_keys(shared, ["a"], "n"), spread)
-    members = materialize(members, "recompression-members")
-    pieces = members.groupBy("a", "c", "low").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    pieces = materialize(pieces, "recompression-pieces")
-    # an anchor of one content, or whose contents all begin in its first document, has no more to tell
-    several = pieces.groupBy("a").agg(F.count("*").alias("contents"), F.max("first").alias("most"), F.min("low").alias("low")).where("contents > 1 and most > low")
-    several = materialize(several.select("a", "contents"), "recompression-several")
-    flagged = salted_join(pieces, several.select("a", F.lit(True).alias("open")), ["a"], hot_keys(several, ["a"], "contents"), F.col("c"), "left")
-    flagged = materialize(flagged.select("a", "c", "first", "rows", F.coalesce("open", F.lit(False)).alias("open")), "recompression-pieces")
-    met = salted_join(members, flagged.drop("rows"), ["a", "c"], hot_keys(flagged, ["a", "c"], "rows"), spread)
-    met = materialize(met.where((F.col("id") > F.col("first")) | F.col("open")).select("id", "digest", "at", "n", "low", "first"), "recompression-met")
+    hot = hot_anchors(texts, window, rounds)
+    rows = texts.mapInPandas(lambda it: _placed(it, window, rounds, hot), "a long, salt int, c long, id long, digest int, place long")
+    # one exchange by anchor serves both: the segments of an anchor (or of a salt of it), and of those the equal ones
+    anchor, equal = Window.partitionBy("a", "salt"), Window.partitionBy("a", "salt", "c")
+    met = rows.withColumns({"low": F.min("id").over(anchor), "several": F.min("c").over(anchor) != F.max("c").over(anchor), "first": F.min("id").over(equal)})
+    settled, repeat, salted = F.col("salt") < 0, F.col("id") > F.col("first"), F.col("salt") > 0
+    # what salts of an anchor don't know of each other is left to its windows
+    later = salted | (F.col("first") > F.col("low"))
+    met = met.where(settled | repeat | salted | F.col("several"))
+    span = F.struct(F.floor(F.col("place") / 512).cast("int").alias("at"), (F.col("place") % 512).cast("int").alias("n"))
+    met = materialize(met.select("id", "digest", span.alias("span"), (settled | repeat).alias("whole"), later.alias("later")), "recompression-met")
     # segments of a later document are whole repeats; those of the first are compared window by window
-    whole = met.where("id > first").select("id", "digest", F.struct("at", "n").alias("span"))
-    edges = met.where("id = first").groupBy("id", "digest").agg(F.collect_list(F.struct("at", "n", (F.col("first") > F.col("low")).alias("later"))).alias("wants"))
+    whole = met.where("whole").select("id", "digest", "span")
+    edges = met.where("not whole").groupBy("id", "digest").agg(F.collect_list(F.struct("span.at", "span.n", "later")).alias("wants"))
     asked = texts.join(edges.hint("merge"), ["id", "digest"])
     windows = asked.select("id", "digest", "text", "wants").mapInPandas(lambda it: _windows(it, window), "p long, q long, id long, digest int, at int, later boolean")
     windows = materialize(windows, "recompression-windows")
     earlier = windows.groupBy("p", "q").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows")).where("low < high")
     earlier = materialize(earlier.select("p", "q", "low", "rows"), "recompression-earlier")
-    late = salted_join(windows.where("later"), earlier.drop("rows"), ["p", "q"], hot_keys(earlier, ["p", "q"], "rows"), spread)
+    late = salted_join(windows.where("later"), earlier.drop("rows"), ["p", "q"], hot_keys(earlier, ["p", "q"], "rows"), F.xxhash64("id", "at"))
     single = late.where("id > low").select("id", "digest", F.struct("at", F.lit(1).alias("n")).alias("span"))
     return whole.unionByName(single).groupBy("id", "digest").agg(F.collect_list("span").alias("spans"))
 

@@ -67,6 +67,18 @@ def test_few_words_long_runs_and_periods(spark, monkeypatch, window):
     assert rows_of(df, window=window) == wanted(rows, window)
 
 
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_SEGMENTS", 3)
+    monkeypatch.setattr(R, "HOT_ANCHORS", 10_000)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdef", k=4))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, f"{' '.join(word() for _ in range(i % 5))} {passage} {' '.join(word() for _ in range(i % 7))}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(R.hot_anchors(df, 13, 2)[0]) > 2
+    assert rows_of(df) == wanted(rows)
+
+
 def test_query_matches_brute_force(spark):
     from tessera.llm import queries
 
