@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SPACE, folded, like, target_matches, trimmed
@@ -108,6 +108,32 @@ def first_hits(files: DataFrame, targets: DataFrame, may: Callable[[Column, Colu
     return best.select("target", "f.*")
 
 
+def declares(line: Column, target: Column) -> Column:
+    """line declares target: its name before one of `( < : {`, after a keyword, names and types alone."""
+    name = F.concat(F.lit("\\Q"), F.replace(stripped(target), F.lit("\\E"), F.lit("")), F.lit("\\E"))
+    return F.rlike(line, F.concat(F.lit(f"(?i)^\\s*(?:{KEYWORD})?[\\s\\w<>\\[\\],.*]*\\b"), name, F.lit("\\b\\s*[(<:{]")))
+
+
+def holds(line: Column, target: Column) -> Column:
+    """line starts with a keyword and holds target; exact and empty targets are held by none."""
+    return line.rlike(f"(?i)^\\s*(?:{KEYWORD})\\b") & like(line, stripped(target)) & ~target.startswith("=") & (trimmed(stripped(target)) != "")
+
+
+def block(lines: str) -> Column:
+    """What belongs to the first of lines: to the end of its braces, or the deeper and blank lines that follow."""
+    rest = F.col(lines)
+    depth = lambda s: F.regexp_count(s, F.lit("\\{")) - F.regexp_count(s, F.lit("\\}"))
+    step = lambda a, s: F.struct((a["d"] + depth(s)).alias("d"), (a["open"] | F.contains(s, F.lit("{"))).alias("open"), (a["n"] + F.when(a["end"], 0).otherwise(1)).alias("n"), (a["end"] | ((a["open"] | F.contains(s, F.lit("{"))) & (a["d"] + depth(s) <= 0))).alias("end"))
+    zero = F.struct(F.lit(0).alias("d"), F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(False).alias("end"))
+    brace = F.aggregate(rest, zero, step, lambda a: F.when(a["end"], a["n"]))
+    indent = lambda s: F.length(F.regexp_extract(s, "^[ \\t]*", 0))
+    base = indent(F.get(rest, F.lit(0)))
+    stop = F.get(F.filter(F.sequence(F.lit(1), F.size(rest)), lambda i: F.coalesce((trimmed(F.get(rest, i)) != "") & (indent(F.get(rest, i)) <= base), F.lit(True))), F.lit(0))
+    opens = F.contains(F.get(rest, F.lit(0)), F.lit("{")) | F.coalesce(F.get(rest, F.lit(1)).rlike("^\\s*\\{"), F.lit(False))
+    n = F.when(opens, F.coalesce(brace, F.size(rest))).otherwise(stop)
+    return F.array_join(F.slice(rest, F.lit(1), n), "\n")
+
+
 def code_blocks_of(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """Declarations of symbols: from the line that declares a target, to the end of its braces or of its indentation; first file in path order.
 
@@ -118,22 +144,10 @@ def code_blocks_of(files: DataFrame, targets: DataFrame, key: str = "path", text
     the running depth is back at zero; any other takes the deeper or blank lines
     that follow.
     """
-    name = lambda t: F.concat(F.lit("\\Q"), F.replace(stripped(t), F.lit("\\E"), F.lit("")), F.lit("\\E"))
-    declares = lambda s, t: F.rlike(s, F.concat(F.lit(f"(?i)^\\s*(?:{KEYWORD})?[\\s\\w<>\\[\\],.*]*\\b"), name(t), F.lit("\\b\\s*[(<:{]")))
-    holds = lambda s, t: s.rlike(f"(?i)^\\s*(?:{KEYWORD})\\b") & like(s, stripped(t)) & ~t.startswith("=") & (trimmed(stripped(t)) != "")
     first = first_hits(files, targets, lambda c, t: like(c, stripped(t)), [declares, holds], key, text)
     rest = first.withColumn("__rest", F.slice("__lines", F.col("at") + 1, F.size("__lines")))
-    depth = lambda s: F.regexp_count(s, F.lit("\\{")) - F.regexp_count(s, F.lit("\\}"))
-    step = lambda a, s: F.struct((a["d"] + depth(s)).alias("d"), (a["open"] | F.contains(s, F.lit("{"))).alias("open"), (a["n"] + F.when(a["end"], 0).otherwise(1)).alias("n"), (a["end"] | ((a["open"] | F.contains(s, F.lit("{"))) & (a["d"] + depth(s) <= 0))).alias("end"))
-    zero = F.struct(F.lit(0).alias("d"), F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(False).alias("end"))
-    rest = rest.withColumn("__brace", F.aggregate("__rest", zero, step, lambda a: F.when(a["end"], a["n"])))
-    indent = lambda s: F.length(F.regexp_extract(s, "^[ \\t]*", 0))
-    base = indent(F.get(F.col("__rest"), F.lit(0)))
-    stop = F.get(F.filter(F.sequence(F.lit(1), F.size("__rest")), lambda i: F.coalesce((trimmed(F.get(F.col("__rest"), i)) != "") & (indent(F.get(F.col("__rest"), i)) <= base), F.lit(True))), F.lit(0))
-    head = F.get(F.col("__rest"), F.lit(0))
-    opens = F.contains(head, F.lit("{")) | F.get(F.col("__rest"), F.lit(1)).rlike("^\\s*\\{")
-    n = F.when(opens, F.coalesce("__brace", F.size("__rest"))).otherwise(stop)
-    return rest.select("target", "source", F.lit("code-symbol").alias("kind"), F.array_join(F.slice("__rest", F.lit(1), n), "\n").alias("content"))
+    return rest.select("target", "source", F.lit("code-symbol").alias("kind"), block("__rest").alias("content"))
+
 
 
 def excerpts(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
@@ -155,6 +169,13 @@ def json_node(document: Column, path: str) -> Column:
     return F.get_json_object(document, "$." + path)
 
 
+def json_value(document: Column, path: Column) -> Column:
+    """The node at the dotted object keys of path: strings as they are, others as JSON; null if there is none."""
+    # a quoted step of a path cannot hold a quote or a question mark, so such keys are looked up in the object
+    step = lambda a, k: F.when(k.rlike("['?]"), F.try_element_at(F.from_json(a, "map<string,string>"), k)).otherwise(F.call_function("get_json_object", a, F.concat(F.lit("$['"), k, F.lit("']"))))
+    return F.aggregate(F.split(path, "\\.", -1), document, step)
+
+
 def by_path(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
     """Files by their path, or for bare names the first of that name in path order; n_matches tells how many had it."""
     named = files.select(key, text, F.regexp_extract(key, "[^/]*$", 0).alias("__name"))
@@ -170,9 +191,7 @@ def json_targets(files: DataFrame, targets: DataFrame, key: str = "path", text:
     """Targets `file#a.b`: the node at the object keys a, b of the file, found as by by_path(). Strings as they are, other nodes as JSON; arrays have no keys. A file that is no JSON has no nodes."""
     asked = targets.select("target").distinct().where("contains(target, '#')").select("target", F.substring_index("target", "#", 1).alias("__file"), F.regexp_replace("target", "^[^#]*#", "").alias("__path"))
     held = by_path(files, asked.select(F.col("__file").alias("target")), key, text).select(F.col("target").alias("__file"), "source", "content")
-    quoted = lambda k: F.concat(F.lit("$['"), k, F.lit("']"))
-    node = F.aggregate(F.split("__path", "\\.", -1), F.col("content"), lambda a, k: F.call_function("get_json_object", a, quoted(k)))
-    found = held.join(F.broadcast(asked), "__file").withColumn("__node", node).where("__node is not null")
+    found = held.join(F.broadcast(asked), "__file").withColumn("__node", json_value(F.col("content"), F.col("__path"))).where("__node is not null")
     return found.select("target", F.concat("source", F.lit("#"), "__path").alias("source"), F.lit("json-node").alias("kind"), F.col("__node").alias("content"))
 
 

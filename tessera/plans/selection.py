@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import focus, search
+from tessera.operators import focus, fused, search
 from tessera.plans import table
 
 _FOLD = "translate(lower({c}), 'áàäâéèëêíìïîóòöôúùüûñç', 'aaaaeeeeiiiioooouuuunc')"
@@ -228,6 +228,46 @@ FROM (VALUES ('ev/5.json#k'), ('src1/'), ('00000001?.md'), ('no such thing 42'))
 """
 
 
+def focus_fused(spark, sf_dir):
+    """Six files a document, and targets of all ten kinds, resolved in one pass over the files."""
+    docs = table(spark, sf_dir, "documents")
+    i = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    files = [
+        (line("src/", F.col("source"), "/", i, ".md"), line(F.coalesce("text", F.lit("")), "\n## Topic t", F.col("doc_id") % 50, "\nabout ", i, "\n")),
+        (line("code/", i, ".go"), line("package p\n\nfunc Run", i, "(a int) {\n\tif a { b() }\n}\n")),
+        (line("db/", i, ".sql"), line("-- tables\nCREATE TABLE users_", i, " (\n  id int\n);\nselect 1")),
+        (line("law/", i, ".doc"), line("Preamble\nArtículo ", i, ". Of things\ntext of ", i, "\nArtículo none. Rest")),
+        (line("log/", i, ".log"), line("2024-01-05 entry", i, " began\n more\n2024-01-06 entry", i, " ended\n2024-01-07 other")),
+        (line("conf/", i, ".json"), line('{"a": {"it\'s": "v', i, '"}}')),
+    ]
+    each = F.array(*[F.struct(p.alias("path"), c.alias("content")) for p, c in files])
+    n = lambda k: f"{k:09d}"
+    asked = [f"db/{n(3)}.sql", f"{n(4)}.go", "src/src1/", f"{n(5)}.json#a.it's", f"USERS_{n(6)}", f"Run{n(7)}()", "topic T7", f"articulo {n(8)}", f"Entry{n(9)}", "law/00000001?.doc", f"about {n(11)}", "began more", "no such thing 42"]
+    targets = spark.createDataFrame([(t,) for t in asked], "target string")
+    found = fused.fused(docs.select(F.inline(each)), targets)
+    return found.select("target", "source", "kind", F.sha2("content", 256).alias("content_sha256"), "prio")
+
+
+_FUSED = """
+WITH d AS (SELECT doc_id, source, lpad(doc_id::VARCHAR, 9, '0') AS i, coalesce(text, '') || chr(10) || '## Topic t' || (doc_id % 50) || chr(10) || 'about ' || lpad(doc_id::VARCHAR, 9, '0') || chr(10) AS md FROM documents
+), f AS (SELECT *, 'src/' || source || '/' || i || '.md' AS path, 'package p' || chr(10) || chr(10) || 'func Run' || i || '(a int) {' || chr(10) || chr(9) || 'if a { b() }' || chr(10) || '}' AS fn, '-- tables' || chr(10) || 'CREATE TABLE users_' || i || ' (' || chr(10) || '  id int' || chr(10) || ');' AS ddl FROM d
+), r AS (
+  SELECT 'db/000000003.sql' AS target, 'db/' || i || '.sql' AS source, 'file' AS kind, ddl || chr(10) || 'select 1' AS content, 0 AS prio FROM f WHERE doc_id = 3
+  UNION ALL SELECT '000000004.go', 'code/' || i || '.go', 'file', fn || chr(10), 0 FROM f WHERE doc_id = 4
+  UNION ALL SELECT 'src/src1/', 'src/src1', 'dir-index', 'src/src1(' || count(*) || '): ' || array_to_string(list_sort(list(i || '.md'))[1:1000], ', ') || CASE WHEN count(*) > 1000 THEN ', ...' ELSE '' END, 1 FROM f WHERE source = 'src1' HAVING count(*) > 0
+  UNION ALL SELECT '000000005.json#a.it''s', 'conf/' || i || '.json#a.it''s', 'json-node', 'v' || i, 2 FROM f WHERE doc_id = 5
+  UNION ALL SELECT 'USERS_000000006', 'db/' || i || '.sql', 'sql', 'CREATE TABLE users_' || i || ' (' || chr(10) || '  id int' || chr(10) || ');', 3 FROM f WHERE doc_id = 6
+  UNION ALL SELECT 'Run000000007()', 'code/' || i || '.go', 'code-symbol', substr(fn, 12), 4 FROM f WHERE doc_id = 7
+  UNION ALL SELECT 'topic T7', path, 'doc-section', '## Topic t7' || chr(10) || 'about ' || i || chr(10), 5 FROM f WHERE doc_id % 50 = 7
+  UNION ALL SELECT 'articulo 000000008', 'law/' || i || '.doc', 'legal-article', 'Artículo ' || i || '. Of things' || chr(10) || 'text of ' || i, 6 FROM f WHERE doc_id = 8
+  UNION ALL SELECT 'Entry000000009', 'log/' || i || '.log', 'chronological', '2024-01-05 entry' || i || ' began' || chr(10) || ' more' || chr(10) || '---' || chr(10) || '2024-01-06 entry' || i || ' ended', 7 FROM f WHERE doc_id = 9
+  UNION ALL SELECT 'law/00000001?.doc', 'law/' || i || '.doc', 'file', 'Preamble' || chr(10) || 'Artículo ' || i || '. Of things' || chr(10) || 'text of ' || i || chr(10) || 'Artículo none. Rest', 8 FROM f WHERE doc_id BETWEEN 10 AND 19
+  UNION ALL SELECT 'about 000000011', path, 'bounded-excerpt', array_to_string(string_split(md, chr(10))[greatest(1, len(string_split(md, chr(10))) - 11):], chr(10)), 9 FROM f WHERE doc_id = 11)
+SELECT target, source, kind, sha256(content) AS content_sha256, prio::INT AS prio FROM r
+"""
+
+
 def legal_sections(spark, sf_dir):
     """Legal sections: every fourth line of a document is an article's heading, which names its line."""
     mark = lambda s, i: F.when(i % 4 == 1, F.concat(F.lit("Artículo "), i.cast("string"), F.lit(". "), s)).otherwise(s)
@@ -278,6 +318,7 @@ QUERIES = {
     "focus_cascade": (focus_cascade, _CASCADE),
     "code_symbols": (code_symbols, _SYMBOLS),
     "focus_resolvers": (focus_resolvers, _RESOLVERS),
+    "focus_fused": (focus_fused, _FUSED),
     "legal_sections": (legal_sections, _LEGAL),
     "directory_index": (directory_index, _INDEX),
     "json_node": (json_node, "SELECT event_id, json_extract_string(props, '$.k') AS node FROM events"),
