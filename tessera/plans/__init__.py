@@ -11,10 +11,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def registry() -> dict[str, tuple[Query, str | None]]:
     """name: (query, DuckDB SQL or None)."""
-    from tessera.plans import budgets, conversations, files, gates, memories, requests, selection, streams, texts
+    from tessera.plans import budgets, conversations, files, gates, memories, requests, searches, selection, streams, texts
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (texts, budgets, gates, selection, conversations, requests, files, memories, streams):
+    for module in (texts, budgets, gates, selection, conversations, requests, files, memories, searches, streams):
         found |= module.QUERIES
     return found
 
