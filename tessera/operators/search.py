@@ -83,6 +83,27 @@ def deleted(date: Column, archived: Column, all_: bool = False, on: str | None =
     return F.coalesce(hit, F.lit(False))
 
 
+def deleted_by(entries: DataFrame, requests: DataFrame, key: str = "project") -> tuple[DataFrame, DataFrame]:
+    """(requests with deleted, the entries that stay) of delete requests (key, seq, mode, since, until) for logs.
+
+    entries: key, entry_ord, entry_date, archived. mode: `archived` (archives
+    alone go), `all`, `date` (the day `since`) or `range` (days since to until;
+    both are needed). Days apply to entries that are not archived and have a
+    date. An entry is counted by the first request, in order of seq, that it
+    falls under. Requests that delete nothing, of a log that is not there or of
+    another mode, have 0. A request has one row, its log may have any number: a
+    join by key, whose hot ones adaptive execution splits.
+    """
+    asked = requests.select(F.col(key).alias("__key"), F.col("seq").alias("__seq"), "mode", F.col("since").cast("date").alias("__since"), F.col("until").cast("date").alias("__until"))
+    date = F.col("entry_date")
+    days = ((F.col("mode") == "date") & (date == F.col("__since"))) | ((F.col("mode") == "range") & date.between(F.col("__since"), F.col("__until")))
+    hit = (F.col("mode") == "all") | ((F.col("mode") == "archived") & F.col("archived")) | (~F.col("archived") & days)
+    gone = entries.join(asked, (F.col(key) == F.col("__key")) & hit).groupBy(key, "entry_ord").agg(F.min("__seq").alias("seq"))
+    counts = gone.groupBy(key, "seq").agg(F.count("*").alias("deleted"))
+    told = requests.join(counts, [key, "seq"], "left").withColumn("deleted", F.coalesce("deleted", F.lit(0)).cast("long"))
+    return told, entries.join(gone.select(key, "entry_ord"), [key, "entry_ord"], "left_anti")
+
+
 def like_top(docs: DataFrame, query: str, name: str, text: str, limit: int = 20) -> DataFrame:
     """The first `limit` rows by name whose name or text holds the query, blind to case, all with score 0.5."""
     q = F.lit(query.lower())

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import layout
 from tessera.operators import assembly
 from tessera.plans import table
-from tessera.sources import files
+from tessera.sources import files, sheets
 
 
 def patch_unique(spark, sf_dir):
@@ -33,6 +34,35 @@ SELECT p_brand, col, type, count(*)::BIGINT AS n, sum(CASE WHEN type = 'number'
 """
 
 
+def quoted_sheets(spark, sf_dir):
+    """A sheet for each part: with commas or tabs and quoted cells of two lines, or as JSON; every seventh has a stray quote."""
+    part = table(spark, sf_dir, "part")
+    key, name, size = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")
+    row = lambda d: F.concat(key, F.lit(d), F.lit('"'), name, F.lit(', ""big""\n2nd line"'), F.lit(d), size, F.lit(f"{d}\r\n\r\n1e3{d}x{d}{d}z\n"))
+    cell = lambda kind, value: F.concat(F.lit(f'{{"type":"{kind}","value":"'), value, F.lit('"}'))
+    json = F.concat(F.lit('{"Parts":[['), cell("number", key), F.lit(","), cell("string", name), F.lit("]]}"))
+    text = F.when(F.col("p_partkey") % 7 == 0, F.concat(key, F.lit(',a"b'))).when(F.col("p_partkey") % 3 == 0, row(",")).when(F.col("p_partkey") % 3 == 1, row("\t")).otherwise(json)
+    cells, errors = sheets.parsed_sheets(part.select("p_partkey", text.alias("text")), "p_partkey")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("sheet", "string"), ("row", "int"), ("col", "int"), ("type", "string"))]
+    return cells.unionByName(errors.select("p_partkey", *none, F.col("error").alias("value")))
+
+
+_QUOTED = """
+WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS k, p_name, p_size::VARCHAR AS s, p_partkey % 7 = 0 AS bad, p_partkey % 3 AS m FROM part
+), c AS (SELECT p_partkey, unnest([(0, 0, 'number', k), (0, 1, 'string', p_name || ', "big"' || chr(10) || '2nd line'), (0, 2, 'number', s), (0, 3, 'string', ''), (1, 0, 'number', '1e3'), (1, 1, 'string', 'x'), (1, 2, 'string', ''), (1, 3, 'string', 'z')]) AS t FROM p WHERE NOT bad AND m < 2
+  UNION ALL SELECT p_partkey, unnest([(0, 0, 'number', k), (0, 1, 'string', p_name)]) FROM p WHERE NOT bad AND m = 2)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 'Parts' ELSE 'Sheet1' END AS sheet, t[1]::INT AS row, t[2]::INT AS col, t[3] AS type, t[4] AS value FROM c
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, 'quotes' FROM p WHERE bad
+"""
+
+
+def page_layout(spark, sf_dir):
+    """Documents on pages: each line of a text is a block, broken at 80 code points; lines, pages, digest of all lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda b: layout.wrapped(b)).alias("blocks"))
+    sized = docs.withColumn("page_of", layout.pages_of(F.transform("blocks", lambda b: F.size(b))))
+    return sized.select("doc_id", F.size(F.flatten("blocks")).cast("long").alias("lines"), F.array_max("page_of").cast("long").alias("pages"), F.sha2(F.array_join(F.flatten("blocks"), "\n"), 256).alias("lines_sha256"))
+
+
 def context_assembly(spark, sf_dir):
     """A context per conversation: system turns as header, the rest as memory, with variables filled in."""
     turns = table(spark, sf_dir, "conversations")
@@ -67,6 +97,8 @@ SELECT name, path FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY r
 QUERIES = {
     "patch_unique": (patch_unique, _PATCH),
     "sheet_cells": (sheet_cells, _SHEET),
+    "quoted_sheets": (quoted_sheets, _QUOTED),
+    "page_layout": (page_layout, None),
     "context_assembly": (context_assembly, _CONTEXT),
     "knowledge_lookup": (knowledge_lookup, _KNOWLEDGE),
 }

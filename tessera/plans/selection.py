@@ -132,6 +132,32 @@ SELECT event_type, count(*) FILTER (day BETWEEN a AND b)::BIGINT AS deleted, (co
 """
 
 
+def memory_deletes(spark, sf_dir):
+    """A table of delete requests for the logs, two for each: all four modes. Entries older than ten days count as archived."""
+    entries = search.entries(memory_log(spark, sf_dir), "event_type")
+    last = table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("last"), F.to_date(F.min("ts")).alias("first"))
+    logs = entries.select("event_type").distinct()
+    entries = entries.join(F.broadcast(last)).withColumn("archived", F.coalesce(F.col("entry_date") < F.date_sub("last", 10), F.lit(False))).drop("last", "first")
+    asked = logs.join(F.broadcast(last))
+    first = F.when(F.col("event_type") < "d", "archived").when(F.col("event_type") < "f", "range").when(F.col("event_type") < "q", "date").otherwise("all")
+    one = asked.select("event_type", F.lit(1).alias("seq"), first.alias("mode"), F.date_sub("last", 5).alias("since"), F.date_sub("last", 2).alias("until"))
+    two = asked.select("event_type", F.lit(2).alias("seq"), F.lit("range").alias("mode"), F.date_sub("last", 3).alias("since"), F.col("last").alias("until"))
+    none = asked.select("event_type", F.lit(3).alias("seq"), F.lit("range").alias("mode"), F.col("last").alias("since"), F.lit(None).cast("date").alias("until"))
+    told, left = search.deleted_by(entries, one.union(two).union(none), "event_type")
+    stays = left.groupBy("event_type").agg(F.count("*").alias("kept"))
+    return told.join(stays, "event_type", "left").select("event_type", "seq", "mode", "deleted", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
+
+
+_DELETES = f"""
+WITH d AS ({_DAYS}), b AS (SELECT max(ts)::DATE AS last FROM events
+), e AS (SELECT event_type, day, day < last - 10 AS archived, last FROM d, b UNION ALL SELECT DISTINCT event_type, NULL::DATE, false, last FROM d, b
+), r AS (SELECT *, CASE WHEN event_type < 'd' THEN 'archived' WHEN event_type < 'f' THEN 'range' WHEN event_type < 'q' THEN 'date' ELSE 'all' END AS mode FROM e
+), h AS (SELECT *, CASE mode WHEN 'archived' THEN archived WHEN 'range' THEN NOT archived AND coalesce(day BETWEEN last - 5 AND last - 2, false) WHEN 'date' THEN NOT archived AND coalesce(day = last - 5, false) ELSE true END AS a, NOT archived AND coalesce(day BETWEEN last - 3 AND last, false) AS z FROM r
+), c AS (SELECT event_type, mode, count(*) FILTER (a)::BIGINT AS one, count(*) FILTER (z AND NOT a)::BIGINT AS two, count(*) FILTER (NOT a AND NOT z)::BIGINT AS kept FROM h GROUP BY 1, 2)
+SELECT event_type, seq::INT AS seq, CASE seq WHEN 1 THEN mode ELSE 'range' END AS mode, CASE seq WHEN 1 THEN one WHEN 2 THEN two ELSE 0 END::BIGINT AS deleted, kept FROM c, unnest([1, 2, 3]) u(seq)
+"""
+
+
 def headed(spark, sf_dir):
     """Documents as files with a heading on every third line and a date on every fifth."""
     mark = lambda s, i: F.when(i % 3 == 1, F.concat(F.lit("## "), s)).when(i % 5 == 2, F.concat(F.lit("2024-01-0"), (i % 9 + 1).cast("string"), F.lit(" "), s)).otherwise(s)
@@ -313,6 +339,7 @@ QUERIES = {
     "like_top": (like_top, _LIKE_TOP),
     "excluded_scan": (excluded_scan, _EXCLUDED),
     "memory_delete_range": (memory_delete_range, _DELETE),
+    "memory_deletes": (memory_deletes, _DELETES),
     "section_extract": (section_extract, _SECTION),
     "dated_entries": (dated_entries, _DATED),
     "focus_cascade": (focus_cascade, _CASCADE),
