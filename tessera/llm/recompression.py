@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import hot_keys, materialize, salted_join, small_batches, spark_of
 
+#: Of a window of 13 words one round leaves some eight symbols inside, a second some three: then anchors change more often, and half as many segments more have to meet.
 WINDOW = 13
-ROUNDS = 2
+ROUNDS = 1
 #: Windows that are named at once; windows of a segment at most.
 CHUNK = 1 << 16
 SEGMENT_WINDOWS = 256
@@ -93,19 +94,24 @@ def _largest(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(x: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
-    """The anchor of each window of the names x, the same for equal windows in any surroundings."""
+def anchors(x: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its first word, its number of words) of each window of the names x, the same for equal windows in any surroundings.
+
+    Of several equal symbols the first in the window counts. Windows without an
+    interior have themselves as anchor; their first word is told as -1.
+    """
     out = window_names(x, window, _A)
+    at, words = np.full(len(out), -1, dtype=np.int64), np.full(len(out), window, dtype=np.int64)
     live = np.arange(len(out))
     lo, hi = live, live + window
-    width = np.ones(len(x), dtype=np.int64)
+    begin, width = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
     for round_ in range(rounds):
         first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
         count = np.diff(np.append(first, len(x)))
         run = np.repeat(np.arange(len(first)), count)
         lo, hi = run[lo] + 1, run[hi - 1]
         x = np.where(count > 1, mixed(x[first] + _A * count.astype(np.uint64)), x[first])
-        width = np.add.reduceat(width, first)
+        begin, width = begin[first], np.add.reduceat(width, first)
         inside = lo < hi
         live, lo, hi = live[inside], lo[inside], hi[inside]
         right = mixed(x ^ mixed(np.full(1, round_ + 1, dtype=np.uint64))) >> np.uint64(63) == 1
@@ -119,30 +125,56 @@ def anchors(x: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.nda
         paired = np.diff(np.append(first, len(x))) == 2
         joined = x[first]
         joined[paired] = mixed(joined[paired] * _A + mixed(x[first[paired] + 1]))
-        width = np.add.reduceat(width, first)
+        begin, width = begin[first], np.add.reduceat(width, first)
         lo, hi = number[lo], number[hi - 1] + 1
         x = joined
         # longer symbols are larger, so they are anchors before shorter ones
         keys = (np.minimum(width, 63).astype(np.uint64) << np.uint64(58)) | (mixed(x ^ _C) >> np.uint64(6))
-        out[live] = _largest(keys, lo, hi)
-    return out
+        best = _largest(keys, lo, hi)
+        place, open_ = lo.copy(), np.flatnonzero(keys[lo] != best)
+        while len(open_):  # on to the first that is the largest; there is one
+            place[open_] += 1
+            open_ = open_[keys[place[open_]] != best[open_]]
+        out[live], at[live], words[live] = best, begin[place], width[place]
+    return out, at, words
+
+
+def _sides(x: np.ndarray, at: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """Names of 32 bits of the words left and right of anchors, as one number each. lo, hi: edges of the anchors' texts.
+
+    A window has half of its other words on one side of its anchor at least, so
+    segments that share one are named alike on that side. A side without so
+    many words is named by its place.
+    """
+    need = np.maximum((window - words + 1) // 2, 0)
+    left, right = (mixed(at.astype(np.uint64) ^ f) for f in (_A, _C))
+    for k in np.unique(need):
+        own = np.flatnonzero(need == k)
+        for names, first in ((left, at[own] - k), (right, at[own] + words[own])):
+            ok = (first >= lo[own]) & (first + k <= hi[own])
+            total = np.zeros(int(ok.sum()), dtype=np.uint64)
+            for i in range(int(k)):
+                total = (total + x[first[ok] + i]) * _B
+            names[own[ok]] = mixed(total)
+    return (left & ~np.uint64(0xFFFFFFFF)) | (right >> np.uint64(32))
 
 
 def segments(texts: list[list[bytes]], window: int, names: Names, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(anchor, text, first window, number of windows, content) of the segments of texts in words."""
+    """(anchor, text, first window, number of windows, content, sides) of the segments of texts in words."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     x = np.fromiter((names[w] for t in texts for w in t), dtype=np.uint64, count=int(sizes.sum()))
     text = np.repeat(np.arange(len(texts)), sizes)
-    begin = np.cumsum(sizes) - sizes
+    end = np.cumsum(sizes)
+    begin = end - sizes
     power = np.cumprod(np.full(SEGMENT_WINDOWS, _B, dtype=np.uint64))
     found: list[tuple[np.ndarray, ...]] = []
     for s in range(0, len(x) - window + 1, CHUNK):
         part = x[s : s + CHUNK + window - 1]
         n = len(part) - window + 1
         own = text[s : s + n]
-        anchor, whole = anchors(part, window, rounds), window_names(part, window, _C)
+        (anchor, at, words), whole = anchors(part, window, rounds), window_names(part, window, _C)
         ok = own == text[s + window - 1 : s + window - 1 + n]  # no window reaches over two texts
-        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]) | (ok[1:] != ok[:-1]))))
+        first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (ok[1:] != ok[:-1]))))
         count = np.diff(np.append(first, n))
         if count.max() > SEGMENT_WINDOWS:
             pieces = -(-count // SEGMENT_WINDOWS)
@@ -153,10 +185,15 @@ def segments(texts: list[list[bytes]], window: int, names: Names, rounds: int =
         content = np.add.reduceat(whole * power[place], first) ^ (count.astype(np.uint64) * _A)
         ok = ok[first]
         first, count, content = first[ok], count[ok], content[ok]
-        found.append((anchor[first], own[first], s + first - begin[own[first]], count, content))
+        doc = own[first]
+        # windows that are their own anchors have no sides: all are alike
+        sides = np.zeros(len(first), dtype=np.uint64)
+        known = np.flatnonzero(at[first] >= 0)
+        sides[known] = _sides(x, s + at[first[known]], words[first[known]], begin[doc[known]], end[doc[known]], window)
+        found.append((anchor[first], doc, s + first - begin[doc], count, content, sides))
     if not found:
         none = np.empty(0, dtype=np.int64)
-        return none.view(np.uint64), none, none, none, none.view(np.uint64)
+        return none.view(np.uint64), none, none, none, none.view(np.uint64), none.view(np.uint64)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -191,7 +228,7 @@ def _placed(frames: Iterator[pd.DataFrame], window: int, rounds: int, hot: tuple
     names = Names()
     anchors_, salts = hot
     for frame in frames:
-        anchor, text, at, n, content = segments([split(t) for t in frame["text"]], window, names, rounds)
+        anchor, text, at, n, content, sides = segments([split(t) for t in frame["text"]], window, names, rounds)
         if not len(anchor):
             continue
         ids, digests = (frame[c].to_numpy()[text] for c in ("id", "digest"))
@@ -208,7 +245,7 @@ def _placed(frames: Iterator[pd.DataFrame], window: int, rounds: int, hot: tuple
         settled = ids > least
         a = np.where(settled, mixed((ids.astype(np.uint64) << np.uint64(32)) ^ at.astype(np.uint64)).view(np.int64), a)
         salt[settled] = -1
-        yield pd.DataFrame({"a": a, "salt": salt, "c": c, "id": ids, "digest": digests, "place": at * 512 + n})
+        yield pd.DataFrame({"a": a, "salt": salt, "c": c, "id": ids, "digest": digests, "place": at * 512 + n, "sides": sides.view(np.int64)})
 
 
 def _windows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
@@ -238,10 +275,13 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     spark = spark_of(texts)
     small_batches(spark, 250)
     hot = hot_anchors(texts, window, rounds)
-    rows = texts.mapInPandas(lambda it: _placed(it, window, rounds, hot), "a long, salt int, c long, id long, digest int, place long")
+    rows = texts.mapInPandas(lambda it: _placed(it, window, rounds, hot), "a long, salt int, c long, id long, digest int, place long, sides long")
     # one exchange by anchor serves both: the segments of an anchor (or of a salt of it), and of those the equal ones
     anchor, equal = Window.partitionBy("a", "salt"), Window.partitionBy("a", "salt", "c")
-    met = rows.withColumns({"low": F.min("id").over(anchor), "several": F.min("c").over(anchor) != F.max("c").over(anchor), "first": F.min("id").over(equal)})
+    met = rows.withColumns({"low": F.min("id").over(anchor), "first": F.min("id").over(equal), "left": F.shiftright("sides", 32), "right": F.col("sides").bitwiseAND(0xFFFFFFFF)})
+    # only different contents that are alike on a side of the anchor can share a window
+    differs = [F.min("c").over(Window.partitionBy("a", "salt", side)) != F.max("c").over(Window.partitionBy("a", "salt", side)) for side in ("left", "right")]
+    met = met.withColumn("several", differs[0] | differs[1])
     settled, repeat, salted = F.col("salt") < 0, F.col("id") > F.col("first"), F.col("salt") > 0
     # what salts of an anchor don't know of each other is left to its windows
     later = salted | (F.col("first") > F.col("low"))
