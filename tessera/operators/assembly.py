@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import trimmed
 from tessera.operators.sanitize import dedupe_paragraphs
 
 SECTIONS = ("header", "agents", "skills", "prompt", "focus", "memory", "instruction")
@@ -93,3 +94,33 @@ def knowledge(files: DataFrame, wanted: DataFrame) -> DataFrame:
     hits = wanted.join(f, ["kind", "name"]).withColumn("rank", rank)
     best = hits.groupBy("kind", "domain", "lang", "name").agg(F.min_by(F.struct("path", "content"), F.struct("rank", "path")).alias("b"))
     return best.select("kind", "domain", "lang", "name", "b.*")
+
+
+def knowledge_files(files: DataFrame, wanted: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """wanted (kind, domain, lang, name) with place, path and content: the file `name.md` of the first of ten places that has one with text.
+
+    Below `kinds/`: 1 domain/i18n/lang, 2 domain/i18n/en, 3 domain/lang,
+    4 domain/en, 5 domain, 6 right there, each exactly; then anywhere below
+    7 domain/i18n/lang, 8 domain/i18n/en, 9 domain, 10 kinds: the first file in
+    the order of a walk, which goes by names folder by folder; a first file
+    without text ends its walk. Null and empty domains are `base`, languages
+    `es`. Requests meet files by kind and file name, and each walk is a minimum,
+    so no listing is made.
+    """
+    asked = wanted.select("kind", "domain", "lang", "name").distinct()
+    fallback = lambda c, v: F.when(F.coalesce(c, F.lit("")) == "", v).otherwise(F.col(c))
+    asked = asked.withColumns({"__d": fallback("domain", "base"), "__l": fallback("lang", "es"), "__dir": F.concat("kind", F.lit("s")), "__file": F.concat("name", F.lit(".md"))})
+    asked = asked.withColumn("__last", F.regexp_extract("__file", "[^/]*$", 0))
+    parts = F.split(path, "/")
+    held = files.where(F.col(path).endswith(".md")).select(F.get(parts, F.lit(0)).alias("__dir"), F.element_at(parts, -1).alias("__last"), F.col(path).alias("__path"), parts.alias("__parts"), (F.coalesce(trimmed(F.col(content)), F.lit("")) == "").alias("__blank"))
+    at = lambda *steps: F.concat_ws("/", "__dir", *steps)
+    d, lang, en, i18n, file = F.col("__d"), F.col("__l"), F.lit("en"), F.lit("i18n"), F.col("__file")
+    exact = [F.col("__path") == at(*steps, file) for steps in ((d, i18n, lang), (d, i18n, en), (d, lang), (d, en), (d,), ())]
+    bare = ~F.contains(file, F.lit("/"))
+    below = [bare & F.startswith(F.col("__path"), F.concat(at(*steps), F.lit("/"))) for steps in ((d, i18n, lang), (d, i18n, en), (d,), ())]
+    places = F.filter(F.array(*[F.when(c, i + 1) for i, c in enumerate(exact + below)]), lambda p: p.isNotNull())
+    met = asked.join(held, ["__dir", "__last"]).withColumn("place", F.explode(places))
+    first = met.groupBy("kind", "domain", "lang", "name", "place").agg(F.min_by(F.struct("__path", "__blank"), "__parts").alias("f")).where("not f.__blank")
+    best = first.groupBy("kind", "domain", "lang", "name").agg(F.min(F.struct("place", F.col("f.__path").alias("path"))).alias("b"))
+    texts = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    return best.select("kind", "domain", "lang", "name", "b.place", "b.path").join(texts, "path")

@@ -3,8 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 from tessera.functions import layout
-from tessera.operators import search
-from tessera.sources import sheets
+from tessera.operators import assembly, groups, pii, search
+from tessera.sources import configs, sheets
 
 
 def brute_wrap(text, width):
@@ -75,3 +75,35 @@ def test_delete_requests(spark):
     told, left = search.deleted_by(entries, spark.createDataFrame(asked, "project string, seq int, mode string, since string, until string"))
     assert {(r["project"], r["seq"]): r["deleted"] for r in told.collect()} == {("p", 1): 1, ("p", 2): 1, ("p", 3): 1, ("q", 1): 0, ("q", 2): 0, ("r", 1): 1, ("none", 1): 0}
     assert {(r["project"], r["entry_ord"]) for r in left.collect()} == {("p", 0), ("q", 0)}
+
+
+def test_places_of_knowledge(spark):
+    files = [("skills/d/i18n/de/a.md", "one"), ("skills/d/i18n/en/a.md", "two"), ("skills/d/i18n/de/b.md", " "), ("skills/d/en/b.md", "four"), ("skills/d/i18n/de/z/c.md", "walk"), ("skills/d/a-b/e.md", "later"), ("skills/d/a/e.md", ""), ("skills/d/a/z/e.md", "hidden"), ("skills/own/f.md", "custom"), ("skills/base/es/g.md", "default"), ("prompts/d/a.md", "other kind"), ("skills/d/s/t.md", "slash")]
+    asked = [("skill", "d", "de", n) for n in ("a", "b", "c", "e", "f", "none", "s/t")] + [("skill", None, "", "g"), ("skill", "d", "fr", "a")]
+    got = assembly.knowledge_files(spark.createDataFrame(files, "path string, content string"), spark.createDataFrame(asked, "kind string, domain string, lang string, name string"))
+    found = {(r["name"], r["lang"]): (r["place"], r["content"]) for r in got.collect()}
+    # the first file of the walk for e has no text, so nothing is found below it
+    assert found == {("a", "de"): (1, "one"), ("b", "de"): (4, "four"), ("c", "de"): (7, "walk"), ("f", "de"): (10, "custom"), ("s/t", "de"): (5, "slash"), ("g", ""): (3, "default"), ("a", "fr"): (2, "two")}
+
+
+def test_groups_of_agents(spark):
+    plan = groups.planned(spark.createDataFrame([("g", ["b", "a", "b"]), ("h", None), ("none", [])], "group string, agents array<string>"), spark.createDataFrame([("projects/h/z/project.json",), ("projects/h/c/project.json",), ("projects/h/deep/x/project.json",), ("projects/g/q/project.json",)], "path string"))
+    assert sorted(map(str, plan.collect())) == sorted(map(str, [plan.collect()[0].__class__(**r) for r in [dict(group="g", place=0, agent="b"), dict(group="g", place=1, agent="a"), dict(group="g", place=2, agent="b"), dict(group="h", place=0, agent="c"), dict(group="h", place=1, agent="z"), dict(group="none", place=0, agent=None)]]))
+    contexts = spark.createDataFrame([("g", "a", 5, "too long", None), ("g", "b", 3, None, "text"), ("h", "z", 1, None, "")], "group string, agent string, tokens long, error string, text string")
+    got = {(r["group"], r["place"]): (r["status"], r["text"]) for r in groups.run_group(plan, contexts).collect()}
+    assert got == {("g", 0): ("ok", "text"), ("g", 1): ("stopped", None), ("g", 2): ("ok", "text"), ("h", 0): ("missing", None), ("h", 1): ("ok", ""), ("none", 0): ("empty", None)}
+    only = groups.run_group(plan, contexts, ["z", "a"])
+    assert {(r["group"], r["place"], r["status"]) for r in only.collect()} == {("g", 0, "missing"), ("g", 1, "stopped"), ("h", 0, "ok"), ("h", 1, "missing"), ("none", 0, "missing"), ("none", 1, "missing")}
+
+
+def test_configs_that_cannot_be_read(spark):
+    good = '{"exchange_rate_clp": 900, "unit": "per_1m_tokens", "providers": {"p": {"m": {"input": 1.5, "output": 2}}}}'
+    rows = [("a", good), ("b", "{not json"), ("c", None), ("d", '{"providers": {}}'), ("e", '{"unit": "x"}')]
+    found, errors = configs.prices(spark.createDataFrame(rows, "root string, content string"))
+    assert [tuple(r) for r in found.collect()] == [("a", "p", "m", 1.5, 2.0, 1_000_000.0, 900.0)]
+    assert {r["root"]: r["error"] for r in errors.collect()} == {"b": "invalid", "c": "missing", "d": "no providers", "e": "no providers"}
+    rows = [("a", '{"pii_masking": {"min_score": 0.5, "hash_length": 4, "shape_rules": {"at_symbol_bonus": 0.9}}}'), ("b", "["), ("c", None), ("d", '{"pii_masking": {"min_score": 0, "hash_length": 4}}'), ("e", "{}")]
+    got = {r["root"]: r for r in configs.policies(spark.createDataFrame(rows, "root string, content string")).collect()}
+    own = configs.policy_of(got["a"])
+    assert (own.min_score, own.hash_length, own.at_symbol_bonus, own.tag_format, own.shape_weight) == (0.5, 4, 0.9, "", 0.0)
+    assert all(got[k]["shipped"] and configs.policy_of(got[k]) == pii.Policy() for k in "bcde")
