@@ -70,6 +70,10 @@ def system_apart(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     return turns.withColumn("is_system", (F.col("role") == "system") & (first == 1))
 
 
+#: Stands for a fence while a text is taken apart: no characters of texts.
+_FENCE = "\ufdd2\ufdd3"
+
+
 def _fenced(df: DataFrame, text: str) -> DataFrame:
     """df with __lines, __fence (is the line a fence) and __no (fences up to and with the line)."""
     held = df.withColumn("__lines", F.split(F.col(text), "\n", -1))
@@ -93,10 +97,12 @@ def code_blocks(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def strip_code(df: DataFrame, text: str = "text") -> DataFrame:
     """df with text outside fenced blocks, trimmed."""
-    held = _fenced(df, text)
-    inside = lambda i: F.size(F.filter("__fences", lambda f: f <= i)) % 2 == 1
-    kept = F.filter("__lines", lambda s, i: ~inside(i) & ~trimmed(s).startswith("```"))
-    return held.withColumn(text, trimmed(F.array_join(kept, "\n"))).drop("__lines", "__fences")
+    # fences become marks, and every second piece between them is outside; lines are looked at once
+    marked = F.array_join(F.transform(F.split(text, "\n", -1), lambda s: F.when(trimmed(s).startswith("```"), _FENCE).otherwise(s)), "\n")
+    pieces = F.split(F.concat(F.lit("\n"), marked, F.lit("\n")), _FENCE, -1)
+    # each has the line end of the fence before it and of that behind it, or one if it has no line
+    inner = F.transform(F.filter(pieces, lambda p, i: (i % 2 == 0) & (F.length(p) > 1)), lambda p: F.substr(p, F.lit(2), F.length(p) - 2))
+    return df.withColumn(text, trimmed(F.array_join(inner, "\n")))
 
 
 def with_likely_code(df: DataFrame, text: str = "text") -> DataFrame:

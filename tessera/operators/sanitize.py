@@ -89,13 +89,17 @@ def dedupe_headers(files: DataFrame, scope: str, order: str, name: str, text: st
     return out.select(*files.columns, "header_removed")
 
 
+def _pieces(text: Column) -> Column:
+    """What stands between the blank lines of a text."""
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n[\\t\\n\\f\\r ]*\n+", -1)
+
+
 def paragraphs(text: Column) -> Column:
     """array<struct<paragraph, h1, h2, n_bytes>>: the paragraphs of a text that are not blank; paragraph is trimmed, n_bytes is not.
 
     h1 and h2 are 64 bits each of the paragraph with its white space collapsed: 128 bits tell paragraphs apart.
     """
-    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n[\\t\\n\\f\\r ]*\n+", -1)
-    cut = F.transform(parts, lambda r: F.struct(trimmed(r).alias("paragraph"), F.octet_length(r).cast("long").alias("n_bytes")))
+    cut = F.transform(_pieces(text), lambda r: F.struct(trimmed(r).alias("paragraph"), F.octet_length(r).cast("long").alias("n_bytes")))
     key = lambda p: F.regexp_replace(p["paragraph"], "[\\s\\u0085\\p{Z}]+", " ")
     filled = F.filter(cut, lambda p: p["paragraph"] != "")
     return F.transform(filled, lambda p: F.struct(p["paragraph"].alias("paragraph"), F.xxhash64(key(p)).alias("h1"), F.xxhash64(F.lit(1), key(p)).alias("h2"), p["n_bytes"].alias("n_bytes")))
@@ -107,19 +111,22 @@ def dedupe_paragraphs(df: DataFrame, scope: list[str], order: list[str], text: s
     Returns df's columns with text put together again (blank line between), paragraphs_removed and bytes_removed.
     order has to tell a scope's documents apart, and neither may be null. Only hashes and places are shuffled
     to find what repeats, and first places of paragraphs that stand once are dropped before they are joined.
-    They are written to the shared folder first, so that both sides of the join are plain shuffles, which
-    adaptive execution can split where one paragraph is in a third of all documents.
+    Places and first places are written to the shared folder first: texts are taken apart once to compare them,
+    and both sides of the join are plain shuffles, which adaptive execution can split where one paragraph is in
+    a third of all documents.
     """
     mine = list(dict.fromkeys([*scope, *order]))
     places = df.select(*mine, F.posexplode(F.transform(paragraphs(F.col(text)), lambda p: F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), p["n_bytes"].alias("n_bytes")))).alias("par_ord", "p"))
-    places = places.select(*mine, "par_ord", F.col("p.h1").alias("__h1"), F.col("p.h2").alias("__h2"), F.col("p.n_bytes").alias("__bytes")).withColumn("__at", F.struct(*order, "par_ord"))
+    places = places.select(*mine, "par_ord", F.col("p.h1").alias("__h1"), F.col("p.h2").alias("__h2"), F.col("p.n_bytes").alias("__bytes"))
+    places = materialize(places, "paragraph-places").withColumn("__at", F.struct(*order, "par_ord"))
     keys = [*scope, "__h1", "__h2"]
     first = places.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     first = materialize(first, "first-paragraphs")
     later = places.join(first, keys).where(F.col("__at") != F.col("__first"))
     gone = later.groupBy(*mine).agg(F.collect_set("par_ord").alias("__gone"), F.count("*").alias("paragraphs_removed"), F.sum("__bytes").alias("bytes_removed"))
     out = df.join(gone, mine, "left")
-    stays = F.filter(F.transform(paragraphs(F.col(text)), lambda p, i: F.when(F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i), F.lit(None)).otherwise(p["paragraph"])), lambda p: p.isNotNull())
+    filled = F.filter(F.transform(_pieces(F.col(text)), trimmed), lambda p: p != "")
+    stays = F.when(F.col("__gone").isNull(), filled).otherwise(F.filter(F.transform(filled, lambda p, i: F.when(~F.array_contains("__gone", i), p)), lambda p: p.isNotNull()))
     out = out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(stays, "\n\n"))).drop("__gone")
     return out.na.fill(0, ["paragraphs_removed", "bytes_removed"])
 

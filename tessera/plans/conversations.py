@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import conversation, jobs
 from tessera.plans import table
-from tessera.sources.html import html_blocks
+from tessera.sources.html import common, html_blocks
 
 
 def exchange_pairs(spark, sf_dir):
@@ -96,11 +96,17 @@ SELECT doc_id, CASE WHEN go = m THEN 'go' WHEN py = m THEN 'python' WHEN rs = m
 
 
 def html_text(spark, sf_dir):
-    """The blocks of all pages."""
-    blocks = html_blocks(table(spark, sf_dir, "pages"))
+    """The blocks of all pages, the commonest character references resolved."""
+    blocks = html_blocks(table(spark, sf_dir, "pages"), resolve=common)
     return blocks.groupBy("page_id").agg(F.count("*").alias("blocks"), F.count_if("bold").alias("headings"), F.sum(F.length("text")).alias("chars"))
 
 
+def html_references(spark, sf_dir):
+    """The blocks of all pages with all character references resolved, as one digest a page."""
+    blocks = html_blocks(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return blocks.groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"), F.sha2(F.array_join(F.array_sort(F.collect_list("text")), "\n"), 256).alias("texts_sha256"))
+
+
 _HTML = r"""
 WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g') AS h FROM pages
 ), m AS (SELECT page_id, string_split(regexp_replace('<p>' || h, '(?is)<(/?)(h1|h2|h3|p|li|br|div)[^>]*>', chr(1) || '\1\2' || chr(1), 'g'), chr(1)) AS p FROM b
@@ -176,6 +182,7 @@ QUERIES = {
     "strip_code": (strip_code, _STRIP),
     "detect_language": (detect_language, _LANGUAGE),
     "html_text": (html_text, _HTML),
+    "html_references": (html_references, None),
     "cron_due": (cron_due, _CRON),
     "humanized_schedules": (humanized_schedules, _HUMAN),
     "log_filter": (log_filter, _LOG),
