@@ -60,10 +60,11 @@ def train(counts: dict[bytes, tuple[int, int]], order: int = ORDER) -> dict[byte
     """
     # shared continuation counts: in how many different contexts one byte longer a shorter n-gram stands
     shared: list[Counter] = [Counter() for _ in range(order)]
-    full: set[bytes] = set(counts)
-    level = full
+    level: set[bytes] = set(counts)
+    done: set[bytes] = set()  # the ends of words reach a length by several ways, and count once
     for _ in range(order - 1):
-        shorter = {w for w in level if len(w) > 1}
+        shorter = {w for w in level if len(w) > 1} - done
+        done |= shorter
         below: set[bytes] = set()
         for w in shorter:
             shared[len(w) - 1][w[1:]] += 1

@@ -96,3 +96,16 @@ def test_forest_prefers_near_pairs():
 
     a, b, bits = np.array([0, 0, 1, 3]), np.array([1, 2, 2, 4]), np.array([5, 9, 1, 7])
     assert J.nearest_first(a, b, bits, 5).tolist() == [0, 2, 3]
+
+
+def test_sketches_never_tell_more_than_the_difference():
+    import numpy as np
+    from tessera.llm import simhash
+
+    rnd = np.random.default_rng(5)
+    for n, gone in ((1, 1), (10, 3), (300, 40), (3000, 500), (20_000, 3000)):
+        own = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate((own[min(gone, len(own) - 1) :], rnd.integers(0, 1 << 63, gone, dtype=np.uint64))))
+        told = simhash.differences([simhash.sketch(own)], [simhash.sketch(other)])[0]
+        assert 0 < told <= len(np.setxor1d(own, other))
+    assert simhash.differences([simhash.sketch(own)], [simhash.sketch(own)])[0] == 0

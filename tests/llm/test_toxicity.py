@@ -56,3 +56,55 @@ def test_rare_in_both_says_little():
     model = X.train(counts)
     assert X.word_ratio(model, b"scum") > 3 > abs(X.word_ratio(model, b"hello"))
     assert abs(X.word_ratio(model, b"zzz")) < X.word_ratio(model, b"scum")
+
+
+def plain_kneser_ney(counts, order):
+    """log p(toxic) - log p(ordinary) of every counted n-gram, from the definitions: interpolated Kneser-Ney of each class over its own counts, backing off to continuation counts that both classes share."""
+    import math
+
+    # every n-gram that ends a counted one, and how many different bytes stand before it
+    suffixes = {w[i:] for w in counts for i in range(len(w))}
+    before = {s: len({t for t in suffixes if len(t) == len(s) + 1 and t[1:] == s}) for s in suffixes}
+    before = {s: n for s, n in before.items() if n}
+
+    def discount(values):
+        ones, twos = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    drop = discount(list(before.values()))
+
+    def shared(s):
+        below = shared(s[1:]) if len(s) > 1 else 1 / 256
+        same = [n for t, n in before.items() if t[:-1] == s[:-1]]
+        if not same:
+            return below
+        return max(before.get(s, 0) - drop, 0) / sum(same) + drop * len(same) / sum(same) * below
+
+    out = {}
+    for w in counts:
+        p = []
+        for k in (0, 1):
+            d = discount([c[k] for c in counts.values() if c[k]])
+            same = [c[k] for v, c in counts.items() if v[:-1] == w[:-1] and c[k]]
+            below = shared(w[1:]) if len(w) > 1 else 1 / 256
+            own = max(counts[w][k] - d, 0) / sum(same) if counts[w][k] else 0.0
+            p.append(own + (d * len(same) / sum(same) if same else 1.0) * below)
+        out[w] = math.log(p[1] / p[0])
+    return out
+
+
+def test_model_matches_plain_kneser_ney():
+    rnd = random.Random(11)
+    for order in (2, 3, 4):
+        counts: dict = {}
+        for _ in range(60):
+            w = bytes(rnd.choices(b"abc", k=rnd.randint(1, 5)))
+            k, n = rnd.randint(0, 1), rnd.choice([1, 1, 1, 2, 2, 5])
+            for g in X.windows(w, order):
+                a = list(counts.get(g, (0, 0)))
+                a[k] += n
+                counts[g] = tuple(a)
+        model, want = X.train(counts, order), plain_kneser_ney(counts, order)
+        assert all(abs(model[w] - want[w]) < 1e-9 for w in want)
+        word = b"abcab"
+        assert abs(X.word_ratio(model, word, order) - sum(model.get(g, model.get(b"\xff" + g[:-1], 0.0)) for g in X.windows(word, order))) < 1e-9
