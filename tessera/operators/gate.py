@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import lines, trimmed
 from tessera.operators import budget, pii, sanitize
+from tessera.shipping import materialize
 
 MARK = "FOCUS:"
 
@@ -160,6 +161,7 @@ def memoized(inputs: DataFrame, cache: DataFrame, work: Callable[[DataFrame], Da
     key = F.sha2(F.concat(F.lit(config + "\x00"), F.coalesce(text, F.lit(""))), 256)
     keyed = inputs.withColumn("content_key", key)
     missing = keyed.select("content_key", F.coalesce(text, F.lit("")).alias("text")).join(cache.select("content_key"), "content_key", "left_anti").dropDuplicates(["content_key"])
-    new = work(missing).select("content_key", "output")
+    # written, so that the work is done once for the answer and for the cache
+    new = materialize(work(missing).select("content_key", "output"), "memo")
     known = cache.select("content_key", "output", F.lit(True).alias("hit")).unionByName(new.withColumn("hit", F.lit(False)))
     return keyed.join(known, "content_key"), new

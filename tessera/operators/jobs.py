@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shipping import ship
+
 # The bounds of the five fields, the levels in order, and rotation intervals in days.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
 LEVELS = ("debug", "info", "warn", "error")
@@ -52,6 +55,17 @@ def due_jobs(minutes: DataFrame, schedules: dict[str, str], ts: str = "ts") -> D
     return minutes.select("*", F.explode(F.array_compact(F.array(*jobs))).alias("job"))
 
 
+def schedule_errors(schedules: DataFrame, schedule: str = "schedule") -> DataFrame:
+    """schedules with error: why one cannot be read, null if it can. Null schedules have no fields."""
+    ship(schedules.sparkSession)
+
+    @F.pandas_udf("string")
+    def error(texts: pd.Series) -> pd.Series:
+        return pd.Series([job_errors({"": t or ""}).get("") for t in texts], dtype="object")
+
+    return schedules.withColumn("error", error(F.col(schedule)))
+
+
 def job_errors(schedules: dict[str, str]) -> dict[str, str]:
     """Why a schedule cannot be read, by job."""
     found = {}

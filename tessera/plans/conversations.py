@@ -166,9 +166,9 @@ _LOG = "SELECT event_id, ['debug', 'info', 'warn', 'error'][(event_id % 4 + 1)::
 def log_retention(spark, sf_dir):
     """A log file per user and day of its events: what is older than seven days before the last event."""
     e = table(spark, sf_dir, "events")
-    last = e.agg(F.to_date(F.max("ts")).alias("d")).first()["d"]
+    last = e.agg(F.to_date(F.max("ts")).alias("last_day"))
     files = e.select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")).alias("name")).distinct()
-    return jobs.expired_logs(files, F.lit(last), 7)
+    return jobs.expired_logs(files.join(F.broadcast(last)), F.col("last_day"), 7).drop("last_day")
 
 
 _RETENTION = "SELECT DISTINCT user_id || '-' || strftime(ts, '%Y-%m-%d') || '.log' AS name, ts::DATE < (SELECT max(ts)::DATE - 7 FROM events) AS expired FROM events"

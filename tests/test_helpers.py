@@ -70,6 +70,12 @@ def test_log_helpers(spark):
     assert [r["r"] for r in df.select(jobs.rotation_due(F.col("a"), F.col("b"), "weekly").alias("r")).collect()] == [False, True]
 
 
+def test_schedules_that_cannot_be_read(spark):
+    rows = [("a", "0 2 * * *"), ("b", "61 * * * *"), ("c", "1 2 3"), ("d", None)]
+    got = {r["job"]: r["error"] for r in jobs.schedule_errors(spark.createDataFrame(rows, "job string, schedule string")).collect()}
+    assert got["a"] is None and all(got[k] for k in "bcd") and got["c"] == "a schedule has five fields"
+
+
 def test_names_blocks_and_patterns(spark):
     assert values(spark, ["b,a,b,,a"], lambda v: sanitize.dedupe_names(F.split(v, ","))) == [["b", "a"]]
     assert values(spark, ["x\n```memory 1\nkeep\nthis\n```\n```memory\nno\n```", "none", None], assembly.memory_block) == ["keep\nthis", None, None]
