@@ -16,6 +16,7 @@ every task knows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,8 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 #: A near word is the form of another if it is so many times as frequent.
 MIN_RATIO = 10
+#: Words of a range, which is one task's: their tries are built row by row.
+RANGE_WORDS = 20_000
 
 #: Words parted at a place; words that skip a letter; those of them that skip the last of equal letters.
 _PARTED, _SKIPPED, _LAST = 0, 1, 2
@@ -141,30 +144,31 @@ def _frames(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> It
         yield pd.DataFrame(held, columns=columns)
 
 
-def sorted_ranges(rows: DataFrame, col: str, name: str) -> tuple[DataFrame, list[tuple[int, str, str]]]:
-    """rows in ranges of col, a range a partition, each sorted, with `range` and `at` (in order over all of them); and the ranges' first and last words, one of each per partition."""
-    held = rows.repartitionByRange(col).sortWithinPartitions(col)
+def sorted_ranges(rows: DataFrame, col: str, name: str, ranges: int | None = None) -> tuple[DataFrame, list[tuple[int, str, str]]]:
+    """rows in `ranges` ranges of col (as many as a shuffle has partitions by default), a range a partition, each sorted, with `range` and `at` (in order over all of them); and the ranges' first and last words, one of each per partition."""
+    held = (rows.repartitionByRange(ranges, col) if ranges else rows.repartitionByRange(col)).sortWithinPartitions(col)
     held = materialize(held.withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), name)
     ends = held.groupBy("range").agg(F.min(col).alias("first"), F.max(col).alias("last")).collect()
-    ranges = sorted((r["range"], r["first"], r["last"]) for r in ends)
-    most = max([r[0] for r in ranges], default=0) + 1
-    return held.repartitionById(most, "range").sortWithinPartitions("at"), ranges
+    edges = sorted((r["range"], r["first"], r["last"]) for r in ends)
+    most = max([r[0] for r in edges], default=0) + 1
+    return held.repartitionById(most, "range").sortWithinPartitions("at"), edges
 
 
-def near_pairs(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_pairs(words: DataFrame, range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(id, word, n) with ids in order of the words, and p, s, id, n, kind: the places of every word as pairs of nodes.
 
     words: word, n; words are distinct and not null.
     """
     ship(spark_of(words))
-    held, ranges = sorted_ranges(words.select("word", "n"), "word", "spelling-words")
+    size = max(1, math.ceil(words.count() / range_words))
+    held, ranges = sorted_ranges(words.select("word", "n"), "word", "spelling-words", size)
 
     def forward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = numbered(_rows(frames, ["range", "word", "n", "at"]), ranges)
         yield from _frames(((at, word[::-1], n, list(path)) for (_, word, n, at), path in found), ["id", "reversed", "n", "forward"])
 
     ahead = held.mapInPandas(forward, "id long, reversed string, n long, forward array<long>")
-    back, back_ranges = sorted_ranges(ahead, "reversed", "spelling-reversed")
+    back, back_ranges = sorted_ranges(ahead, "reversed", "spelling-reversed", size)
 
     def backward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = numbered(_rows(frames, ["range", "reversed", "id", "n", "forward"]), back_ranges)
@@ -214,7 +218,7 @@ def last_forms(links: DataFrame) -> DataFrame:
         roots = roots.select("id", "root")
 
 
-def spelling_variants(words: DataFrame, min_ratio: int = MIN_RATIO) -> DataFrame:
+def spelling_variants(words: DataFrame, min_ratio: int = MIN_RATIO, range_words: int = RANGE_WORDS) -> DataFrame:
     """word, n, n_near, form, form_n, root of words (word, n).
 
     n_near: words that differ by one inserted, deleted or replaced code point.
@@ -225,7 +229,7 @@ def spelling_variants(words: DataFrame, min_ratio: int = MIN_RATIO) -> DataFrame
     table gives no rows; other columns are not read.
     """
     given = words.where("word is not null and n is not null").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
-    known, pairs = near_pairs(given)
+    known, pairs = near_pairs(materialize(given, "spelling-counts"), range_words)
     near = neighbours(pairs)
     rows = known.join(near.hint("merge"), "id", "left")
     rows = rows.withColumn("form", F.when(F.col("best.n") >= min_ratio * F.col("n"), -F.col("best.m")))

@@ -79,6 +79,7 @@ def test_many_ranges(spark):
         _, ranges = S.sorted_ranges(df, "word", "test-ranges")
         assert len(ranges) > 20
         assert rows_of(S.spelling_variants(df)) == brute_variants(words)
+        assert rows_of(S.spelling_variants(df, range_words=25)) == brute_variants(words)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
