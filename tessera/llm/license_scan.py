@@ -5,8 +5,11 @@ so a comment block is cut like the text in it). Every unit is compared with shor
 notices, standard headers and opening paragraphs of licences. A unit can only
 reach the threshold of a template if it holds one of the template's heavier
 terms: those that are left when the lightest, as many as together stay below the
-threshold, are set aside. Only units with such a term are taken apart and joined
-with the templates' weights.
+threshold, are set aside. Of the units with such a term, those stay that could
+reach a threshold if every term whose frequency is not at hand weighed as little
+as it can. These are few, even where a notice is very common: the paragraphs
+around it are too long. Each different one is taken apart once and joined with
+the true weights.
 """
 
 from __future__ import annotations
@@ -108,11 +111,15 @@ def units(text: Column) -> Column:
     return F.concat(F.split(text, "\n", -1), F.filter(F.split(text, BETWEEN, -1), lambda p: F.contains(p, F.lit("\n"))))
 
 
+def idf_of(df: int, n_docs: int) -> float:
+    return math.log((1 + n_docs) / (1 + df)) + 1
+
+
 def template_vectors(df: dict[str, int], n_docs: int, templates: list[Template]) -> list[dict[str, float]]:
-    """Unit vectors of the templates. idf = ln((1 + n) / (1 + df)) + 1."""
+    """Unit vectors of the templates."""
     vectors = []
     for t in templates:
-        raw = {x: n * (math.log((1 + n_docs) / (1 + df.get(x, 0))) + 1) for x, n in sorted(Counter(_python_terms(t.text)).items())}
+        raw = {x: n * idf_of(df.get(x, 0), n_docs) for x, n in sorted(Counter(_python_terms(t.text)).items())}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         vectors.append({x: w / norm for x, w in raw.items()})
     return vectors
@@ -128,6 +135,59 @@ def prefix_terms(vector: dict[str, float], threshold: float) -> list[str]:
     return out
 
 
+#: Terms beside the templates' own whose frequencies are told to every task, at most.
+FREQUENT = 2000
+#: Cosines are rounded to six digits before they are held against a threshold.
+SLACK = 1e-5
+
+
+def frequencies(df: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
+    """df of the terms of vocabulary and of those with over a FREQUENT-th of all counts, of which there are fewer than FREQUENT; the df that no other term exceeds."""
+    most = (df.agg(F.sum("df")).first()[0] or 0) // FREQUENT
+    told = df.where(F.col("term").isin(*sorted(vocabulary)) | (F.col("df") > most)).collect()
+    return {t: 0 for t in vocabulary} | {r["term"]: r["df"] for r in told}, most
+
+
+def pulls(vectors: list[dict[str, float]], thresholds: list[float]) -> dict[str, float]:
+    """By term, the most that its weight is in a vector, as a multiple of that vector's threshold."""
+    out: dict[str, float] = {}
+    for v, threshold in zip(vectors, thresholds, strict=True):
+        for t, w in v.items():
+            out[t] = max(out.get(t, 0.0), w / max(threshold - SLACK, SLACK))
+    return out
+
+
+def near(units: DataFrame, pull: dict[str, float], idf: dict[str, float], least: float) -> DataFrame:
+    """units (with terms, an array) without those whose cosine stays below the threshold of every template.
+
+    A dot product is at most the sum of the terms' weights by their pulls, a
+    norm at least that of the terms if those not in idf, which has those of
+    pull, have an idf of least, the others of idf one rounded down to halves,
+    and if terms beside those of pull count by their first powers.
+    """
+    floors: dict[float, list[str]] = {}
+    for t in sorted(idf.keys() - pull.keys()):
+        floors.setdefault(math.floor(2 * idf[t]) / 2, []).append(t)
+    own = sorted(pull)
+
+    def of_own(values: dict[str, float], t: Column) -> Column:
+        return F.element_at(F.create_map(*[F.lit(y) for x in own for y in (x, values[x])]), t)
+
+    def square(t: Column) -> Column:
+        out = F.when(t.isin(own), 0.0)
+        for x, found in floors.items():
+            out = out.when(t.isin(found), x * x)
+        return out.otherwise(least * least)
+
+    # generated columns are not computed again inside the filter or its lambdas
+    cut = units.select("*", F.inline(F.array(F.struct(F.filter("terms", lambda t: t.isin(own)).alias("__own"), F.aggregate("terms", F.lit(0.0), lambda a, t: a + square(t)).alias("__rest")))))
+    weighed = F.transform(F.array_distinct("__own"), lambda t: F.struct((of_own(idf, t) * F.size(F.filter("__own", lambda x: x == t))).alias("x"), of_own(pull, t).alias("pull")))
+    cut = cut.select(*units.columns, "__rest", F.inline(F.array(F.struct(weighed.alias("__own")))))
+    dot = F.aggregate("__own", F.lit(0.0), lambda a, c: a + c["x"] * c["pull"])
+    squares = F.aggregate("__own", F.col("__rest"), lambda a, c: a + c["x"] * c["x"])
+    return cut.where(dot >= F.sqrt(squares)).select(*units.columns)
+
+
 def matches(files: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """__k1, __k2, license, similarity: the best template of each text of files (__k1, __k2, text) that reaches its threshold.
 
@@ -139,25 +199,34 @@ def matches(files: DataFrame, templates: list[Template] | None = None) -> DataFr
     vocabulary = {t for x in templates for t in _python_terms(x.text)}
     df = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = materialize(df, "license-frequencies")
-    own = {r["term"]: r["df"] for r in df.where(F.col("term").isin(*sorted(vocabulary))).collect()}  # at most the templates' terms
+    told, most = frequencies(df, vocabulary)
     n_docs = files.count()
-    vectors = template_vectors(own, n_docs, templates)
+    vectors = template_vectors(told, n_docs, templates)
     triggers = sorted({t for v, x in zip(vectors, templates, strict=True) for t in prefix_terms(v, x.threshold)})
-    rows = [(no, x.license, x.rank, x.threshold, t, w) for no, (v, x) in enumerate(zip(vectors, templates, strict=True)) for t, w in v.items()]
-    weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, rank int, threshold double, term string, weight double"))
-    unit = files.select("__k1", "__k2", F.posexplode(units(F.col("text"))).alias("unit", "line"))
-    unit = unit.select("__k1", "__k2", "unit", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in triggers]))).distinct()
-    counted = unit.select("__k1", "__k2", "unit", F.explode("terms").alias("term")).groupBy("__k1", "__k2", "unit", "term").agg(F.count("*").alias("n"))
+    pull = pulls(vectors, [x.threshold for x in templates])
+    unit = files.select("__k1", "__k2", F.explode(units(F.col("text"))).alias("line"))
+    unit = unit.select("__k1", "__k2", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in triggers])))
+    unit = near(unit, pull, {t: idf_of(n, n_docs) for t, n in told.items()}, idf_of(most, n_docs)).select("__k1", "__k2", F.array_join("terms", " ").alias("words"))
+    unit_keys = ["__u1", "__u2"]
+    unit = unit.select("*", F.xxhash64("words").alias("__u1"), F.xxhash64(F.lit(1), "words").alias("__u2"))
+    unit = materialize(unit.groupBy("__k1", "__k2", *unit_keys).agg(F.any_value("words").alias("words")), "license-units")
+    different = unit.groupBy(*unit_keys).agg(F.any_value("words").alias("words"))
+    counted = different.select(*unit_keys, F.explode(F.split("words", " ")).alias("term")).groupBy(*unit_keys, "term").agg(F.count("*").alias("n"))
     counted = materialize(counted, "license-terms")
     sizes = materialize(counted.groupBy("term").agg(F.count("*").alias("n")), "license-sizes")
-    counted = salted_join(counted, df, ["term"], hot_keys(sizes, ["term"], "n"), F.xxhash64("__k1", "unit"))
-    counted = counted.withColumn("x", F.col("n") * (F.log((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1))
-    unit_keys = ["__k1", "__k2", "unit"]
+    counted = salted_join(counted, df, ["term"], hot_keys(sizes, ["term"], "n"), F.xxhash64(*unit_keys))
+    counted = materialize(counted.select(*unit_keys, "term", (F.col("n") * (F.log((F.lit(1.0) + n_docs) / (1 + F.col("df"))) + 1)).alias("x")), "license-weights")
+    rows = [(no, x.license, x.rank, x.threshold, t, w) for no, (v, x) in enumerate(zip(vectors, templates, strict=True)) for t, w in v.items()]
+    weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, rank int, threshold double, term string, weight double"))
     norms = counted.groupBy(*unit_keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = counted.join(weights, "term").groupBy(*unit_keys, "template", "license", "rank", "threshold").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     cosine = dots.join(norms, unit_keys).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= F.col("threshold"))
-    best = cosine.groupBy("__k1", "__k2").agg(F.min(F.struct((-F.col("rank")).alias("above"), (-F.col("similarity")).alias("less"), "license")).alias("best"))
-    return best.select("__k1", "__k2", F.col("best.license").alias("license"), (-F.col("best.less")).alias("similarity"))
+    best = F.min(F.struct((-F.col("rank")).alias("above"), (-F.col("similarity")).alias("less"), "license")).alias("best")
+    of_unit = materialize(cosine.groupBy(*unit_keys).agg(best), "license-cosines")
+    sizes = materialize(unit.groupBy(*unit_keys).agg(F.count("*").alias("n")), "license-copies")
+    found = salted_join(unit.drop("words"), of_unit, unit_keys, hot_keys(sizes, unit_keys, "n"), F.xxhash64("__k1", "__k2"))
+    found = found.groupBy("__k1", "__k2").agg(F.min("best").alias("best"))
+    return found.select("__k1", "__k2", F.col("best.license").alias("license"), (-F.col("best.less")).alias("similarity"))
 
 
 def directory(path: Column) -> Column:

@@ -133,6 +133,43 @@ def test_prefix_filter_loses_no_match(spark):
         assert out[i]["license"] == k and (c is None or abs(out[i]["similarity"] - c) < 2e-6)
 
 
+def test_paragraphs_around_a_common_notice_are_not_taken_apart(spark, monkeypatch):
+    """Copies of a notice are compared once, and what is too long to match beside it meets no frequencies."""
+    rows, materialize = {}, S.materialize
+
+    def counting(df, name):
+        rows[name] = (out := materialize(df, name)).count()
+        return out
+
+    monkeypatch.setattr(S, "materialize", counting)
+    notice = "Licensed under the Apache License, Version 2.0."
+    docs = [notice + "\n" + " ".join(f"w{i}x{j % 7} the of" for j in range(40)) for i in range(200)] + [PROSE] * 100
+    docs += [notice.lower() + f"\nby author{i}" for i in range(5)]  # a paragraph that matches, but less than its first line
+    out = scan(spark, [(f"{i}.txt", t) for i, t in enumerate(docs)])
+    for i, (k, c) in enumerate(brute(docs)):
+        assert out[i]["license"] == k and (c is None or abs(out[i]["similarity"] - c) < 2e-6)
+    assert sum(r["license"] == "Apache-2.0" for r in out.values()) == 205
+    assert rows["license-terms"] < 100
+
+
+def test_bound_keeps_what_may_match_and_no_long_text(spark):
+    many = [f"f{i}" for i in range(30)]
+    df, thresholds = {"mit": 30, "under": 50, "often": 90, "common": 60} | dict.fromkeys(many, 90), [0.7, 0.9]
+    vectors = S.template_vectors(df, 100, [S.Template("MIT", "under the MIT License"), S.Template("GPL-2.0", "the GPL, the license", 0.9)])
+    idf = {t: S.idf_of(df.get(t, 0), 100) for t in {*df, *vectors[0], *vectors[1]}}
+    texts = [f"{head} {' '.join(['often'] * i + ['common'] * j + [f'w{x}' for x in range(k)])}".split() for head in ("under the mit license", "the gpl the license", "mit mit license", "license", "gpl") for i in range(4) for j in range(3) for k in (0, 1, 2, 3, 60)]
+    texts.append(["under", "the", "mit", "license", *many])
+    rows = [(n, x) for n, x in enumerate(texts)]
+    kept = {r["n"] for r in S.near(spark.createDataFrame(rows, "n int, terms array<string>"), S.pulls(vectors, thresholds), idf, S.idf_of(20, 100)).collect()}
+    for n, words in rows:
+        x = {t: c * idf.get(t, S.idf_of(20, 100)) for t, c in Counter(words).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        if any(sum(x.get(t, 0) * w for t, w in v.items()) / norm >= least for v, least in zip(vectors, thresholds, strict=True)):
+            assert n in kept
+        assert "w50" not in words or n not in kept
+    assert 20 < len(kept) < 200 and len(texts) - 1 in kept
+
+
 @pytest.mark.parametrize("name", ["folder", "from_license", "license"])
 def test_messy_documents(messy, empty, name):
     from pyspark.sql import functions as F
