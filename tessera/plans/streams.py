@@ -47,24 +47,28 @@ def cron_stream(spark, sf_dir):
     return incremental.drained(due, spark, "append").select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("minute"), "job").distinct()
 
 
-SLOT_DAYS, SLOTS = 8, 4
+SLOT_DAYS, SLOTS, SLOT_FILES = 8, 4, 8
 
 
-def _late(spark, sf_dir, late, slots=1, twice=None):
-    """The events as a stream of SLOTS batches of SLOT_DAYS each; those of `late` come `slots` batches later than their own, and those of `twice` once more in the next."""
+def _late(spark, sf_dir, late, slots=1, twice=None, rows=None, files=1):
+    """The events, or rows made of them, as a stream of SLOTS batches of SLOT_DAYS each, written by as many tasks as a batch has files; those of `late` come `slots` batches later than their own, and those of `twice` once more in the next."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first = events.agg(F.min(F.col("ts").cast("date")).alias("first"))
+    events = events if rows is None else rows
     slot = F.least(F.col("own") + F.when(late, slots).otherwise(0), F.lit(SLOTS - 1))
     more = F.least(slot + 1, F.lit(SLOTS - 1))
     times = F.when(F.lit(False) if twice is None else twice, F.array(slot, more)).otherwise(F.array(slot))
     own = F.floor(F.datediff("ts", "first") / SLOT_DAYS)
     rows = events.join(F.broadcast(first)).withColumn("own", own).withColumn("slot", F.explode(times)).drop("first", "own")
     folder = f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    written = lambda: spark.read.schema(events.schema).parquet(folder)
     rows.persist()
     for k in range(SLOTS):  # one after the other: a stream takes the oldest files first
-        rows.where(F.col("slot") == k).drop("slot").coalesce(1).write.mode("append").parquet(folder)
+        rows.where(F.col("slot") == k).drop("slot").coalesce(files).write.mode("append").parquet(folder)
+        for _ in range(files * (k + 1) - len(written().inputFiles())):  # tasks without rows leave no file
+            written().limit(0).write.mode("append").parquet(folder)
     rows.unpersist()
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 #: Of the SQL twins: milliseconds of the newest event; a delay of 17 days is more than any row is late.
@@ -105,13 +109,13 @@ def chunk_stream(spark, sf_dir):
     """Answers in chunks, one event each, of a user's day: out of order, some twice, some lost; every fourth user's have no end."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     ship(spark)
-    stream = _late(spark, sf_dir, F.col("event_id") % 3 == 0, twice=F.col("event_id") % 5 == 0)
-    numbers = events.select("event_id", F.struct("ts", "event_id").alias("at"), F.concat("user_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("chat"))
-    place = F.row_number().over(Window.partitionBy("chat").orderBy("at"))
-    numbered = numbers.select("event_id", "chat", (place - 1).alias("seq"), (F.count("*").over(Window.partitionBy("chat")) == place).alias("last"))
-    numbered = materialize(numbered, "chunk-numbers")
-    chunks = stream.join(numbered, "event_id").where(~((F.col("user_id") % 7 == 1) & (F.col("seq") == 1)))
-    chunks = chunks.select("chat", "ts", "seq", F.concat("event_type", F.lit(" ")).alias("content"), (F.col("last") & (F.col("user_id") % 4 != 0)).alias("done"), F.col("event_id").alias("prompt_tokens"), F.round("value").cast("long").alias("completion_tokens"), F.when((F.col("user_id") % 11 == 3) & F.col("last"), "no model").alias("error"))
+    chat = F.concat("user_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
+    order = Window.partitionBy("user_id", F.col("ts").cast("date")).orderBy("ts", "event_id")
+    numbered = events.withColumn("chat", chat).withColumns({"seq": F.row_number().over(order) - 1, "last": F.lead(F.lit(1)).over(order).isNull()})
+    chunks = numbered.where(~((F.col("user_id") % 7 == 1) & (F.col("seq") == 1)))
+    chunks = chunks.select("event_id", "chat", "ts", "seq", F.concat("event_type", F.lit(" ")).alias("content"), (F.col("last") & (F.col("user_id") % 4 != 0)).alias("done"), F.col("event_id").alias("prompt_tokens"), F.round("value").cast("long").alias("completion_tokens"), F.when((F.col("user_id") % 11 == 3) & F.col("last"), "no model").alias("error"))
+    # numbered once, before they are dealt to batches: none of these has to look them up
+    chunks = _late(spark, sf_dir, F.col("event_id") % 3 == 0, twice=F.col("event_id") % 5 == 0, rows=materialize(chunks, "chunks"), files=SLOT_FILES)
     return incremental.drained(keyed.reassembled(chunks, "chat", timeout_ms=2 * 86_400_000, late=_LATE), spark, "append")
 
 

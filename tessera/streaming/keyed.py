@@ -20,7 +20,11 @@ def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
-def reassembled(chunks: DataFrame, by: str, ts: str = "ts", timeout_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
+#: Groups that the keys of reassembled() are dealt to. A stream that goes on from a checkpoint has to keep it.
+BUCKETS = 1_024
+
+
+def reassembled(chunks: DataFrame, by: str, ts: str = "ts", timeout_ms: int = 600_000, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """by, text, chunks, prompt_tokens, completion_tokens, closed: answers that came in numbered chunks.
 
     chunks: by, ts, seq (from 0), content, done, prompt_tokens,
@@ -32,51 +36,69 @@ def reassembled(chunks: DataFrame, by: str, ts: str = "ts", timeout_ms: int = 60
     chunks that are there, in order. What comes after an answer is closed, and
     before its timeout, is a repeat and goes. Null contents are empty; chunks
     without number are not read.
+
+    Keys are dealt to groups by their hash, and one call does all of a group in
+    a batch: a call costs milliseconds, a chunk in it microseconds. The state of
+    a group are its answers: chunks, or of a closed one its last time alone.
+    by: a column that can be cast to text and back.
     """
     kind = dict(chunks.dtypes)[by]
-    columns = [by, "text", "chunks", "prompt_tokens", "completion_tokens", "closed"]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"parts": {}, "last": None, "at": 0, "usage": [0, 0], "closed": False}
-        out = []
-
-        def close(text: str, n: int, usage: list[int], how: str) -> None:
-            out.append((key[0], text, n, *usage, how))
-
-        def whole() -> str:
-            return "".join(held["parts"][k] for k in sorted(held["parts"], key=int))
-
-        if not state.hasTimedOut:
-            for frame in frames:
-                held["at"] = max(held["at"], int(_micros(frame["ts"]).max()) // 1000)
-                failed = frame["error"].dropna().tolist()
-                if failed and not held["closed"]:
-                    close(min(failed), 0, [0, 0], "error")
-                    held |= {"parts": {}, "closed": True}
-                known = frame[frame["seq"].notna()]
-                for seq, text, done, *usage in zip(known["seq"].astype(int), known["content"], known["done"], known["prompt_tokens"], known["completion_tokens"], strict=True):
-                    if not held["closed"] and str(seq) not in held["parts"]:
-                        held["parts"][str(seq)] = text if isinstance(text, str) else ""
-                        if done:
-                            held |= {"last": seq, "usage": [0 if pd.isna(u) else int(u) for u in usage]}
-            if not held["closed"] and held["last"] is not None and all(str(k) in held["parts"] for k in range(held["last"] + 1)):
-                held["parts"] = {k: v for k, v in held["parts"].items() if int(k) <= held["last"]}
-                close(whole(), len(held["parts"]), held["usage"], "done")
-                held |= {"parts": {}, "closed": True}
+    columns = ["key", "text", "chunks", "prompt_tokens", "completion_tokens", "closed"]
+    read = ["key", "ms", "seq", "content", "done", "prompt_tokens", "completion_tokens"]
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # key: [last time, number and usage of the done chunk, contents by number]; of a closed answer the time alone
+        held = {key: answer for key, *answer in json.loads(state.get[0])} if state.exists else {}
+        out, rows, failed, touched = [], [], {}, set()
+
+        def close(key: str | None, how: str) -> None:
+            _, _, usage, parts = held[key]
+            out.append((key, "".join(parts[k] for k in sorted(parts, key=int)), len(parts), *usage, how))
+
+        for frame in [] if state.hasTimedOut else frames:
+            rows += zip(*[frame[c].tolist() for c in read], strict=True)
+            for key, error in frame.loc[frame["error"].notna(), ["key", "error"]].itertuples(index=False, name=None):
+                failed[key] = min(error, failed.get(key, error))
+        for key, ms, *_ in rows:
+            answer = held.setdefault(key, [0, None, [0, 0], {}])
+            answer[0] = max(answer[0], ms)
+        for key, error in failed.items():
+            if len(held[key]) > 1:
+                out.append((key, error, 0, 0, 0, "error"))
+                del held[key][1:]
+        for key, _, seq, text, done, *usage in rows:
+            answer = held[key]
+            if len(answer) > 1 and seq and seq not in answer[3]:
+                answer[3][seq] = text
+                touched.add(key)
+                if done:
+                    answer[1:3] = int(seq), usage
+        for key in touched:
+            _, last, _, parts = held[key]
+            if last is not None and len(parts) > last and all(str(k) in parts for k in range(last + 1)):
+                held[key][3] = {k: v for k, v in parts.items() if int(k) <= last}
+                close(key, "done")
+                del held[key][1:]
         # rows of a batch may come just before the time-out of their key that the same batch has reached
-        if held["at"] + timeout_ms < state.getCurrentWatermarkMs():
-            if not held["closed"]:
-                close(whole(), len(held["parts"]), held["usage"], "timeout")
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(held["at"] + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        watermark = state.getCurrentWatermarkMs()
+        for key in [key for key, answer in held.items() if answer[0] + timeout_ms < watermark]:
+            if len(held[key]) > 1:
+                close(key, "timeout")
+            del held[key]
+        if held:
+            state.update((json.dumps([(key, *answer) for key, answer in held.items()], ensure_ascii=False, separators=(",", ":")),))
+            state.setTimeoutTimestamp(max(min(answer[0] for answer in held.values()) + timeout_ms, watermark + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=columns)
 
-    own = chunks.select(by, F.col(ts).alias("ts"), "seq", "content", F.coalesce("done", F.lit(False)).alias("done"), "prompt_tokens", "completion_tokens", "error")
-    schema = f"{by} {kind}, text string, chunks int, prompt_tokens long, completion_tokens long, closed string"
-    return own.withWatermark("ts", late).groupBy(by).applyInPandasWithState(step, schema, "held string", "append", "EventTimeTimeout")
+    tokens = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in columns[3:5]]
+    # numbers as text: the names of the contents in the state
+    texts = [F.col(by).cast("string").alias("key"), F.col("seq").cast("long").cast("string").alias("seq"), F.coalesce("content", F.lit("")).alias("content"), "error"]
+    own = chunks.select(F.pmod(F.xxhash64(by), F.lit(buckets)).alias("bucket"), F.col(ts).alias("ts"), F.coalesce(F.unix_millis(ts), F.lit(0)).alias("ms"), F.coalesce("done", F.lit(False)).alias("done"), *tokens, *texts)
+    schema = "key string, text string, chunks int, prompt_tokens long, completion_tokens long, closed string"
+    closed = own.withWatermark("ts", late).groupBy("bucket").applyInPandasWithState(step, schema, "held string", "append", "EventTimeTimeout")
+    return closed.select(F.col("key").cast(kind).alias(by), *columns[1:])
 
 
 def runs_in_order(lines: DataFrame, by: str, ts: str = "ts", order: str | None = None, line: str = "line", late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:

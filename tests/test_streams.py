@@ -1,9 +1,11 @@
 from datetime import date
 
 from pyspark.sql import functions as F
+from tessera.plans import streams
 from tessera.streaming import incremental, keyed, rotation
 
 MIN = 60_000
+SF = "/root/testdata/sf0.001"
 
 
 def fed(spark, folder, rows, ddl):
@@ -68,6 +70,38 @@ def test_chunks_are_put_together(spark, tmp_path):
     assert out.count() == len(got)
 
 
+def test_many_answers_share_the_groups_of_the_state(spark, tmp_path):
+    """300 keys in 8 groups: each is closed as it would be alone, and the state has a row a group."""
+    kinds = "chat long, " + CHUNKS.split(", ", 1)[1]
+    first, second, want = [], [], {}
+    for chat in [None, *range(300)]:
+        n, k = 1 + (chat or 0) % 5, (chat or 0) % 4
+        rows = [(chat, (1 + i) * MIN, i, f"{chat}.{i} ", k < 2 and i == n - 1, chat, 2, "failed" if k == 1 and i == n - 1 else None) for i in range(n)]
+        first += rows[1:] + rows[-1:]
+        second += rows[:1] + [(chat, 1 * MIN, 0, "a repeat", False, None, None, None)]
+        text = "".join(r[3] for r in rows)
+        how = "done" if k == 0 else "error" if k == 1 else "timeout"
+        want[chat] = ("failed", 0, 0, 0, how) if k == 1 else (text, n, *((chat or 0, 2) if k == 0 else (0, 0)), how)
+    stream = fed(spark, tmp_path / "in", [first, second, [(1000, 60 * MIN, 0, "late", False, 0, 0, None)]], kinds)
+    out = keyed.reassembled(stream, "chat", timeout_ms=5 * MIN, buckets=8)
+    query = out.writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("answers")
+    assert got.schema["chat"].dataType.simpleString() == "bigint" and got.count() == len(want)
+    assert {r["chat"]: tuple(r)[1:] for r in got.collect()} == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 8
+
+
+def test_a_batch_is_a_slot_however_many_files_it_has(spark):
+    day = F.timestamp_seconds(F.col("event_id") * 86_400 + F.unix_seconds(F.to_timestamp(F.lit("2024-01-01"))))
+    rows = spark.range(30, numPartitions=2).select(F.col("id").alias("event_id"), day.alias("ts"))
+    stream = streams._late(spark, SF, F.lit(False), rows=rows, files=3)
+    batches = {}
+    keep = lambda batch, k: batches.update({k: sorted(r["event_id"] for r in batch.collect())})
+    stream.writeStream.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    assert batches == {k: list(range(30))[8 * k : 8 * k + 8] for k in range(4)}
+
+
 def test_runs_follow_event_time(spark, tmp_path):
     line = lambda key, at, text, order=0: (key, at * MIN, order, text)
     batches = [
