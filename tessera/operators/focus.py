@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SPACE, folded, like, target_matches, trimmed
+from tessera.shipping import materialize
 
 # Directories that are never searched, prose kinds and extensions, and the patterns of headings, dates and tables.
 EXCLUDED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "__pycache__", ".venv", "venv", ".idea", ".vscode")
@@ -238,8 +239,58 @@ def cascade(resolved: list[DataFrame]) -> DataFrame:
     return rows.join(best, ["target", "prio"])
 
 
+#: Targets that candidates are looked for by at most: they are written into the plan. With more of them, all files are.
+MOST_ASKED = 200
+
+
+def tree(both: Callable[[Column, Column], Column], tests: list[Column]) -> Column:
+    """All of tests under AND or OR, halved again and again: of a chain of hundreds Spark's recursion runs out of stack."""
+    half = len(tests) // 2
+    return both(tree(both, tests[:half]), tree(both, tests[half:])) if half else tests[0]
+
+
+def candidates(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """The files (key, text) that a resolver can have a hit in for any of targets, from one scan; of those that only a listing names, the path alone.
+
+    A file's text is folded once for all targets and resolvers. Written to the
+    shared folder, since every resolver reads them. With more than MOST_ASKED
+    targets, files as they are.
+    """
+    words = F.filter(F.split(folded(F.col("target")), SPACE + "+"), lambda w: w != "")
+    parts = [folded(F.col("target")).alias("fold"), folded(stripped(F.col("target"))).alias("plain"), F.lower("target").alias("lower"), F.regexp_replace("target", "/+$", "").alias("folder"), words.alias("words")]
+    asked = targets.select("target").where("target is not null").distinct().select("target", *parts).limit(MOST_ASKED + 1).collect()
+    if len(asked) > MOST_ASKED:
+        return files
+    path, content, name, fold = F.col(key), F.col(text), F.col("__name"), F.col("__fold")
+    kept, listed = [F.lit(False)], [F.lit(False)]
+    for t in asked:
+        target, file = t["target"], t["target"].partition("#")[0]
+        kept += [path.isin(target, file) | name.isin(target, file)]
+        if "*" in target or "?" in target:
+            kept += [F.rlike(path if "/" in target.replace("**/", "") else name, glob_pattern(F.lit(target)))]
+        listed += [F.contains(F.concat(F.lit("/"), path), F.lit(f"/{t['folder']}/"))]
+        exact = target.startswith("=")
+        # a text that holds a target holds its words
+        for needles in ([t["plain"]], [t["fold"]] if exact else t["words"] or [t["fold"]]):
+            kept += [tree(Column.__and__, [F.contains(fold, F.lit(n)) for n in needles])]
+        if exact:
+            kept += [F.contains(content, F.lit(target[1:]))]
+        kept += [F.col("__sql") & F.contains(F.translate(F.lower(content), '"`', ""), F.lit(t["lower"]))]
+    # nothing but ASCII has no accents, and translating costs more than all else
+    plain = F.when(F.octet_length(content) == F.length(content), F.lower(content)).otherwise(folded(content))
+    # rows of an array of one: else filters are pushed below and evaluate what they use again
+    held = files.select(key, text, F.inline(F.array(F.struct(plain.alias("__fold"), F.substring_index(key, "/", -1).alias("__name"), F.lower(key).endswith(".sql").alias("__sql")))))
+    told = held.select(key, text, F.inline(F.array(F.struct(F.coalesce(tree(Column.__or__, kept), F.lit(False)).alias("__kept"), F.coalesce(tree(Column.__or__, listed), F.lit(False)).alias("__listed")))))
+    return materialize(told.where("__kept or __listed").select(key, F.when(F.col("__kept"), content).alias(text)), "focus-candidates")
+
+
 def resolved(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """target, source, kind, content, prio of every target by the first of all resolvers that finds it: files, directories, JSON nodes, tables, code, sections, legal sections, dated entries, globs, excerpts."""
+    """target, source, kind, content, prio of every target by the first of all resolvers that finds it: files, directories, JSON nodes, tables, code, sections, legal sections, dated entries, globs, excerpts. The resolvers read the candidates among the files."""
+    return resolved_in(candidates(files, targets, key, text), targets, key, text)
+
+
+def resolved_in(files: DataFrame, targets: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
+    """As resolved(), with a scan of all files for every resolver."""
     dated = dated_entries(files, targets, key, text)
     return cascade([
         by_path(files, targets, key, text), directories(files, targets, key), json_targets(files, targets, key, text),

@@ -40,3 +40,30 @@ def test_keys_with_quotes(spark):
     files = spark.createDataFrame([("b.json", '{"x": {"it\'s": {"y?": 7}, "a.b": 1}}')], "path string, content string")
     targets = spark.createDataFrame([("b.json#x.it's",), ("b.json#x.it's.y?",), ("b.json#x.none",)], "target string")
     assert {r["target"]: r["content"] for r in focus.json_targets(files, targets).collect()} == {"b.json#x.it's": '{"y?":7}', "b.json#x.it's.y?": "7"}
+
+
+ODD_FILES = [
+    (None, "users and run"), ("n/null.md", None), ("n/sub/null.txt", None), ("Q.SQL", 'create table `Sh op`.x (a);\nCREATE TABLE "Ord"."Ers" (\n id int);'), ("/top.md", "# ÁRBOL Ñandú"), ("a//b.txt", "ἈΣ ΣΑ\nİx Straße"),
+    ("g.json", "no json"), ("deep/a/x.md", "## intro three\n2024-02-02 second thing here\nalpha  beta"), ("none/", "x"),
+]
+ODD_TARGETS = ["ord.ers", "arbol nandu", "=ÁRBOL", "=arbol", "top.md", "null.md", "n", "n/sub/", "sub", "/", "//", "a/", "g.json#a", "/top.md#x", "ας", "=Σ", "ix", "i", "STRASSE", "**/*.txt", "?.SQL", "thing second", "run()", "=run()", "Foo()", "a#"]
+
+
+def test_resolvers_find_in_the_candidates_what_they_find_in_all_files(spark):
+    files = spark.createDataFrame(FILES + ODD_FILES, "path string, content string").repartition(3)
+    # a blank target is in every file, so all would be candidates
+    targets = spark.createDataFrame([(t,) for t in TARGETS + ODD_TARGETS if t.strip()] + [(None,)], "target string")
+    want = sorted(map(repr, focus.resolved_in(files, targets).select(*COLUMNS).collect()))
+    assert sorted(map(repr, focus.resolved(files, targets).select(*COLUMNS).collect())) == want and len(want) > 40
+
+
+def test_resolvers_read_the_candidates_alone(spark, tmp_path):
+    spark.createDataFrame(FILES + ODD_FILES, "path string, content string").write.parquet(str(tmp_path / "all"))
+    files = spark.read.parquet(str(tmp_path / "all"))
+    one = lambda *asked: spark.createDataFrame([(t,) for t in asked], "target string")
+    assert not [f for f in focus.resolved(files, one("users")).inputFiles() if "/all/" in f]
+    got = focus.candidates(files, one("a/b/", "k/run.go", "no such words")).collect()
+    assert sorted(map(tuple, got)) == [("a/b/y.py", None), ("k/run.go", "async run now")]
+    assert focus.candidates(files, spark.range(201).select(F.col("id").cast("string").alias("target"))) is files
+    many = spark.range(200).select(F.concat(F.lit("k/run.go f"), "id").alias("target")).union(one("k/run.go"))
+    assert focus.candidates(files, many.where("target <> 'k/run.go f7'")).count() == 1
